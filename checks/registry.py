@@ -1,6 +1,6 @@
 """All queries under one roof."""
 
-from . import statistics
+from . import charts, periods, segments, statistics
 
-MODULES = (statistics,)
+MODULES = (statistics, charts, periods, segments)
 ALL = {name: pair for module in MODULES for name, pair in module.QUERIES.items()}

@@ -79,7 +79,7 @@ def line(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame |
     keys = {"x": x} | ({"color": color} if color in df.columns else {})
     present = df.na.drop(subset=[y, *keys.values()])
     return (present.groupBy(*[F.col(c).alias(k) for k, c in keys.items()])
-            .agg(F.round(F.avg(as_number(df, y)), 4).alias("value")).orderBy(*keys))
+            .agg(F.round(F.avg(as_number(df, y)), 6).alias("value")).orderBy(*keys))
 
 
 def scatter(df: DataFrame, x: str, y: str, key: Sequence[str], points: int = 3000,

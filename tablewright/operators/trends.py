@@ -20,10 +20,10 @@ def _long(df: DataFrame, dates: Sequence[str], values: Sequence[str], key: Seque
     """One row per (date column, value column, row) where both are present."""
     keyed = F.struct(*key).alias("key")
     pairs = [F.struct(F.lit(d).alias("date_column"), F.lit(v).alias("value_column"),
-                      F.col(d).cast("timestamp").alias("at"), F.col(v).cast("double").alias("y"))
+                      F.col(d).cast("timestamp").alias("moment"), F.col(v).cast("double").alias("y"))
              for d in dates for v in values]
     return (without_nan(df).select(keyed, F.inline(F.array(*pairs)))
-            .where("at IS NOT NULL AND y IS NOT NULL"))
+            .where("moment IS NOT NULL AND y IS NOT NULL"))
 
 
 def _sign(c: Column) -> Column:
@@ -40,7 +40,7 @@ def trends(df: DataFrame, key: Sequence[str], dates: Sequence[str] | None = None
     """
     dates = list(dates or names.date_columns(df))
     values = list(values or names.numeric_columns(df))
-    placed = global_index(_long(df, dates, values, key), [*PAIR, "at", "key"],
+    placed = global_index(_long(df, dates, values, key), [*PAIR, "moment", "key"],
                           single_task_rows=single_task_rows)
     span = placed.groupBy(*PAIR).agg(F.min("_index").alias("_start"), F.count("*").alias("n"))
     # one row per pair of columns
@@ -93,21 +93,21 @@ def _median_per_pair(gaps: DataFrame, single_task_rows: int) -> DataFrame:
 def _forecast_fits(df: DataFrame, dates: Sequence[str], values: Sequence[str], min_points: int,
                    min_r_squared: float, single_task_rows: int) -> tuple[DataFrame, DataFrame]:
     """(mean per moment with its index, fitted line per pair) for all column pairs."""
-    moments = (_long(df, dates, values, [F.lit(0)]).groupBy(*PAIR, "at")
+    moments = (_long(df, dates, values, [F.lit(0)]).groupBy(*PAIR, "moment")
                .agg(F.avg("y").alias("y")))
     moments = written(moments)  # used for counting, ordering, fitting and as the history
-    placed = global_index(moments, [*PAIR, "at"], single_task_rows=single_task_rows)
+    placed = global_index(moments, [*PAIR, "moment"], single_task_rows=single_task_rows)
     span = placed.groupBy(*PAIR).agg(F.min("_index").alias("_start"), F.count("*").alias("n"))
     series = (placed.join(F.broadcast(span), PAIR)  # one row per pair of columns
               .withColumn("x", F.col("_index") - F.col("_start")).drop("_index", "_start"))
-    ahead = series.select(*PAIR, (F.col("x") - 1).alias("x"), F.col("at").alias("next_at"))
-    gap = F.unix_micros("next_at") - F.unix_micros("at")
+    ahead = series.select(*PAIR, (F.col("x") - 1).alias("x"), F.col("moment").alias("next_at"))
+    gap = F.unix_micros("next_at") - F.unix_micros("moment")
     gaps = series.join(ahead, [*PAIR, "x"]).select(*PAIR, "x", gap.alias("gap"))
     steps = _median_per_pair(gaps, single_task_rows)
     fits = series.groupBy(*PAIR).agg(
         F.first("n").alias("n"), F.regr_slope("y", "x").alias("slope"),
         F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"),
-        F.stddev_pop("y").alias("std"), F.max("at").alias("last_at"),
+        F.stddev_pop("y").alias("std"), F.max("moment").alias("last_at"),
         F.max_by("y", "x").alias("last_y"))
     fits = (fits.where((F.col("n") >= min_points) & (F.col("std") > 0)
                        & (F.col("r2") >= min_r_squared))
@@ -144,13 +144,13 @@ def forecast(df: DataFrame, date: str, value: str, periods_ahead: int = 5, min_p
     series, fits = _forecast_fits(df, [date], [value], min_points, min_r_squared,
                                   single_task_rows)
     history = series.join(F.broadcast(fits.select(*PAIR)), PAIR, "left_semi").select(
-        "at", F.col("y").alias("value"), F.col("y").alias("lower_bound"),
+        "moment", F.col("y").alias("value"), F.col("y").alias("lower_bound"),
         F.col("y").alias("upper_bound"), F.lit("historical").alias("type"))
     ahead = fits.select("*", F.explode(F.sequence(F.lit(0), F.lit(periods_ahead - 1))).alias("i"))
     y = F.col("intercept") + F.col("slope") * (F.col("n") + F.col("i"))
     band = F.col("residual_std") * 1.96
     at = F.timestamp_micros(F.unix_micros("last_at") + F.col("step") * (F.col("i") + 1))
-    future = ahead.select(at.alias("at"), y.alias("value"), (y - band).alias("lower_bound"),
+    future = ahead.select(at.alias("moment"), y.alias("value"), (y - band).alias("lower_bound"),
                           (y + band).alias("upper_bound"), F.lit("forecast").alias("type"))
     return history.unionByName(future).select(
-        "at", *[F.round(c, 2).alias(c) for c in ("value", "lower_bound", "upper_bound")], "type")
+        "moment", *[F.round(c, 6).alias(c) for c in ("value", "lower_bound", "upper_bound")], "type")
