@@ -146,6 +146,11 @@ SELECT '{date}' AS date_column, value_column, round(r2, 3) AS r_squared,
   AS pct_projected_change FROM f"""
 
 
+def _level(spark, folder):
+    """A series that does rise, with noise around its line."""
+    return table(spark, folder, "events").selectExpr("ts", "event_id + value * 10 AS level")
+
+
 EVENT_NUMBERS = ["event_id", "user_id", "value"]
 
 QUERIES = {
@@ -175,8 +180,9 @@ QUERIES = {
         _trends_sql("orders", "o_orderdate", ORDER_NUMBERS, "o_orderkey")
         + " ORDER BY w < 3, round(r2, 3) DESC, value_column LIMIT 1"),
     "forecast": (
-        lambda s, d: trends.forecast(table(s, d, "events"), "ts", "event_id"),
-        _frame_sql("events", "ts", "event_id", 0.1)),
+        lambda s, d: trends.forecast(_level(s, d), "ts", "level"),
+        _frame_sql("(SELECT ts, event_id + value * 10 AS level FROM events) e", "ts", "level",
+                   0.1)),
     "forecast_orders": (
         lambda s, d: trends.forecast(table(s, d, "orders"), "o_orderdate", "o_totalprice",
                                      min_r_squared=0.0),

@@ -1,6 +1,6 @@
 """All queries under one roof."""
 
-from . import charts, periods, segments, statistics
+from . import charts, periods, segments, similarity, statistics
 
-MODULES = (statistics, charts, periods, segments)
+MODULES = (statistics, charts, periods, segments, similarity)
 ALL = {name: pair for module in MODULES for name, pair in module.QUERIES.items()}
