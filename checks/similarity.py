@@ -20,9 +20,9 @@ def _close(a, b, distance, long_share, short_share="0.20"):
 
 def _merge_sql(source, column):
     """The sequential greedy pass itself: one form after the other against the leaders so far."""
-    return f"""WITH RECURSIVE c AS (SELECT {column} AS value, count(*) AS n, {_norm(column)} AS norm
+    return f"""WITH RECURSIVE c AS MATERIALIZED (SELECT {column} AS value, count(*) AS n, {_norm(column)} AS norm
   FROM ({source}) WHERE {column} IS NOT NULL GROUP BY 1),
-f AS (SELECT norm, arg_min(value, (-n, value)) AS value, row_number() OVER
+f AS MATERIALIZED (SELECT norm, arg_min(value, (-n, value)) AS value, row_number() OVER
   (ORDER BY min((-n, value))) AS rn FROM c WHERE norm <> '' GROUP BY norm),
 s AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS found, CAST(NULL AS VARCHAR) AS norm,
     CAST(NULL AS VARCHAR) AS leader
@@ -68,12 +68,15 @@ def _near_rows(spark, folder):
     return similarity.near_duplicate_rows(dirty_parts(spark, folder), "p_partkey")
 
 
-NEAR_ROWS_SQL = f"""WITH RECURSIVE r AS (SELECT p_partkey AS id, {_norm(
+NEAR_ROWS_SQL = f"""WITH RECURSIVE r AS MATERIALIZED (SELECT p_partkey AS id, {_norm(
     "part_type || ' ' || part_name || ' ' || p_brand")} AS norm FROM ({DIRTY_PARTS})),
-f AS (SELECT norm, min(id) AS id, row_number() OVER (ORDER BY min(id)) AS rn FROM r GROUP BY norm),
-p AS (SELECT b.norm, b.rn, a.rn AS earlier FROM f a JOIN f b ON a.rn < b.rn
-  AND abs(length(a.norm) - length(b.norm)) <= 3 WHERE {_close('a.norm', 'b.norm', 3, '0.15')}),
-n AS (SELECT f.rn, coalesce(list(p.earlier ORDER BY p.earlier) FILTER (WHERE p.earlier IS NOT NULL),
+f AS MATERIALIZED (SELECT norm, min(id) AS id, row_number() OVER (ORDER BY min(id)) AS rn FROM r GROUP BY norm),
+q AS MATERIALIZED (SELECT b.rn, a.rn AS earlier, levenshtein(a.norm, b.norm) AS edits,
+  greatest(length(a.norm), length(b.norm)) AS longer FROM f a JOIN f b ON a.rn < b.rn
+  AND abs(length(a.norm) - length(b.norm)) <= 3),
+p AS MATERIALIZED (SELECT rn, earlier FROM q WHERE edits <= 3 AND edits::DOUBLE / longer <=
+  CASE WHEN longer <= 6 THEN 0.20::DOUBLE ELSE 0.15::DOUBLE END),
+n AS MATERIALIZED (SELECT f.rn, coalesce(list(p.earlier ORDER BY p.earlier) FILTER (WHERE p.earlier IS NOT NULL),
   []) AS earlier FROM f LEFT JOIN p ON p.rn = f.rn GROUP BY f.rn),
 s AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS found, CAST(0 AS BIGINT) AS leader
   UNION ALL

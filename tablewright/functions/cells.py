@@ -8,14 +8,15 @@ from pyspark.sql import types as T
 
 from . import vocab
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
-_NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
-_SCALED = r"^(-?[0-9]+\.?[0-9]*)([kKmMbB])$"
+_SPACES = ("\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+           + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000")
+_NUMBER = r"[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?"
+_SCALED = r"-?[0-9]+\.?[0-9]*[kKmMbB]"
 
 
 def trimmed(c: Column) -> Column:
     """Strip every kind of white space, not only the plain space."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_null_marker(c: Column) -> Column:
@@ -33,19 +34,20 @@ def nan_to_null(c: Column) -> Column:
 
 def plain_number(c: Column) -> Column:
     """Text to double, refusing forms such as ``1d``, ``NaN`` or hex that a bare cast takes."""
-    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    return F.when(c.rlike(f"^{_NUMBER}$"), c.try_cast("double"))
 
 
 def parse_number(c: Column) -> Column:
-    """Messy numeric text to double; whatever is not a number becomes null."""
-    swept = trimmed(sweep_nulls(c))
-    signed = F.regexp_replace(swept, r"^\((.*)\)$", "-$1")
-    bare = F.regexp_replace(signed, rf"(?U)[{vocab.CURRENCY_SIGNS},%\s]", "")
-    bare = F.regexp_replace(bare, r"^\+", "")
-    unit = F.lower(F.regexp_extract(bare, _SCALED, 2))
-    scale = (F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9))
-    return F.coalesce(plain_number(F.regexp_extract(bare, _SCALED, 1)) * scale,
-                      plain_number(bare))
+    """Messy numeric text to double; whatever is not a number becomes null.
+
+    Null markers need no test of their own, since none of them reads as a number.
+    """
+    signed = F.regexp_replace(trimmed(c), r"^\((.*)\)$", "-$1")
+    bare = F.regexp_replace(F.regexp_replace(signed, rf"(?U)[{vocab.CURRENCY_SIGNS},%\s]", ""),
+                            r"^\+", "")
+    thousands = F.instr(F.lit("kmb"), F.lower(F.right(bare, F.lit(1))))  # 0 without a unit
+    amount = F.regexp_replace(bare, "[kKmMbB]$", "").try_cast("double")
+    return F.when(bare.rlike(f"^({_SCALED}|{_NUMBER})$"), amount * F.pow(F.lit(1000.0), thousands))
 
 
 def has_currency_sign(c: Column) -> Column:

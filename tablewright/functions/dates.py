@@ -117,36 +117,56 @@ def _vote(text: Column, first_over: bool) -> Column:
     return F.count_if((a > 12) & (b <= 12)) if first_over else F.count_if((b > 12) & (a <= 12))
 
 
+def shape_evidence(c: Column) -> list[Column]:
+    """The cheap part of the evidence: pattern counts, no parsing."""
+    text = trimmed(c)
+    return [F.count(c).alias("n"),
+            F.count_if(text.rlike(vocab.BARE_NUMBER_PATTERN)).alias("bare"),
+            F.count_if(text.rlike(vocab.DATE_SIGNAL_PATTERN)).alias("signal"),
+            F.count_if(text.rlike(vocab.MONTH_NAME_PATTERN)).alias("month_names"),
+            F.count_if(text.rlike(vocab.LEADING_DATE_PATTERN)).alias("leading")]
+
+
+def may_be_dates(column: str, counts) -> bool:
+    """Whether trying the formats on a column is worth a pass, from its shape evidence."""
+    n = counts["n"]
+    if not n or counts["bare"] / n >= vocab.BARE_NUMBER_SHARE \
+            or counts["signal"] / n < vocab.DATE_SIGNAL_SHARE:
+        return False
+    return (name_suggests_date(column) or counts["month_names"] >= min(3, n // 2 + 1)
+            or counts["leading"] >= 3)
+
+
 def date_evidence(c: Column) -> list[Column]:
     """Aggregates that one pass needs to decide on a column; see :func:`fit_dates`."""
     text = trimmed(c)
     every = tuple(dict.fromkeys(ladder(True) + ladder(False)))
-    day_mixed = F.coalesce(*[parse_with(c, f) for f in ladder(True) + vocab.MONTH_YEAR_FORMATS])
-    month_mixed = F.coalesce(*[parse_with(c, f) for f in ladder(False) + vocab.MONTH_YEAR_FORMATS])
     return [
-        F.count(c).alias("n_values"),
-        F.count_if(text.rlike(vocab.BARE_NUMBER_PATTERN)).alias("bare"),
-        F.count_if(text.rlike(vocab.DATE_SIGNAL_PATTERN)).alias("signal"),
-        F.count_if(text.rlike(vocab.MONTH_NAME_PATTERN)).alias("month_names"),
-        F.count_if(text.rlike(vocab.LEADING_DATE_PATTERN)).alias("leading"),
+        *shape_evidence(c),
         _vote(text, True).alias("day_votes"),
         _vote(text, False).alias("month_votes"),
         F.count_if(_is_unix(c)).alias("unix"),
-        F.count(day_mixed).alias("mixed_day"),
-        F.count(month_mixed).alias("mixed_month"),
         *[F.count(parse_with(c, f)).alias(f"hits_{i}") for i, f in enumerate(every)],
     ]
 
 
 def fit_dates(df: DataFrame, columns: list[str]) -> dict[str, DateFit]:
-    """Judge each text column in one aggregate over all its rows, no sampling."""
+    """Judge each text column over all its rows, no sampling.
+
+    One aggregate per column; a second one, for mixed spellings, only if no single format fits.
+    """
     every = tuple(dict.fromkeys(ladder(True) + ladder(False)))
     fits = {}
     for column in columns:
         row = df.agg(*date_evidence(F.col(column))).first()
-        n = row["n_values"]
+        n = row["n"]
         share = (lambda hits, n=n: hits / n if n else 0.0)
         day_first = row["day_votes"] > row["month_votes"]
+        shares = {f: share(row[f"hits_{i}"]) for i, f in enumerate(every)}
+        mixed = max(shares[f] for f in ladder(day_first))
+        if mixed < vocab.DATE_PARSE_SHARE:
+            together = parse_date(F.col(column), ladder(day_first) + vocab.MONTH_YEAR_FORMATS)
+            mixed = share(df.agg(F.count(together)).first()[0])
         fits[column] = DateFit(
             column=column,
             n_values=n,
@@ -156,7 +176,7 @@ def fit_dates(df: DataFrame, columns: list[str]) -> dict[str, DateFit]:
             leading_date_rows=row["leading"],
             day_first=day_first,
             unix_share=share(row["unix"]),
-            format_shares={f: share(row[f"hits_{i}"]) for i, f in enumerate(every)},
-            mixed_share=share(row["mixed_day"] if day_first else row["mixed_month"]),
+            format_shares=shares,
+            mixed_share=mixed,
         )
     return fits
