@@ -1,6 +1,6 @@
 """All queries under one roof."""
 
-from . import charts, cleaning, periods, segments, similarity, statistics
+from . import charts, cleaning, periods, segments, similarity, statistics, text
 
-MODULES = (statistics, charts, periods, segments, cleaning, similarity)
+MODULES = (statistics, charts, periods, segments, cleaning, similarity, text)
 ALL = {name: pair for module in MODULES for name, pair in module.QUERIES.items()}

@@ -48,23 +48,25 @@ def carry_fill(df: DataFrame, columns: Sequence[str], order: Sequence[str],
     """
     indexed = global_index(df, order, "_index", single_task_rows)
     blocks = indexed.withColumn("_block", F.floor(F.col("_index") / block_rows))
-    within = Window.partitionBy("_block").orderBy("_index")
-    ahead = within.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # both directions look back along their own order: a frame reaching forward to the end
+    # would be evaluated anew for every row
+    running = (Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("_block").orderBy("_index").rowsBetween(*running)
+    ahead = Window.partitionBy("_block").orderBy(F.desc("_index")).rowsBetween(*running)
 
     edges = blocks.groupBy("_block").agg(*[
         e for i, c in enumerate(columns)
         for e in (F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_index"))).alias(f"_last_{i}"),
                   F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_index"))).alias(f"_first_{i}"))])
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select("_block", *[
         e for i in range(len(columns))
         for e in (F.last(f"_last_{i}", ignorenulls=True).over(earlier).alias(f"_in_{i}"),
-                  F.first(f"_first_{i}", ignorenulls=True).over(later).alias(f"_out_{i}"))])
+                  F.last(f"_first_{i}", ignorenulls=True).over(later).alias(f"_out_{i}"))])
     filled = {
         c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_in_{i}"),
-                      F.first(c, ignorenulls=True).over(ahead), F.col(f"_out_{i}"))
+                      F.last(c, ignorenulls=True).over(ahead), F.col(f"_out_{i}"))
         for i, c in enumerate(columns)}
     return (blocks.join(carried, "_block", "left").withColumns(filled).select(*df.columns))
 
