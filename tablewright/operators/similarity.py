@@ -227,9 +227,16 @@ def _follow_in_rounds(edges: DataFrame) -> DataFrame:
 def spelling_map(df: DataFrame, column: str, rule: Closeness = VALUES,
                  frequent: int = FREQUENT_PIECE) -> DataFrame:
     """(value, canonical) for every distinct value: variants go to the most frequent spelling."""
-    counts = value_counts(df, [column]).select(
-        "value", "count", normalise_text(F.col("value")).alias("norm")).where("norm <> ''")
-    counts = written(counts)  # one row per distinct value, read several times below
+    return spelling_map_of_counts(value_counts(df, [column]).select("value", "count"), rule,
+                                  frequent)
+
+
+def spelling_map_of_counts(values: DataFrame, rule: Closeness = VALUES,
+                           frequent: int = FREQUENT_PIECE) -> DataFrame:
+    """The same from (value, count); equal counts are settled by value."""
+    counts = written(  # one row per distinct value, read several times below
+        values.select("value", "count", normalise_text(F.col("value")).alias("norm"))
+        .where("norm <> ''"))
     forms = counts.groupBy("norm").agg(
         F.min(F.struct((-F.col("count")).alias("rank"), "value")).alias("best"))
     items = forms.select(F.col("norm").alias("id"), F.col("norm").alias("text"),
