@@ -22,7 +22,9 @@ def percentile_columns(df: DataFrame, columns: Sequence[str], probabilities: Seq
                        n_rows: int) -> dict[str, list[Column]]:
     """Exact percentiles as columns for one aggregate: built in, or found beforehand."""
     if n_rows <= BUILT_IN_ROWS:
-        return {c: [F.percentile(c, p) for p in probabilities] for c in columns}
+        probs = F.array(*[F.lit(float(p)) for p in probabilities])
+        return {c: [F.percentile(c, probs)[i] for i in range(len(probabilities))]
+                for c in columns}
     found = exact_quantiles(df, columns, probabilities, n_rows=n_rows)
     return {c: [F.lit(v).cast("double") for v in found[c]] for c in columns}
 
@@ -162,28 +164,35 @@ def identifier_columns(df: DataFrame, columns: Sequence[str],
 
 
 def scorecard_side(df: DataFrame, side: str) -> DataFrame:
-    """Completeness, uniqueness, validity, consistency and grade of one table."""
+    """Completeness, uniqueness, validity, consistency and grade of one table.
+
+    Text is judged on its distinct values with their counts, so patterns run once per value.
+    """
     df = without_nan(df)
     text = names.text_columns(df)
-    n_rows = df.count()
-    distinct = {r["column"]: r["n"] for r in value_counts(df, text).groupBy("column")
-                .agg(F.count("*").alias("n")).collect()} if text else {}
-    categories = [c for c in text if distinct.get(c, 0) <= vocab.CATEGORY_MAX_DISTINCT]
+    other = [c for c in df.columns if c not in text]
+    marker, formed = is_null_marker(F.col("value")), is_title_case(F.col("value"))
+    judged = value_counts(df, text).groupBy("column").agg(
+        F.count("*").alias("distinct"), F.sum("count").alias("cells"),
+        F.coalesce(F.sum(F.when(marker, F.col("count"))), F.lit(0)).alias("invalid"),
+        F.coalesce(F.sum(F.when(formed, F.col("count"))), F.lit(0)).alias("formed")
+    ).collect() if text else []  # one row per column
+    row = df.agg(F.count("*"), sum((F.count(c) for c in other), F.lit(0)).cast("long")).first()
+    n_rows, present = row[0], row[1] + sum(r["cells"] for r in judged)
     n_duplicates = duplicate_rows(df).first()["duplicate_rows"]
-
-    missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
-    n_text = sum((F.count(c) for c in text), F.lit(0))
-    n_invalid = sum((F.count_if(is_null_marker(F.col(c))) for c in text), F.lit(0))
-    formed = sum((F.when(F.coalesce(F.avg(is_title_case(F.col(c)).cast("double")), F.lit(1.0))
-                         >= 0.9, 1).otherwise(0) for c in categories), F.lit(0))
-    pct = (lambda part, whole: F.round(
-        100.0 - F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0)), 1))
-    one = df.agg(
-        pct(missing, F.lit(float(n_rows * max(len(df.columns), 1)))).alias("completeness_pct"),
-        pct(F.lit(n_duplicates), F.lit(float(n_rows))).alias("uniqueness_pct"),
-        pct(n_invalid, n_text.cast("double")).alias("validity_pct"),
-        (F.round(formed * 100.0 / len(categories), 1) if categories
-         else F.lit(100.0)).alias("consistency_pct"))
+    categories = [r for r in judged if r["distinct"] <= vocab.CATEGORY_MAX_DISTINCT]
+    consistent = sum(r["formed"] / r["cells"] >= 0.9 for r in categories)
+    n_categories, n_empty = len(categories), len(text) - len(judged)  # an empty column is in order
+    n_cells, n_text = n_rows * len(df.columns), sum(r["cells"] for r in judged)
+
+    def pct(part: int, whole: int) -> Column:
+        return F.round(F.lit(100.0 - part * 100.0 / whole if whole else 100.0), 1)
+
+    one = df.sparkSession.range(1).select(
+        pct(n_cells - present, n_cells).alias("completeness_pct"),
+        pct(n_duplicates, n_rows).alias("uniqueness_pct"),
+        pct(sum(r["invalid"] for r in judged), n_text).alias("validity_pct"),
+        pct(n_categories - consistent, n_categories + n_empty).alias("consistency_pct"))
     score = (F.col("completeness_pct") + F.col("uniqueness_pct") + F.col("validity_pct")
              + F.col("consistency_pct")) / 4
     grade = (F.when(score >= 95, "A").when(score >= 85, "B").when(score >= 70, "C")

@@ -1,29 +1,41 @@
-"""Exact percentiles with linear interpolation, for small and for very large columns."""
+"""Exact percentiles with linear interpolation, for columns of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Spark's exact percentile keeps every distinct value of a column in one task.
-BUILT_IN_ROWS = 2_000_000
-BINS = 4096
-KEEP_VALUES = 50_000
+BUILT_IN_ROWS = 20_000
+BINS = 1024
+
+
+@dataclass
+class _Range:
+    """Values between low and high of one column, holding the wanted ranks."""
+
+    column: int
+    low: float
+    high: float
+    below: int
+    rows: int
+    ranks: list[int]
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
-                    built_in_rows: int = BUILT_IN_ROWS,
-                    keep_values: int = KEEP_VALUES,
+                    built_in_rows: int = BUILT_IN_ROWS, bins: int = BINS,
                     n_rows: int | None = None) -> dict[str, list[float | None]]:
     """Percentiles of each numeric column over its non-null values.
 
-    Above ``built_in_rows`` the value at each wanted rank is searched by counting: rows are
-    counted in equal-width bins, then only the bin holding the rank is counted again in finer
-    bins, until it holds few distinct values. Every pass is one aggregate with partial sums,
-    so no task ever holds a column. The result is the same exact value.
+    Above ``built_in_rows`` the value at each wanted rank is found by counting: one pass counts
+    the rows of all columns in equal-width bins, the next one looks only into the bins that
+    hold a wanted rank, and so on until a bin is a single value. Each pass is one aggregate
+    with partial sums and at most ``bins`` rows per searched range, so no task ever holds a
+    column: for evenly spread values two passes settle a million rows, three a billion.
     """
     if not columns:
         return {}
@@ -33,49 +45,47 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         row = df.agg(*[F.percentile(c, probs).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probabilities))
                 for i, c in enumerate(columns)}
-    return {c: _by_counting(df, c, probabilities, keep_values) for c in columns}
-
 
-def _by_counting(df: DataFrame, column: str, probabilities: Sequence[float],
-                 keep_values: int) -> list[float | None]:
-    values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    total, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not total:
-        return [None] * len(probabilities)
-    places = [p * (total - 1) for p in probabilities]
-    ranks = sorted({r for at in places for r in (floor(at), ceil(at))})
-    found: dict[int, float] = {}
-    _locate(values, low, high, 0, ranks, found, keep_values)
-    return [found[floor(at)] + (at - floor(at)) * (found[ceil(at)] - found[floor(at)])
-            for at in places]
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    ends = values.agg(*[F.struct(F.count(v), F.min(v), F.max(v)).alias(v)
+                        for v in values.columns]).first()
+    places = {i: [p * (ends[i][0] - 1) for p in probabilities] for i in range(len(columns))}
+    found: dict[tuple[int, int], float] = {}
+    ranges = [_Range(i, ends[i][1], ends[i][2], 0, ends[i][0],
+                     sorted({r for at in places[i] for r in (floor(at), ceil(at))}))
+              for i in range(len(columns)) if ends[i][0]]
+    while ranges:
+        ranges = _narrow(values, ranges, found, bins)
+    return {c: [None if not ends[i][0] else
+                found[i, floor(at)] + (at - floor(at)) * (found[i, ceil(at)] - found[i, floor(at)])
+                for at in places[i]] for i, c in enumerate(columns)}
 
 
-def _locate(values: DataFrame, low: float, high: float, below: int, ranks: Sequence[int],
-            found: dict[int, float], keep_values: int) -> None:
-    """Find the values at the given 0-based ranks, all known to lie in [low, high]."""
-    inside = values.where(F.col("v").between(low, high))
-    few = inside.groupBy("v").count().limit(keep_values + 1).count() <= keep_values \
-        if below or len(ranks) == 1 else False
-    width = (high - low) / BINS
-    if few or low + width <= low:  # few distinct values, or bins no longer split them
-        seen = below
-        for row in inside.groupBy("v").count().orderBy("v").toLocalIterator():
-            seen += row["count"]
-            while ranks and ranks[0] < seen:
-                found[ranks[0]] = row["v"]
-                ranks = ranks[1:]
-            if not ranks:
-                return
-        return
-    slot = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1))
-    bins = (inside.groupBy(slot.alias("slot"))
-            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("slot").collect())
-    seen = below
-    for b in bins:
-        wanted = [r for r in ranks if seen <= r < seen + b["n"]]
-        if wanted and b["lo"] == b["hi"]:
-            found.update(dict.fromkeys(wanted, b["lo"]))
+def _narrow(values: DataFrame, ranges: list[_Range], found: dict, bins: int) -> list[_Range]:
+    """One counting pass over all ranges; returns the smaller ranges still to search."""
+    entries, touched = [], F.lit(False)
+    for number, r in enumerate(ranges):
+        v = F.col(f"v{r.column}")
+        inside = v.between(r.low, r.high)
+        touched = touched | inside
+        width = (r.high - r.low) / bins
+        # few rows, or bins that no longer split neighbouring doubles: every value is a bin
+        single = r.rows <= bins or r.low + width <= r.low
+        slot = v if single else F.least(F.floor((v - r.low) / width), F.lit(bins - 1))
+        entries.append(F.struct(F.lit(number).alias("range"), F.when(
+            inside, slot.cast("double")).alias("slot"), v.alias("v")))
+    counted = (values.where(touched).select(F.inline(F.array(*entries))).where("slot IS NOT NULL")
+               .groupBy("range", "slot")
+               .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+               .orderBy("range", "slot").collect())
+    smaller, seen = [], {}
+    for b in counted:
+        r = ranges[b["range"]]
+        below = seen.get(b["range"], r.below)
+        seen[b["range"]] = below + b["n"]
+        wanted = [k for k in r.ranks if below <= k < below + b["n"]]
+        if wanted and b["low"] == b["high"]:
+            found.update({(r.column, k): b["low"] for k in wanted})
         elif wanted:
-            _locate(values, b["lo"], b["hi"], seen, wanted, found, keep_values)
-        seen += b["n"]
+            smaller.append(_Range(r.column, b["low"], b["high"], below, b["n"], wanted))
+    return smaller

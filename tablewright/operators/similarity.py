@@ -186,10 +186,12 @@ def leaders(items: DataFrame, pairs: DataFrame, order: list[str],
 
 def _follow_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pass itself over few edges: later items against the leaders before them."""
-    edges = pd.concat([b.assign(place=b["place"].map(lambda p: tuple(p.values())),
-                                later_place=b["later_place"].map(lambda p: tuple(p.values())))
-                       for b in batches] or [pd.DataFrame(columns=["earlier", "place", "later",
-                                                                   "later_place"])])
+    parts = [b.assign(place=b["place"].map(lambda p: tuple(p.values())),
+                      later_place=b["later_place"].map(lambda p: tuple(p.values())))
+             for b in batches if len(b)]
+    if not parts:
+        return
+    edges = pd.concat(parts)
     leader_of: dict = {}
     for row in edges.sort_values(["later_place", "place"]).itertuples():
         if row.later not in leader_of and row.earlier not in leader_of:

@@ -14,8 +14,6 @@ from .dedup import duplicate_rows
 from .profile import (identifier_columns, long_rows, percentile_columns, top_values,
                       value_counts)
 
-PAIRS_PER_PASS = 300
-
 
 def kpis(df: DataFrame, max_kpis: int | None = vocab.MAX_KPIS, exclude: Sequence[str] = ()) \
         -> DataFrame:
@@ -54,15 +52,13 @@ def correlations(df: DataFrame, threshold: float = vocab.STRONG_CORRELATION,
     schema = "column_a string, column_b string, correlation double, direction string"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    found = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
-                       for i, (a, b) in enumerate(part)])
-        rows = long_rows(one, [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                                        F.col(f"r{i}").alias("r"))
-                               for i, (a, b) in enumerate(part)])
-        found = rows if found is None else found.unionByName(rows)
+    # long form: one small aggregate however many pairs, and only one row per pair is shuffled
+    numbered = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("a"),
+                 F.col(b).cast("double").alias("b")) for i, (a, b) in enumerate(pairs)])))
+    labels = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    found = numbered.groupBy("pair").agg(F.corr("a", "b").alias("r")).select(
+        labels[F.col("pair")].a.alias("column_a"), labels[F.col("pair")].b.alias("column_b"), "r")
     return (found.where(~F.isnan("r") & (F.abs("r") >= threshold))
             .select("column_a", "column_b", F.round("r", 3).alias("correlation"),
                     F.when(F.col("r") > 0, "positive").otherwise("negative").alias("direction"))

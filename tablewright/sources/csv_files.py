@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import written
+
 CORRUPT = "_corrupt_record"
 
 
@@ -25,14 +27,15 @@ def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
             .option("multiLine", False).schema(schema).csv(path))
 
 
-def good_rows(df: DataFrame) -> DataFrame:
-    """Rows that fitted the header."""
-    return df.where(f"{CORRUPT} IS NULL").drop(CORRUPT)
-
+def stage_text_csv(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
+    """(rows that fitted the header, source lines that did not), parsed once.
 
-def bad_rows(df: DataFrame) -> DataFrame:
-    """Source lines that did not, to report instead of dropping them silently."""
-    return df.where(f"{CORRUPT} IS NOT NULL").select(CORRUPT)
+    The parsed rows are written to the shared folder, since everything after reads them often
+    and Spark cannot tell good from bad lines without parsing the file again.
+    """
+    rows = written(read_text_csv(spark, path, **options))
+    good = rows.where(f"{CORRUPT} IS NULL").drop(CORRUPT)
+    return good, rows.where(f"{CORRUPT} IS NOT NULL").select(CORRUPT)
 
 
 def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
