@@ -47,7 +47,9 @@ def parse_number(c: Column) -> Column:
                             r"^\+", "")
     thousands = F.instr(F.lit("kmb"), F.lower(F.right(bare, F.lit(1))))  # 0 without a unit
     amount = F.regexp_replace(bare, "[kKmMbB]$", "").try_cast("double")
-    return F.when(bare.rlike(f"^({_SCALED}|{_NUMBER})$"), amount * F.pow(F.lit(1000.0), thousands))
+    fits = bare.rlike(f"^({_SCALED}|{_NUMBER})$")
+    # plain words, the usual case in text columns, are settled by the first test alone
+    return F.when(c.rlike("[0-9]") & fits, amount * F.pow(F.lit(1000.0), thousands))
 
 
 def has_currency_sign(c: Column) -> Column:

@@ -168,7 +168,7 @@ class CleaningPlan:
 
     def _decide_values(self, raw: DataFrame) -> None:
         """Scales, fill values, domain bounds and outlier caps, in the order they are applied."""
-        typed = self._typed(raw)
+        typed = written(self._typed(raw))  # parsed once, read by every pass below
         scales = {r["column"]: (r["scale_min"], r["scale_max"])
                   for r in cleaning.rating_scales(typed).collect()}
         self.log += [("scales", c, "inferred", None, f"{lo:g}..{hi:g}")

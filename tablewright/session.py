@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
+               .config("spark.sql.files.openCostInBytes", "262144")  # spread small files too
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "8g"))
