@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -51,3 +55,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tablewright-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that functions sent there can be loaded."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        home = os.path.dirname(os.path.abspath(__file__))
+        zipped = os.path.join(tempfile.mkdtemp(prefix="tablewright-"), "tablewright")
+        context.addPyFile(shutil.make_archive(zipped, "zip", os.path.dirname(home), os.path.basename(home)))
