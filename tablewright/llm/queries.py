@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate
+from . import decontaminate, mixing, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,6 +13,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_differencing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 8 shards of nearly equal bytes."""
+    return sharding.shard_documents(_table(spark, folder, "documents"), 8, columns=["doc_id"])
+
+
+def op4_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed to weights 1, 2, 3 of their sources."""
+    return mixing.mix_sources(_table(spark, folder, "documents"), columns=["doc_id"]).select(
+        "doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in all documents."""
     return decontaminate.overlap_report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -20,5 +31,7 @@ def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
 
 #: name: (query, SQL that must give the same rows or None)
 QUERIES = {
+    "op3_differencing": (op3_differencing, None),
+    "op4_entropy_balancing": (op4_entropy_balancing, None),
     "op7_winnowing": (op7_winnowing, None),
 }
