@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, mixing, sharding
+from . import decontaminate, jaccard_join, katz, mixing, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -13,6 +14,22 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _remainder(column: str, of: int) -> Column:
+    """crc32 of a column's text, modulo."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of
+
+
+def op1_katz(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents scored by a backoff model of nine tenths of them."""
+    return katz.score_texts(_table(spark, folder, "documents"), _remainder("doc_id", 10) == 0, columns=["doc_id"])
+
+
+def op2_token_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return jaccard_join.similarity_classes(_table(spark, folder, "documents"), columns=["doc_id"]).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op3_differencing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 8 shards of nearly equal bytes."""
     return sharding.shard_documents(_table(spark, folder, "documents"), 8, columns=["doc_id"])
@@ -31,6 +48,8 @@ def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
 
 #: name: (query, SQL that must give the same rows or None)
 QUERIES = {
+    "op1_katz": (op1_katz, None),
+    "op2_token_groups": (op2_token_groups, None),
     "op3_differencing": (op3_differencing, None),
     "op4_entropy_balancing": (op4_entropy_balancing, None),
     "op7_winnowing": (op7_winnowing, None),

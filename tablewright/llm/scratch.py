@@ -20,13 +20,13 @@ class Tables:
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
         path = f"{self.folder}/{self.count}"
         self.count += 1
         before = self.spark.conf.get(_CLEAN, "false")
         self.spark.conf.set(_CLEAN, "true")
         try:
-            df.write.option("compression", codec).parquet(path)
+            df.write.option("compression", codec).parquet(path, partitionBy=partition_by)
         finally:
             self.spark.conf.set(_CLEAN, before)
         table = self.spark.read.schema(df.schema).parquet(path)
