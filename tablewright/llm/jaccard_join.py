@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import pack, unpack
 from .components import components
 from .scratch import Tables
 from .tokens import PLAIN, U, grams, mix, words_of
@@ -71,15 +72,6 @@ def shingle_counts(texts, words: int = WORDS):
 _BLOCK = pa.schema([("block", pa.string()), ("words", pa.int64()), ("counts", pa.binary()), ("vocab", pa.binary()), ("ids", pa.binary())])
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), "zstd", asbytes=True)
-
-
-def _unpack(data: bytes, dtype, n: int) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), dtype)
-
-
 def word_blocks(docs: DataFrame, text: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Texts as blocks of word numbers: counts per text, distinct word hashes, one number per word."""
 
@@ -89,7 +81,7 @@ def word_blocks(docs: DataFrame, text: str, block_words: int = BLOCK_WORDS) -> D
         vocab, ids = np.unique(np.concatenate([p.hashes for p in parts]), return_inverse=True)
         return pa.RecordBatch.from_pylist([{
             "block": uuid.uuid4().hex, "words": len(ids), "counts": np.append(np.uint32(len(counts)), counts).astype(np.uint32).tobytes(),
-            "vocab": vocab.tobytes(), "ids": _pack(ids.astype(np.uint32))}], schema=_BLOCK)
+            "vocab": vocab.tobytes(), "ids": pack(ids.astype(np.uint32))}], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -110,7 +102,7 @@ def word_blocks(docs: DataFrame, text: str, block_words: int = BLOCK_WORDS) -> D
 def _block_sets(row: dict, words: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct sets of a block with at least one shingle, and all their distinct shingles."""
     counts = np.frombuffer(row["counts"], np.uint32)[1:].astype(np.int64)
-    hashes = np.frombuffer(row["vocab"], U)[_unpack(row["ids"], np.uint32, row["words"])]
+    hashes = np.frombuffer(row["vocab"], U)[unpack(row["ids"], np.uint32, row["words"])]
     found: dict[int, np.ndarray] = {}
     for own in _shingle_sets(hashes, counts, words):
         if len(own):
@@ -159,7 +151,7 @@ def _levels(requests: DataFrame) -> DataFrame:
         level = np.log2(total).astype(np.uint8)[place]
         ends = np.cumsum([len(x) for x in asked])
         return pa.table({"block": table["block"], "bucket": table["bucket"],
-                         "levels": pa.array([_pack(level[e - len(x): e]) for x, e in zip(asked, ends)], pa.binary()),
+                         "levels": pa.array([pack(level[e - len(x): e]) for x, e in zip(asked, ends)], pa.binary()),
                          "n": pa.array([len(x) for x in asked], pa.int64())})
 
     return requests.groupBy("bucket").applyInArrow(run, "block string, bucket int, levels binary, n bigint")
@@ -179,7 +171,7 @@ def _live_sets(blocks: DataFrame, levels: DataFrame, words: int, percent: int) -
             for row in batch.to_pylist():
                 sets = _block_sets(row, words)
                 values = np.unique(np.concatenate(list(sets.values())))
-                level = np.concatenate([_unpack(x["levels"], np.uint8, x["n"]) for x in sorted(row["levels"], key=lambda x: x["bucket"])])
+                level = np.concatenate([unpack(x["levels"], np.uint8, x["n"]) for x in sorted(row["levels"], key=lambda x: x["bucket"])])
                 out = []
                 for id_, own in sets.items():
                     lv = level[np.searchsorted(values, own)]

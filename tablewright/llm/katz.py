@@ -19,7 +19,6 @@ by the next word, and their sums are added up in the block.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import pack, text_blocks, unpack
 from .scratch import Tables
-from .tokens import PLAIN, U, join_hash, mix, words_of
+from .tokens import U, join_hash, mix
 
 ORDER, K = 2, 5
 BLOCK_WORDS, BUCKET_GRAMS = 2_000_000, 2_000_000
@@ -37,14 +37,6 @@ START, END = U(0x5354415254), U(0x454E44)
 OUTPUT = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), "zstd", asbytes=True)
-
-
-def _unpack(data: bytes, dtype, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
-
-
 def discounts(seen: Sequence[int], k: int = K) -> np.ndarray:
     """d(0), ..., d(k) from the numbers of n-grams seen 0, 1, ..., k + 1 times (place 0 is not used)."""
     n = [float(x) for x in seen]
@@ -88,41 +80,6 @@ class Level:
         return np.where(counts > 0, d * counts / np.maximum(total, 1), weight * lower)
 
 
-def _text_blocks(docs: DataFrame, row: T.DataType, block_words: int) -> DataFrame:
-    """docs: row, held, text -> block, rows, held, counts, vocab, ids."""
-
-    def flush(parts, rows, held) -> pa.RecordBatch:
-        rows, held = pa.concat_arrays(rows), np.concatenate(held)
-        vocab, ids = np.unique(np.concatenate([p.hashes for p in parts]), return_inverse=True)
-        counts = np.concatenate([p.counts for p in parts]).astype(np.int64)
-        return pa.RecordBatch.from_arrays([
-            pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-            pa.array([held.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
-            pa.array([len(ids)], pa.int64()), pa.array([vocab.tobytes()], pa.binary()), pa.array([_pack(ids.astype(np.uint32))], pa.binary())],
-            ["block", "rows", "held", "counts", "words", "vocab", "ids"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, rows, held, n = [], [], [], 0
-        for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for part in words_of(batch.column(2), PLAIN):
-                part.data = part.starts = part.ends = None
-                parts.append(part)
-                rows.append(batch.column(0).slice(part.first, len(part.counts)))
-                held.append(flags[part.first: part.first + len(part.counts)])
-                n += len(part.hashes) + len(part.counts)
-                if n >= block_words:
-                    yield flush(parts, rows, held)
-                    parts, rows, held, n = [], [], [], 0
-        if parts:
-            yield flush(parts, rows, held)
-
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("rows", T.ArrayType(row)), T.StructField("held", T.BinaryType()),
-                           T.StructField("counts", T.BinaryType()), T.StructField("words", T.LongType()),
-                           T.StructField("vocab", T.BinaryType()), T.StructField("ids", T.BinaryType())])
-    return docs.mapInArrow(run, schema)
-
-
 class Block:
     """The token stream of a block, and the n-grams in it."""
 
@@ -130,7 +87,7 @@ class Block:
         counts = np.frombuffer(row["counts"], np.int64)
         held = np.frombuffer(row["held"], bool)
         vocab = np.append(np.frombuffer(row["vocab"], U), END)
-        ids = _unpack(row["ids"], np.uint32, row["words"])
+        ids = unpack(row["ids"], np.uint32, row["words"])
         self.n_tokens = counts + 1
         self.text = np.repeat(np.arange(len(counts)), self.n_tokens)
         self.place = np.arange(len(self.text)) - np.repeat(np.cumsum(self.n_tokens) - self.n_tokens, self.n_tokens)
@@ -234,7 +191,7 @@ def _ask_words(blocks: DataFrame, bits: int) -> DataFrame:
                 order, counts, edges = block.words_asked(bits)
                 yield pa.RecordBatch.from_pylist([
                     {"bucket": b, "block": row["block"], "n": int(edges[b + 1] - edges[b]),
-                     "words": block.vocab[order[edges[b]: edges[b + 1]]].tobytes(), "counts": _pack(counts[edges[b]: edges[b + 1]])}
+                     "words": block.vocab[order[edges[b]: edges[b + 1]]].tobytes(), "counts": pack(counts[edges[b]: edges[b + 1]])}
                     for b in range(1 << bits) if edges[b + 1] > edges[b]], schema=_ASK)
 
     return blocks.mapInArrow(run, _ASK_DDL)
@@ -244,13 +201,13 @@ def _answer_words(table: pa.Table, k: int) -> pa.Table:
     rows = table.to_pylist()
     asked = [np.frombuffer(r["words"], U) for r in rows]
     values, place = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(place, np.concatenate([_unpack(r["counts"], np.int64, r["n"]) for r in rows]), len(values)).astype(np.int64)
+    total = np.bincount(place, np.concatenate([unpack(r["counts"], np.int64, r["n"]) for r in rows]), len(values)).astype(np.int64)
     ends = np.cumsum([len(a) for a in asked])
-    out = [{"kind": "answer", "level": 1, "bucket": r["bucket"], "block": r["block"], "n": r["n"], "counts": _pack(total[place[e - r["n"]: e]])}
+    out = [{"kind": "answer", "level": 1, "bucket": r["bucket"], "block": r["block"], "n": r["n"], "counts": pack(total[place[e - r["n"]: e]])}
            for r, e in zip(rows, ends)]
     known = total > 0
     out.append({"kind": "model", "level": 1, "bucket": rows[0]["bucket"], "n": int(known.sum()), "words": values[known].tobytes(),
-                "counts": _pack(total[known]), "seen": _counted(total, k)})
+                "counts": pack(total[known]), "seen": _counted(total, k)})
     return pa.Table.from_pylist(out, schema=_ANSWER)
 
 
@@ -274,10 +231,10 @@ def _ask_grams(joined: DataFrame, order: int, levels: list[Level], bits: int, bu
                     values, codes = np.unique(of_gram[part], return_inverse=True)
                     words = grams.words[part]
                     out.append({"bucket": b, "block": row["block"], "n": len(keys), "n_keys": len(own), "keys": own.tobytes(),
-                                "lengths": _pack(lengths.astype(np.uint32)),
+                                "lengths": pack(lengths.astype(np.uint32)),
                                 "words": (words & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (words >> U(32)).astype(np.uint16).tobytes(),
-                                "codes": _pack(codes.astype(np.uint16 if len(values) < 65536 else np.uint32)),
-                                "lower": values.tobytes(), "counts": _pack(grams.counts[part])})
+                                "codes": pack(codes.astype(np.uint16 if len(values) < 65536 else np.uint32)),
+                                "lower": values.tobytes(), "counts": pack(grams.counts[part])})
                 yield pa.RecordBatch.from_pylist(out, schema=_ASK)
 
     return joined.mapInArrow(run, _ASK_DDL)
@@ -289,11 +246,11 @@ def _answer_grams(table: pa.Table, order: int, k: int) -> pa.Table:
     for r in rows:
         n = r["n"]
         own.append(np.frombuffer(r["keys"], U))
-        keys.append(np.repeat(own[-1], _unpack(r["lengths"], np.uint32, r["n_keys"])))
+        keys.append(np.repeat(own[-1], unpack(r["lengths"], np.uint32, r["n_keys"])))
         words.append(np.frombuffer(r["words"], np.uint32, n).astype(U) | (np.frombuffer(r["words"], np.uint16, n, 4 * n).astype(U) << U(32)))
         values = np.frombuffer(r["lower"])
-        lower.append(values[_unpack(r["codes"], np.uint16 if len(values) < 65536 else np.uint32, n)])
-        counts.append(_unpack(r["counts"], np.int64, n))
+        lower.append(values[unpack(r["codes"], np.uint16 if len(values) < 65536 else np.uint32, n)])
+        counts.append(unpack(r["counts"], np.int64, n))
     keys, words, lower, counts = map(np.concatenate, (keys, words, lower, counts))
     sorting = np.lexsort((words, keys))
     sorted_keys, sorted_words = keys[sorting], words[sorting]
@@ -312,13 +269,13 @@ def _answer_grams(table: pa.Table, order: int, k: int) -> pa.Table:
     for r, e, mine in zip(rows, ends, own):
         at = np.searchsorted(every, mine)
         out.append({"kind": "answer", "level": order, "bucket": r["bucket"], "block": r["block"], "n": r["n"], "n_keys": r["n_keys"],
-                    "counts": _pack(total[place[e - r["n"]: e]]), "sums": _pack(np.ascontiguousarray(sums[:, at]))})
+                    "counts": pack(total[place[e - r["n"]: e]]), "sums": pack(np.ascontiguousarray(sums[:, at]))})
     known = total > 0
     used, lengths = np.unique(gram_key[known], return_counts=True)
     out.append({"kind": "model", "level": order, "bucket": rows[0]["bucket"], "n": int(known.sum()), "n_keys": len(used), "keys": used.tobytes(),
-                "lengths": _pack(lengths.astype(np.uint32)), "words": (gram_word[known] & U(0xFFFFFFFF)).astype(np.uint32).tobytes()
-                + (gram_word[known] >> U(32)).astype(np.uint16).tobytes(), "counts": _pack(total[known]),
-                "sums": _pack(np.ascontiguousarray(sums[:, np.searchsorted(every, used)])), "seen": _counted(total, k)})
+                "lengths": pack(lengths.astype(np.uint32)), "words": (gram_word[known] & U(0xFFFFFFFF)).astype(np.uint32).tobytes()
+                + (gram_word[known] >> U(32)).astype(np.uint16).tobytes(), "counts": pack(total[known]),
+                "sums": pack(np.ascontiguousarray(sums[:, np.searchsorted(every, used)])), "seen": _counted(total, k)})
     return pa.Table.from_pylist(out, schema=_ANSWER)
 
 
@@ -333,7 +290,7 @@ def _evaluate(block: Block, answers: list[dict], levels: list[Level], bucket_gra
         by_level.setdefault(a["level"], []).append(a)
     parts = sorted(by_level[1], key=lambda a: a["bucket"])
     counts = np.empty(len(block.vocab), np.int64)
-    counts[np.argsort(mix(block.vocab), kind="stable")] = np.concatenate([_unpack(a["counts"], np.int64, a["n"]) for a in parts])
+    counts[np.argsort(mix(block.vocab), kind="stable")] = np.concatenate([unpack(a["counts"], np.int64, a["n"]) for a in parts])
     block.known = counts[block.number]
     probability = levels[0].single(block.known)
     # a text's first token comes after START, met once per text: unknown here, never over any limit of one block
@@ -343,8 +300,8 @@ def _evaluate(block: Block, answers: list[dict], levels: list[Level], bucket_gra
     for order, level in enumerate(levels[1:], 2):
         grams = Grams(block, order, history, bucket_grams)
         parts = sorted(by_level[order], key=lambda a: a["bucket"])
-        own = np.concatenate([_unpack(a["counts"], np.int64, a["n"]) for a in parts])[grams.gram_of]
-        sums = np.concatenate([_unpack(a["sums"], np.float64, a["n_keys"] * (level.k + 2)).reshape(level.k + 2, -1) for a in parts], axis=1)
+        own = np.concatenate([unpack(a["counts"], np.int64, a["n"]) for a in parts])[grams.gram_of]
+        sums = np.concatenate([unpack(a["sums"], np.float64, a["n_keys"] * (level.k + 2)).reshape(level.k + 2, -1) for a in parts], axis=1)
         sums = grams.sums(np.ascontiguousarray(sums.T)).T
         probability = level.seen(own, sums[0], sums[1: level.k + 1], probability, sums[level.k + 1])
         # events after the history that ends with this token, for the next order
@@ -369,7 +326,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", column
     kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in OUTPUT]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(held_out, F.lit(True)).alias("held"), F.col(text).alias("text"))
     row_type = packed.schema["row"].dataType
-    blocks = tables.write(_text_blocks(packed, row_type, block_words))
+    blocks = tables.write(text_blocks(packed, block_words))
     words, texts = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum(F.size("rows")), F.lit(0))).first()
     bits = max(0, math.ceil(math.log2(max(1, (words + texts) / bucket_grams))))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, jaccard_join, katz, mixing, sharding
+from . import decontaminate, hamming, jaccard_join, katz, mixing, sharding, trie_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,16 +41,42 @@ def op4_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op6_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest sign codes of every 20th vector among all."""
+    codes = _table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.when(F.col("embedding").isNotNull(), hamming.sign_code("embedding")).alias("code"))
+    return hamming.nearest_codes(codes, codes.filter("id % 20 = 0"), k=10)
+
+
+OP6_SQL = """
+WITH rows_ AS (SELECT DISTINCT vec_id AS id, list_transform(range(1, 65), lambda i: coalesce(embedding[i], 0) > 0) AS signs
+               FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+pairs AS (SELECT q.id AS query_id, r.id AS neighbor_id,
+                 CAST(len(list_filter(range(1, 65), lambda i: q.signs[i] <> r.signs[i])) AS INTEGER) AS distance
+          FROM rows_ q JOIN rows_ r ON q.id <> r.id WHERE q.id % 20 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank,
+                  neighbor_id, distance FROM pairs)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in all documents."""
     return decontaminate.overlap_report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op10_trie_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and tokens of all documents."""
+    return trie_counts.token_counts(_table(spark, folder, "documents"), columns=["doc_id"])
+
+
 #: name: (query, SQL that must give the same rows or None)
 QUERIES = {
     "op1_katz": (op1_katz, None),
     "op2_token_groups": (op2_token_groups, None),
     "op3_differencing": (op3_differencing, None),
     "op4_entropy_balancing": (op4_entropy_balancing, None),
+    "op6_multi_index": (op6_multi_index, OP6_SQL),
     "op7_winnowing": (op7_winnowing, None),
+    "op10_trie_counts": (op10_trie_counts, None),
 }

@@ -117,13 +117,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[int(bounds[0]): int(bounds[-1])], bounds - bounds[0]
 
 
-def words_of(texts: pa.Array, table: np.ndarray = PLAIN, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
+def words_of(texts: pa.Array, table: np.ndarray = PLAIN, slice_bytes: int = SLICE_BYTES, lower: bool = True) -> Iterator[Words]:
     """The words of each row, in slices of rows."""
     data, bounds = text_bytes(texts)
     row, n = 0, len(texts)
     while row < n:
         to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + slice_bytes, "right")) - 1)
-        own = _LOWER[data[int(bounds[row]): int(bounds[to])]]
+        own = data[int(bounds[row]): int(bounds[to])]
+        own = _LOWER[own] if lower else own
         offsets = bounds[row: to + 1] - bounds[row]
         inside = table[own]
         edge = np.zeros(len(own) + 1, bool)
