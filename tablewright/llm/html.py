@@ -1,0 +1,112 @@
+"""Text blocks of a web page with their place in its structure."""
+
+from __future__ import annotations
+
+import re
+from html import unescape
+
+BOILERPLATE, CONTENT, OPEN = 0, 1, 2
+
+#: Elements by what they mean for a reader.
+SKIPPED = {"script", "style", "noscript", "template", "iframe", "object", "embed", "svg", "math", "canvas", "audio", "video",
+           "textarea", "select", "option", "button", "title", "head"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
+APART = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+MAIN = {"article", "main"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
+          "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+APART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
+APART_WORDS = {"ad", "ads", "advert", "advertisement", "adsense", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation",
+               "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "cookie", "cookies", "consent", "gdpr", "notice",
+               "popup", "modal", "overlay", "comments", "comment", "commentlist", "disqus", "share", "sharing", "social", "related",
+               "newsletter", "subscribe", "subscription", "login", "signup", "search", "pagination", "skip"}
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_WORD = re.compile(r"[a-z]+")
+_RAW_END = {name: re.compile(f"</{name}\\b[^>]*>", re.I) for name in RAW}
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def _is_apart(name: str, attributes: str) -> bool:
+    if name in APART:
+        return True
+    if not attributes.strip(" /\n\t"):
+        return False
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), a or b or c
+        if key == "role":
+            if value.lower() in APART_ROLES:
+                return True
+        elif key in ("class", "id"):
+            words = _WORD.findall(_CAMEL.sub("-", value).lower())
+            if name not in ("body", "html", "article", "main") and not APART_WORDS.isdisjoint(words):
+                return True
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return True
+        elif key == "style" and "display:none" in value.replace(" ", "").lower():
+            return True
+    return False
+
+
+def blocks(html: str) -> list[tuple[int, str]]:
+    """Kind and text of each block in page order: boilerplate by structure, inside the main element, or open."""
+    out: list[tuple[int, str]] = []
+    buffer: list[str] = []
+    stack: list[tuple[str, int, int]] = []  # open elements: name, apart, main
+    count: dict[str, int] = {}
+    apart = main = 0
+    at, end = 0, len(html)
+
+    def flush() -> None:
+        text = " ".join(unescape("".join(buffer)).split())
+        buffer.clear()
+        if text:
+            out.append((BOILERPLATE if apart else CONTENT if main else OPEN, text))
+
+    while at < end:
+        found = _TAG.search(html, at)
+        if found is None:
+            buffer.append(html[at:])
+            break
+        if found.start() > at:
+            buffer.append(html[at: found.start()])
+        at = found.end()
+        closing, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        if not name:
+            continue
+        name = name.lower()
+        if name not in INLINE:
+            flush()
+        if closing:
+            if count.get(name):
+                while True:
+                    open_name, a, m = stack.pop()
+                    if open_name in MAIN or a:
+                        flush()
+                    count[open_name] -= 1
+                    apart -= a
+                    main -= m
+                    if open_name == name:
+                        break
+            continue
+        if name in VOID:
+            continue
+        if name in RAW:
+            stop = _RAW_END[name].search(html, at)
+            at = stop.end() if stop else end
+            continue
+        if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends where the next begins
+            count["p"] -= 1
+            stack.pop()
+        a = int(name in SKIPPED or _is_apart(name, attributes))
+        if a:
+            flush()
+        if not attributes.endswith("/"):
+            stack.append((name, a, int(name in MAIN)))
+            count[name] = count.get(name, 0) + 1
+            apart += a
+            main += stack[-1][2]
+    flush()
+    return out

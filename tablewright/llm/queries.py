@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, hamming, jaccard_join, katz, mixing, sharding, trie_counts
+from . import boilerplate, decontaminate, hamming, jaccard_join, katz, mixing, sharding, toxicity, trie_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.overlap_report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op8_host_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return boilerplate.main_text(_table(spark, folder, "pages"), columns=["page_id", "url"])
+
+
+def op9_counterfactual(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, learned from four fifths of the labels."""
+    docs, labels = _table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels")
+    return toxicity.score_documents(docs, labels, _remainder("doc_id", 5) != 0).select(
+        "doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_trie_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Words and tokens of all documents."""
     return trie_counts.token_counts(_table(spark, folder, "documents"), columns=["doc_id"])
@@ -78,5 +90,7 @@ QUERIES = {
     "op4_entropy_balancing": (op4_entropy_balancing, None),
     "op6_multi_index": (op6_multi_index, OP6_SQL),
     "op7_winnowing": (op7_winnowing, None),
+    "op8_host_suffixes": (op8_host_suffixes, None),
+    "op9_counterfactual": (op9_counterfactual, None),
     "op10_trie_counts": (op10_trie_counts, None),
 }
