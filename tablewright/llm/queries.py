@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import boilerplate, decontaminate, hamming, jaccard_join, katz, mixing, sharding, toxicity, trie_counts
+from . import boilerplate, decontaminate, hamming, jaccard_join, katz, language, mixing, sharding, toxicity, trie_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op5_evidence_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all pages, with trigrams of all documents."""
+    return language.identify_pages(_table(spark, folder, "pages"), _table(spark, folder, "documents"))
+
+
 def op6_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 nearest sign codes of every 20th vector among all."""
     codes = _table(spark, folder, "embeddings").select(
@@ -88,6 +93,7 @@ QUERIES = {
     "op2_token_groups": (op2_token_groups, None),
     "op3_differencing": (op3_differencing, None),
     "op4_entropy_balancing": (op4_entropy_balancing, None),
+    "op5_evidence_fusion": (op5_evidence_fusion, None),
     "op6_multi_index": (op6_multi_index, OP6_SQL),
     "op7_winnowing": (op7_winnowing, None),
     "op8_host_suffixes": (op8_host_suffixes, None),
