@@ -68,6 +68,8 @@ def item_fingerprints(items: DataFrame, window: int = WINDOW, gram: int = GRAM,
 def fingerprints(hashes: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Which places hold the smallest gram hash of some run of neighbours, and the gram hashes."""
     n = len(hashes)
+    if n < window:
+        return np.zeros(0, np.int64), np.full(n, NONE, U)
     values = np.full(n, NONE, U)
     own = grams(hashes, gram)
     values[: len(own)] = own
