@@ -50,7 +50,7 @@ v AS (SELECT value_column, any_value(need) AS need, count(*) FILTER (WHERE n >=
     arg_min(s, year) FILTER (WHERE n >= need) AS first_sum,
     arg_max(s, year) FILTER (WHERE n >= need) AS last_sum,
     coalesce(string_agg(CAST(year AS VARCHAR), ', ' ORDER BY year) FILTER (WHERE n < need), '') AS excluded,
-    string_agg(year || ' had only ' || n, ', ' ORDER BY year) FILTER (WHERE n < need) AS only_had
+    string_agg(year || ' (' || n || ')', ', ' ORDER BY year) FILTER (WHERE n < need) AS only_had
   FROM r GROUP BY 1),
 l AS (SELECT value_column, string_agg(DISTINCT CAST(year AS VARCHAR), ', ') AS lost FROM m a
   WHERE spike AND NOT EXISTS (SELECT 1 FROM y WHERE y.value_column = a.value_column
@@ -68,16 +68,15 @@ SELECT value_column AS metric_column, '{date}' AS date_column, yoy AS yoy_pct_ch
   yoy AS first_last_year_pct, mom AS mom_pct_change, n_valid, CAST(first_year AS INTEGER) AS first_year,
   CAST(last_year AS INTEGER) AS last_year, excluded AS excluded_years,
   lost AS years_lost_to_volume_anomaly, need AS min_sample_size_required,
-  concat_ws(' ', CASE WHEN yoy IS NOT NULL THEN printf('%s %s %.1f%% YoY, from %s in %d to %s in %d '
-    || '(both years meet the minimum sample size of %d rows, with any spike/anomaly months excluded).',
-    title, CASE WHEN yoy > 0 THEN 'grew' WHEN yoy < 0 THEN 'declined' ELSE 'stayed flat' END, abs(yoy),
-    format('{{:,.2f}}', first_sum), first_year, format('{{:,.2f}}', last_sum), last_year, need)
-   WHEN n_valid < 2 AND (excluded <> '' OR lost <> '') THEN 'YoY comparison skipped for ' || title || ' — '
-    || concat_ws('; ', only_had || ' (minimum ' || need || ' rows required)',
-         CASE WHEN lost <> '' THEN lost || ' only had data in a flagged volume-spike period' END) || '.' END,
-   CASE WHEN mom IS NOT NULL THEN printf('Most recent MoM change is %s %.1f%% in %d.',
-    CASE WHEN mom > 0 THEN 'up' WHEN mom < 0 THEN 'down' ELSE 'flat' END, abs(mom), last_year) END)
-   AS summary
+  concat_ws(' ', CASE WHEN yoy IS NOT NULL THEN printf('%s: %s %.1f%% between %d (%s) and %d (%s); '
+    || 'years with under %d rows and spike months are left out.', title,
+    CASE WHEN yoy > 0 THEN 'up' WHEN yoy < 0 THEN 'down' ELSE 'unchanged,' END, abs(yoy), first_year,
+    format('{{:,.2f}}', first_sum), last_year, format('{{:,.2f}}', last_sum), need)
+   WHEN n_valid < 2 AND (excluded <> '' OR lost <> '') THEN title || ': years not compared: '
+    || concat_ws('; ', 'too few rows in ' || only_had, CASE WHEN lost <> '' THEN 'only spike months in ' || lost END) || '.' END,
+   CASE WHEN mom IS NOT NULL THEN printf('Last month of %d against the one before: %s %.1f%%.', last_year,
+    CASE WHEN mom > 0 THEN 'up' WHEN mom < 0 THEN 'down' ELSE 'unchanged,' END, abs(mom)) END)
+ AS summary
 FROM w WHERE yoy IS NOT NULL OR mom IS NOT NULL OR excluded <> '' OR lost <> ''"""
 
 

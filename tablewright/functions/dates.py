@@ -29,6 +29,13 @@ def ladder(day_first: bool) -> tuple[str, ...]:
             + vocab.GENERAL_FORMATS)
 
 
+def wider(day_first: bool) -> tuple[str, ...]:
+    """Further spellings, tried only if the ladder does not read a column."""
+    first, second = ((vocab.WIDER_DAY_FIRST, vocab.WIDER_MONTH_FIRST) if day_first
+                     else (vocab.WIDER_MONTH_FIRST, vocab.WIDER_DAY_FIRST))
+    return vocab.WIDER_FORMATS + first + second
+
+
 def _two_digit_year(stamp: Column) -> Column:
     """yy is read as 20yy; from the pivot on it means 19yy."""
     late = F.year(stamp) >= 2000 + vocab.TWO_DIGIT_YEAR_PIVOT
@@ -39,8 +46,9 @@ def _shape(fmt: str) -> str:
     """Regular expression for text the format could read, so misfits never reach the parser."""
     widths = {"yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}",
               "M": "[0-9]{1,2}", "MM": "[0-9]{2}", "d": "[0-9]{1,2}", "dd": "[0-9]{2}",
-              "H": "[0-9]{1,2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", "SSSSSS": "[0-9]{1,6}"}
-    body = re.sub(r"([A-Za-z])\1*|\.", lambda m: widths.get(m.group(0), r"\."), fmt)
+              "H": "[0-9]{1,2}", "h": "[0-9]{1,2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}",
+              "SSSSSS": "[0-9]{1,6}", "a": "[AaPp][Mm]", "XXX": "(?:Z|[+-][0-9]{2}:[0-9]{2})", "'T'": "T"}
+    body = re.sub(r"'T'|([A-Za-z])\1*|\.", lambda m: widths.get(m.group(0), r"\."), fmt)
     return f"^{body}$"
 
 
@@ -49,7 +57,9 @@ def parse_with(c: Column, fmt: str) -> Column:
     text = trimmed(c)
     if fmt == "unix":
         return F.timestamp_seconds(F.when(_is_unix(c), plain_number(text)))
-    stamp = F.try_to_timestamp(F.when(text.rlike(_shape(fmt)), text), F.lit(fmt))
+    fitting = F.when(text.rlike(_shape(fmt)), F.upper(text) if fmt.endswith(" a") else text)
+    stamp = F.try_to_timestamp(fitting, F.lit(fmt.replace("SSSSSS", "[SSSSSS][SSSSS][SSSS][SSS][SS][S]")
+                                              if "XXX" in fmt or "'T'" in fmt else fmt))
     return _two_digit_year(stamp) if fmt.endswith("yy") and not fmt.endswith("yyyy") else stamp
 
 
@@ -84,6 +94,7 @@ class DateFit:
     unix_share: float
     format_shares: dict[str, float]
     mixed_share: float
+    wider: tuple[str, ...] | None = None
 
     @property
     def looks_like_dates(self) -> bool:
@@ -108,7 +119,7 @@ class DateFit:
                 return (fmt,)
         if self.mixed_share >= vocab.DATE_PARSE_SHARE:
             return order + vocab.MONTH_YEAR_FORMATS
-        return None
+        return self.wider
 
 
 def _vote(text: Column, first_over: bool) -> Column:
@@ -150,6 +161,17 @@ def date_evidence(c: Column) -> list[Column]:
     ]
 
 
+def _wider_formats(df: DataFrame, column: str, n: int, day_first: bool) -> tuple[str, ...] | None:
+    """The one further spelling that fits most cells, or all together with the ladder."""
+    every = wider(day_first)
+    together = parse_date(F.col(column), ladder(day_first) + every + vocab.MONTH_YEAR_FORMATS)
+    hits = df.agg(F.count(together), *[F.count(parse_with(F.col(column), f)) for f in every]).first()
+    alone = next((f for f, h in zip(every, hits[1:]) if h >= vocab.DATE_PARSE_SHARE * n), None)
+    if alone:
+        return (alone,)
+    return ladder(day_first) + every + vocab.MONTH_YEAR_FORMATS if n and hits[0] >= vocab.DATE_PARSE_SHARE * n else None
+
+
 def fit_dates(df: DataFrame, columns: list[str]) -> dict[str, DateFit]:
     """Judge each text column over all its rows, no sampling.
 
@@ -163,10 +185,13 @@ def fit_dates(df: DataFrame, columns: list[str]) -> dict[str, DateFit]:
         share = (lambda hits, n=n: hits / n if n else 0.0)
         day_first = row["day_votes"] > row["month_votes"]
         shares = {f: share(row[f"hits_{i}"]) for i, f in enumerate(every)}
+        more = None
         mixed = max(shares[f] for f in ladder(day_first))
         if mixed < vocab.DATE_PARSE_SHARE:
             together = parse_date(F.col(column), ladder(day_first) + vocab.MONTH_YEAR_FORMATS)
             mixed = share(df.agg(F.count(together)).first()[0])
+        if mixed < vocab.DATE_PARSE_SHARE and row["bare"] < vocab.BARE_NUMBER_SHARE * max(n, 1):
+            more = _wider_formats(df, column, n, day_first)
         fits[column] = DateFit(
             column=column,
             n_values=n,
@@ -178,5 +203,6 @@ def fit_dates(df: DataFrame, columns: list[str]) -> dict[str, DateFit]:
             unix_share=share(row["unix"]),
             format_shares=shares,
             mixed_share=mixed,
+            wider=more,
         )
     return fits

@@ -120,9 +120,10 @@ def floor_at_zero(name: str) -> bool:
 
 
 def is_digit_identifier(name: str) -> bool:
-    """Identifiers that may hold digits only (accounts, phones, zips)."""
-    return (has_fragment(name, (*vocab.DIGIT_ID_FRAGMENTS, *vocab.ID_FRAGMENTS))
-            and not has_fragment(name, vocab.LETTERED_ID_FRAGMENTS))
+    """Identifiers that may hold digits only (accounts, phones, zips), by whole words."""
+    return (has_word(name, (*vocab.DIGIT_ID_FRAGMENTS, *vocab.ID_FRAGMENTS))
+            and not has_word(name, (*vocab.LETTERED_ID_FRAGMENTS, *vocab.MONEY_TOKENS,
+                                    *vocab.SIGNED_WORDS)))
 
 
 def is_identifier_role(name: str) -> bool:

@@ -53,6 +53,12 @@ GENERAL_FORMATS = ("yyyy-M-d H:mm:ss", "yyyy-M-d H:mm:ss.SSSSSS", "yyyy-M-d H:mm
                    "yyyy/M/d H:mm:ss", "yyyy/M/d", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy",
                    "MMMM d yyyy", "MMM-yyyy", "MMMM-yyyy", "MMM yyyy", "MMMM yyyy", "M/yyyy",
                    "yyyyMMdd")
+# Spellings outside the ladder, tried where nothing above fits.
+WIDER_FORMATS = ("yyyy-M-d'T'H:mm:ss", "yyyy-M-d'T'H:mm:ss.SSSSSS", "yyyy-M-d'T'H:mm", "yyyy-M-d'T'H:mm:ssXXX",
+                 "yyyy-M-d'T'H:mm:ss.SSSSSSXXX", "yyyy-M-d H:mm:ssXXX", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy",
+                 "d MMM, yyyy", "d-MMMM-yyyy", "MMM-d-yyyy", "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy", "yyyy.M.d", "d-MMM-yy")
+WIDER_DAY_FIRST = ("d/M/yyyy H:mm", "d/M/yyyy h:mm a", "d/M/yyyy h:mm:ss a", "d-M-yyyy h:mm a", "d/M/yy", "d-M-yy")
+WIDER_MONTH_FIRST = ("M/d/yyyy H:mm", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a", "M-d-yyyy h:mm a", "M/d/yy", "M-d-yy")
 # Month-with-year spellings outside the ladder above.
 MONTH_YEAR_FORMATS = ("MMM/yyyy", "MMMM/yyyy", "yyyy-MMM", "yyyy MMM", "yyyy/MMM", "yyyy-MMMM",
                       "yyyy MMMM", "yyyy/MMMM", "M-yyyy", "MMM-yy", "MMM yy", "MMMM-yy",
@@ -123,7 +129,6 @@ RETENTION_WARN_PCT = 90.0
 # --- fuzzy matching: (longest length that counts as short, short share, long share, distance)
 FUZZY_VALUES = (6, 0.20, 0.30, 2)
 FUZZY_ROWS = (6, 0.20, 0.15, 3)
-SIGNATURE_COLUMNS = 6
 
 # --- imputation -------------------------------------------------------------
 IMPUTE_MAX_MISSING_PCT = 70.0

@@ -203,7 +203,7 @@ def _last_card(df, lead, rest, label, prefix, n_rows, entity_plural, trend) -> D
         share = F.coalesce(F.try_divide(part, F.sum(amount)) * 100, F.lit(0.0))
         title = f"TOP {segment.replace('_', ' ').upper()}"
         return df.agg(F.lit(4).alias("card"), F.lit(title).alias("title"),
-                      F.round(part, 2).alias("value"), F.lit(name[:18]).alias("shown"),
+                      F.round(part, 2).alias("value"), F.lit(name).alias("shown"),
                       F.concat(format_value(part, prefix), F.lit(" · "),
                                F.format_string("%.1f%% of ", F.round(share, 1)),
                                F.lit(label.lower())).alias("caption"))

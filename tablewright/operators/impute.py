@@ -165,11 +165,11 @@ def _predict(df: DataFrame, encoded: DataFrame, row_id: str, column: str,
             learn = learn.join(F.broadcast(back), F.col("_y") == key).withColumn(
                 "_y", F.col("_label").cast("double")).drop("value", "_n", "_label")
     learn = learn.select("features", "_y", row_id)
-    if options.train_rows and known > options.train_rows:
+    if classify and options.train_rows and known > options.train_rows:
         share = min(1.0, options.train_rows / known)
         learn = learn.sample(fraction=share, seed=options.seed)
     # a fixed row order inside fixed partitions makes the seeded forest repeatable
-    learn = learn.repartition(8, row_id).sortWithinPartitions(row_id)
+    learn = learn.repartition(max(8, known // 100_000), row_id).sortWithinPartitions(row_id)
     kind = RandomForestClassifier if classify else RandomForestRegressor
     model = kind(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=options.depth,
                  seed=options.seed, maxBins=64).fit(learn)

@@ -137,23 +137,17 @@ def _narrative() -> Column:
     title = F.initcap(F.replace(F.col("value_column"), F.lit("_"), F.lit(" ")))
     moved = (lambda c, up, down, flat: F.when(c > 0, up).when(c < 0, down).otherwise(flat))
     yoy = F.format_string(
-        "%s %s %.1f%% YoY, from %s in %d to %s in %d (both years meet the minimum sample size "
-        "of %d rows, with any spike/anomaly months excluded).",
-        title, moved(F.col("yoy"), "grew", "declined", "stayed flat"), F.abs("yoy"),
-        F.format_number("first_sum", 2), F.col("first_year"), F.format_number("last_sum", 2),
-        F.col("last_year"), F.col("min_required"))
+        "%s: %s %.1f%% between %d (%s) and %d (%s); years with under %d rows and spike months are left out.",
+        title, moved(F.col("yoy"), "up", "down", "unchanged,"), F.abs("yoy"), F.col("first_year"),
+        F.format_number("first_sum", 2), F.col("last_year"), F.format_number("last_sum", 2), F.col("min_required"))
     sparse = F.when(F.size("excluded") > 0, F.concat(
-        F.concat_ws(", ", F.transform("excluded", lambda e: F.format_string(
-            "%d had only %d", e.year, e.year_rows))),
-        F.format_string(" (minimum %d rows required)", F.col("min_required"))))
+        F.lit("too few rows in "), F.concat_ws(", ", F.transform("excluded", lambda e: F.format_string(
+            "%d (%d)", e.year, e.year_rows)))))
     spiked = F.when(F.size("years_lost") > 0, F.concat(
-        F.concat_ws(", ", F.transform("years_lost", lambda y: y.cast("string"))),
-        F.lit(" only had data in a flagged volume-spike period")))
-    skipped = F.format_string("YoY comparison skipped for %s — %s.", title,
-                              F.concat_ws("; ", sparse, spiked))
-    mom = F.format_string("Most recent MoM change is %s %.1f%% in %d.",
-                          moved(F.col("mom"), "up", "down", "flat"), F.abs("mom"),
-                          F.col("last_year"))
+        F.lit("only spike months in "), F.concat_ws(", ", F.transform("years_lost", lambda y: y.cast("string")))))
+    skipped = F.format_string("%s: years not compared: %s.", title, F.concat_ws("; ", sparse, spiked))
+    mom = F.format_string("Last month of %d against the one before: %s %.1f%%.", F.col("last_year"),
+                          moved(F.col("mom"), "up", "down", "unchanged,"), F.abs("mom"))
     return F.concat_ws(
         " ",
         F.when(F.col("yoy").isNotNull(), yoy).when(

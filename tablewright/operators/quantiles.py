@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spark's exact percentile keeps every distinct value of a column in one task.
@@ -31,9 +31,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
                     n_rows: int | None = None) -> dict[str, list[float | None]]:
     """Percentiles of each numeric column over its non-null values.
 
-    Above ``built_in_rows`` the value at each wanted rank is found by counting: one pass counts
-    the rows of all columns in equal-width bins, the next one looks only into the bins that
-    hold a wanted rank, and so on until a bin is a single value. Each pass is one aggregate
+    Above ``built_in_rows`` the value at each wanted rank is found by counting: the first pass
+    counts the rows of all columns by sign and magnitude (infinities apart), the next ones look
+    only into the bins that hold a wanted rank, in equal widths, until a bin is a single value. So
+    values spread over many magnitudes take no more passes than others. Each pass is one aggregate
     with partial sums and at most ``bins`` rows per searched range, so no task ever holds a
     column: for evenly spread values two passes settle a million rows, three a billion.
     """
@@ -54,24 +55,35 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     ranges = [_Range(i, ends[i][1], ends[i][2], 0, ends[i][0],
                      sorted({r for at in places[i] for r in (floor(at), ceil(at))}))
               for i in range(len(columns)) if ends[i][0]]
+    first = True
     while ranges:
-        ranges = _narrow(values, ranges, found, bins)
-    return {c: [None if not ends[i][0] else
-                found[i, floor(at)] + (at - floor(at)) * (found[i, ceil(at)] - found[i, floor(at)])
+        ranges, first = _narrow(values, ranges, found, bins, first), False
+    return {c: [None if not ends[i][0] else _between(found[i, floor(at)], found[i, ceil(at)],
+                                                     at - floor(at))
                 for at in places[i]] for i, c in enumerate(columns)}
 
 
-def _narrow(values: DataFrame, ranges: list[_Range], found: dict, bins: int) -> list[_Range]:
+def _between(low: float, high: float, share: float) -> float:
+    return low if low == high or not share else low + share * (high - low)
+
+
+def _magnitude(v: Column) -> Column:
+    """A step function that never falls: sign and power of two, zero and infinities by themselves."""
+    power = F.floor(F.log2(F.abs(v)) / 4) + 300
+    return F.when(v == 0, 0).when(F.abs(v) == float("inf"), F.signum(v) * 1000).otherwise(F.signum(v) * power)
+
+
+def _narrow(values: DataFrame, ranges: list[_Range], found: dict, bins: int, first: bool) -> list[_Range]:
     """One counting pass over all ranges; returns the smaller ranges still to search."""
     entries, touched = [], F.lit(False)
     for number, r in enumerate(ranges):
         v = F.col(f"v{r.column}")
         inside = v.between(r.low, r.high)
         touched = touched | inside
-        width = (r.high - r.low) / bins
+        width = r.high / bins - r.low / bins
         # few rows, or bins that no longer split neighbouring doubles: every value is a bin
         single = r.rows <= bins or r.low + width <= r.low
-        slot = v if single else F.least(F.floor((v - r.low) / width), F.lit(bins - 1))
+        slot = v if single else _magnitude(v) if first else F.least(F.floor((v - r.low) / width), F.lit(bins - 1))
         entries.append(F.struct(F.lit(number).alias("range"), F.when(
             inside, slot.cast("double")).alias("slot"), v.alias("v")))
     counted = (values.where(touched).select(F.inline(F.array(*entries))).where("slot IS NOT NULL")

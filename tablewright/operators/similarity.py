@@ -243,7 +243,10 @@ def spelling_map_of_counts(values: DataFrame, rule: Closeness = VALUES,
         F.min(F.struct((-F.col("count")).alias("rank"), "value")).alias("best"))
     items = forms.select(F.col("norm").alias("id"), F.col("norm").alias("text"),
                          F.col("best.rank").alias("rank"), F.col("best.value").alias("value"))
-    led = leaders(items, close_pairs(items, rule, frequent), ["rank", "value"])
+    # texts whose digits differ name different things, however alike they look
+    digits = (lambda c: F.regexp_replace(c, "[^0-9]", ""))
+    pairs = close_pairs(items, rule, frequent).where(digits(F.col("id_a")) == digits(F.col("id_b")))
+    led = leaders(items, pairs, ["rank", "value"])
     canonical = led.join(items.select(F.col("id").alias("leader"),
                                       F.col("value").alias("canonical")), "leader")
     return counts.join(canonical.withColumnRenamed("id", "norm"), "norm").select(
@@ -270,8 +273,7 @@ def row_signatures(df: DataFrame, row_id: str, columns: list[str] | None = None)
 
 
 def signature_columns(df: DataFrame, row_id: str) -> list[str]:
-    text = [c for c in names.text_columns(df, [row_id]) if not c.endswith("_month_name")]
-    return text[:vocab.SIGNATURE_COLUMNS]
+    return [c for c in names.text_columns(df, [row_id]) if not c.endswith("_month_name")]
 
 
 def _signed(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
@@ -280,13 +282,14 @@ def _signed(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
 
 
 def near_duplicate_rows(df: DataFrame, row_id: str, rule: Closeness = ROWS,
-                        frequent: int = FREQUENT_PIECE) -> DataFrame:
+                        frequent: int = FREQUENT_PIECE,
+                        columns: list[str] | None = None) -> DataFrame:
     """Rows that resemble, but do not equal, the first row of their cluster.
 
     (row id, cluster id) for every row of every cluster holding at least two different
     contents. Nothing is removed: this is a report.
     """
-    columns = signature_columns(df, row_id)
+    columns = columns or signature_columns(df, row_id)
     items = written(row_signatures(df, row_id, columns))
     led = leaders(items, close_pairs(items, rule, frequent), ["id"])
     shared = led.where("id <> leader").select("leader").distinct()

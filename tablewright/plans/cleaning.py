@@ -8,6 +8,7 @@ small joins; it runs no job, so it also works on a streaming frame (without date
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -20,6 +21,7 @@ from ..operators.profile import missing_profile, value_counts
 from ..session import shared_folder, written
 
 INLINE_ENTRIES = 10_000
+MIN_DIGIT_SHARE = 0.5
 LOG_SCHEMA = "step string, column string, action string, n_cells bigint, detail string"
 
 
@@ -65,7 +67,7 @@ class CleaningPlan:
         targets = names.standard_names(sources)
         log += [("columns", t, "renamed", None, f"{s} -> {t}")
                 for s, t in zip(sources, targets) if s != t]
-        raw = cells.without_nan(df.select(*[F.col(s).alias(t) for s, t in zip(sources, targets)]))
+        raw = cells.without_nan(df.select(*[quoted(s).alias(t) for s, t in zip(sources, targets)]))
         plan = cls({t: ColumnPlan(s, "keep") for s, t in zip(sources, targets)}, {}, log)
         plan._decide_types(raw, set(keep_text), min_currency_share)
         plan._decide_text(raw, set(keep_text), canonical, fuzzy)
@@ -80,7 +82,9 @@ class CleaningPlan:
         open_text = []
         for r in cleaning.numeric_text_profile(raw, text).collect():
             c, plan = r["column"], self.columns[r["column"]]
-            if names.is_digit_identifier(c):
+            # digits are kept as text, leading zeros included, where most cells hold nothing else
+            digits = r["n_values"] - swept[c]["n_lettered"]
+            if names.is_digit_identifier(c) and digits >= MIN_DIGIT_SHARE * r["n_values"] > 0:
                 plan.kind = "digits"
                 n_bad = swept[c]["n_lettered"]
                 if n_bad:
@@ -115,6 +119,7 @@ class CleaningPlan:
         counts = written(value_counts(cleaned, text))  # one row per distinct value
         distinct = {r["column"]: r for r in counts.groupBy("column").agg(
             F.count("*").alias("distinct"), F.sum("count").alias("rows"),
+            F.avg(F.col("value").rlike("[0-9]").cast("int")).alias("numbered"),
             F.bool_and(cells.is_boolean_word(F.col("value"))).alias("boolean")).collect()}
         for c in text:
             r, plan = distinct.get(c), self.columns[c]
@@ -129,7 +134,9 @@ class CleaningPlan:
                 self.log.append(("booleans", c, "to Yes/No", r["rows"], None))
                 continue
             plan.kind = "category"
-            self._merge_spellings(c, counts, canonical, fuzzy)
+            # nearly unique numbered texts name different things
+            numbered = r["numbered"] > 0.5 and r["distinct"] > 0.5 * r["rows"]
+            self._merge_spellings(c, counts, canonical, fuzzy and not numbered)
 
     def _merge_spellings(self, c: str, counts: DataFrame, canonical: DataFrame | None,
                          fuzzy: bool) -> None:
@@ -162,9 +169,8 @@ class CleaningPlan:
             plan.mapping = [[r["value"], r["canonical"]] for r in changed.collect()]
         else:  # too many to carry inside the plan: keep them as a table beside it
             spark = changed.sparkSession
-            plan.mapping_path = (f"{shared_folder(spark)}/tablewright-map-{c}-"
-                                 f"{abs(hash((c, n, rows))):x}")
-            changed.select("value", "canonical").write.mode("overwrite").parquet(plan.mapping_path)
+            plan.mapping_path = f"{shared_folder(spark)}/tablewright-map-{uuid.uuid4().hex}"
+            changed.select("value", "canonical").write.parquet(plan.mapping_path)
 
     def _decide_values(self, raw: DataFrame) -> None:
         """Scales, fill values, domain bounds and outlier caps, in the order they are applied."""
@@ -206,7 +212,7 @@ class CleaningPlan:
             -> DataFrame:
         """Clean a frame. With an ``order`` key, missing dates are filled from neighbours."""
         raw = cells.without_nan(df.select(
-            *[F.col(p.source).alias(c) for c, p in self.columns.items()]))
+            *[quoted(p.source).alias(c) for c, p in self.columns.items()]))
         result = self._typed(raw)
         if fill:
             result = self._filled(result)
@@ -293,6 +299,11 @@ class CleaningPlan:
                    [tuple(r) for r in kept["log"]])
 
 
+def quoted(name: str) -> Column:
+    """A column by its literal name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _beyond(c: str, low: float | None, high: float | None) -> Column:
     below = F.col(c) < low if low is not None else F.lit(False)
     return below | (F.col(c) > high if high is not None else F.lit(False))
@@ -329,19 +340,28 @@ def clean(df: DataFrame, drop: Sequence[str] = (), keep_first: Sequence[str] = (
     the latter needs ``row_id``, a unique column. The de-duplicated rows are written once,
     since every later step reads them.
     """
-    kept, _ = cleaning.drop_columns(df, drop)
-    swept = cleaning.sweep_nulls(cells.without_nan(kept))
-    unique = written(dedup.deduplicate(swept, keep_first))
+    if impute_with == "forest" and row_id is None:
+        raise ValueError("a forest needs row_id, a unique column")
+    sources = [c for c in df.columns if c not in set(drop)]
+    named = dict(zip(sources, names.standard_names(sources)))
+    target = (lambda c: named.get(c, c))
+    renamed = df.select(*[quoted(s).alias(t) for s, t in named.items()])
+    swept = cleaning.sweep_nulls(cells.without_nan(renamed))
+    unique = written(dedup.deduplicate(swept, [target(c) for c in keep_first]))
     plan = CleaningPlan.fit(unique, **options)
+    log = [("columns", c, "dropped" if c in df.columns else "not found", None, None) for c in drop]
+    plan.log[:0] = log + [("columns", t, "renamed", None, f"{s} -> {t}") for s, t in named.items() if s != t]
     kept_rows = dedup.retention(df, unique)
     counts = kept_rows.first()
     plan.log.insert(0, ("duplicates", None, "rows removed", counts["rows_removed"],
                         f"retention {counts['retention_pct']}%"))
     if impute_with == "forest":
-        partial = written(plan.apply(unique, fill=False))
-        rows = impute.forest_impute(partial, row_id)
+        partial = written(plan._typed(cells.without_nan(unique)))  # date parts come after filling
+        rows = impute.forest_impute(partial, target(row_id))
         rows = plan._capped(plan._bounded(rows))
         rows = cleaning.add_date_parts(rows, plan.date_parts)
     else:
-        rows = plan.apply(unique, order=order)
+        rows = plan.apply(unique, order=[target(c) for c in order] if order else None)
+    for s, t in named.items():  # the plan reads raw headers from here on
+        plan.columns[t].source = s
     return Cleaned(rows, plan, kept_rows, plan.log_frame(df.sparkSession))

@@ -5,6 +5,8 @@ The layout makes listing, filtering and deleting one user's dataset a matter of
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,13 +58,12 @@ class ReportStore:
         return self.of(username).select("dataset_name").distinct().orderBy("dataset_name")
 
     def delete(self, username: str, dataset: str) -> int:
-        """Empty one owner's dataset by overwriting just its partition; returns chunks removed."""
-        n = self.of(username, dataset).count()
-        if n:
-            empty = self.spark.createDataFrame(
-                [], T.StructType([f for f in SCHEMA if f.name not in ("username",
-                                                                      "dataset_name")]))
-            path = (self.of(username, dataset).select(F.input_file_name()).first()[0]
-                    .rsplit("/", 1)[0])
-            empty.write.mode("overwrite").parquet(path)
+        """Remove one owner's dataset with its partition; returns chunks removed."""
+        mine = self.of(username, dataset)
+        n = mine.count()
+        # file names come URL-encoded; the folder of a partition is one, whatever the names hold
+        folders = {unquote(r[0]).rsplit("/", 1)[0] for r in mine.select(F.input_file_name()).distinct().collect()}
+        for folder in folders:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return n
