@@ -25,15 +25,28 @@ def unpack(data: bytes, dtype, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype) if n else np.zeros(0, dtype)
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on; equal bytes of all numbers are stored together, so small ones take little."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack_numbers(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data, np.uint8, 8 * n).reshape(8, -1).T).view("<u8").ravel() if n else np.zeros(0, np.uint64)
+
+
 def text_blocks(docs: DataFrame, block_words: int, *, lower: bool = True, strings: bool = False) -> DataFrame:
     """docs: row, held, text -> block, rows, held, counts, words, vocab, ids, strings, lengths.
 
-    With `strings`, the distinct words themselves come along, in the order of their hashes.
+    With `strings`, the distinct words themselves come along, in the order of vocab.
     """
 
     def flush(parts, rows, held, texts) -> pa.RecordBatch:
         rows, held = pa.concat_arrays(rows), np.concatenate(held)
-        vocab, first, ids = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+        vocab, ids, times = np.unique(np.concatenate([p.hashes for p in parts]), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        vocab, ids = vocab[order], rank[ids]
         counts = np.concatenate([p.counts for p in parts]).astype(np.int64)
         named = [b"", b""]
         if strings:
@@ -42,7 +55,7 @@ def text_blocks(docs: DataFrame, block_words: int, *, lower: bool = True, string
         return pa.RecordBatch.from_arrays([
             pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
             pa.array([held.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
-            pa.array([len(ids)], pa.int64()), pa.array([vocab.tobytes()], pa.binary()), pa.array([pack(ids.astype(np.uint32))], pa.binary()),
+            pa.array([len(ids)], pa.int64()), pa.array([vocab.tobytes()], pa.binary()), pa.array([pack_numbers(ids)], pa.binary()),
             *[pa.array([x], pa.binary()) for x in named]],
             ["block", "rows", "held", "counts", "words", "vocab", "ids", "strings", "lengths"])
 

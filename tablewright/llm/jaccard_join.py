@@ -8,13 +8,14 @@ least 0.8 (both parameters). The join is exact up to 64-bit hashes, with no cap
    among the first ``n - ceil(t * n) + 1`` in this order (their prefix), and a shingle that no
    other set holds cannot be it. Sets whose prefix is all their own are done.
 2. The remaining sets are partitioned into groups of similar sets by the first shared shingle;
-   a large group is cut into parts of bounded size. Inside a part the sets are compared, and
-   each component of linked sets keeps a leader; leaders of the parts of a group are compared
-   in the same way until each group has few.
-3. The matrix holds for each group the shingles of its sets' prefixes. A set looks up its own
-   prefix and visits the groups that hold one of them, unless their sets are all in its own component
-   already. At a group, its overlap with the union of all shingles of the group bounds what it
-   can share with any member, and the group is opened only if the bound reaches ``t * n``.
+   a large group is cut into parts of bounded size. Inside a part all sets are compared. The few sets
+   with most links in any part of a group then visit all its parts, which connects
+   the copies of one text.
+3. The matrix holds for each part the shingles of its sets' prefixes; shingles held by the same
+   parts are one column. A set looks up its own columns and visits the parts that hold one of
+   them, unless their sets are all in its own component already. At a part, its overlap with
+   the union of all shingles there bounds what it can share with any member, and the part is
+   opened only if the bound reaches ``t * n``.
 """
 
 from __future__ import annotations
@@ -23,28 +24,35 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import pack, unpack
+from .blocks import pack, text_blocks, unpack, unpack_numbers
 from .components import components
 from .scratch import Tables
-from .tokens import PLAIN, U, grams, mix, words_of
+from .tokens import U, grams, mix
 
 WORDS, PERCENT = 5, 80
 BLOCK_WORDS = 1_000_000    # words of the documents whose shingles are sent together
 BUCKET_WORDS = 2_000_000   # shingles counted in one task
 GROUP_SETS, GROUP_SHINGLES = 128, 2_000_000
-VISITS = 512               # visits to a group handled in one task
+HUBS = 8                   # sets that visit all parts of their group
+VISITS = 512               # visits to a part handled in one task
 OUTPUT = ("n_shingles", "component_id")
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def _shingle_sets(hashes: np.ndarray, counts: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingles of each text."""
+    whole = grams(hashes, words)
     at = 0
     for n in counts.tolist():
-        yield np.unique(grams(hashes[at: at + n], min(n, words))) if n else np.zeros(0, U)
+        yield _distinct(whole[at: at + n - words + 1] if n >= words else grams(hashes[at: at + n], n) if n else np.zeros(0, U))
         at += n
 
 
@@ -54,60 +62,34 @@ def _set_id(shingles: np.ndarray) -> int:
     return int(value.view(np.int64)[0])
 
 
-def shingle_counts(texts, words: int = WORDS):
-    """Column of structs: n (distinct shingles), id (of the set; null if it is empty)."""
-
-    @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("id", T.LongType())]))
-    def sets(texts: pa.Array) -> pa.Array:
-        n, ids = [], []
-        for part in words_of(texts, PLAIN):
-            for own in _shingle_sets(part.hashes, part.counts, words):
-                n.append(len(own))
-                ids.append(_set_id(own) if len(own) else None)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["n", "id"])
+def _decode(row: dict, words: int) -> Iterator[np.ndarray]:
+    counts = np.frombuffer(row["counts"], np.int64)
+    return _shingle_sets(np.frombuffer(row["vocab"], U)[unpack_numbers(row["ids"], row["words"])], counts, words)
 
-    return sets(texts)
 
+def _set_rows(blocks: DataFrame, words: int) -> DataFrame:
+    """Each row of the blocks with n (distinct shingles) and id (of the set; null if it is empty)."""
 
-_BLOCK = pa.schema([("block", pa.string()), ("words", pa.int64()), ("counts", pa.binary()), ("vocab", pa.binary()), ("ids", pa.binary())])
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sets = list(_decode({c: batch.column(c)[i].as_py() for c in ("counts", "words", "vocab", "ids")}, words))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("rows")[i].values, pa.array([len(own) for own in sets], pa.int64()),
+                    pa.array([_set_id(own) if len(own) else None for own in sets], pa.int64())], ["row", "n", "id"])
 
-def word_blocks(docs: DataFrame, text: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Texts as blocks of word numbers: counts per text, distinct word hashes, one number per word."""
+    row = blocks.schema["rows"].dataType.elementType
+    return blocks.select("rows", "counts", "words", "vocab", "ids").mapInArrow(run, T.StructType([
+        T.StructField("row", row), T.StructField("n", T.LongType()), T.StructField("id", T.LongType())]))
 
-    def flush(parts) -> pa.RecordBatch:
-        import uuid
-        counts = np.concatenate([p.counts for p in parts]).astype(np.uint32)
-        vocab, ids = np.unique(np.concatenate([p.hashes for p in parts]), return_inverse=True)
-        return pa.RecordBatch.from_pylist([{
-            "block": uuid.uuid4().hex, "words": len(ids), "counts": np.append(np.uint32(len(counts)), counts).astype(np.uint32).tobytes(),
-            "vocab": vocab.tobytes(), "ids": pack(ids.astype(np.uint32))}], schema=_BLOCK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
-        for batch in batches:
-            for part in words_of(batch.column(0), PLAIN):
-                part.data = part.starts = part.ends = None
-                parts.append(part)
-                n += len(part.hashes)
-                if n >= block_words:
-                    yield flush(parts)
-                    parts, n = [], 0
-        if parts:
-            yield flush(parts)
-
-    return docs.select(F.col(text)).mapInArrow(run, "block string, words bigint, counts binary, vocab binary, ids binary")
-
-
-def _block_sets(row: dict, words: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct sets of a block with at least one shingle, and all their distinct shingles."""
-    counts = np.frombuffer(row["counts"], np.uint32)[1:].astype(np.int64)
-    hashes = np.frombuffer(row["vocab"], U)[unpack(row["ids"], np.uint32, row["words"])]
-    found: dict[int, np.ndarray] = {}
-    for own in _shingle_sets(hashes, counts, words):
+def _block_sets(row: dict, words: int) -> list[np.ndarray]:
+    """Distinct sets of a block with at least one shingle."""
+    found: dict[bytes, np.ndarray] = {}
+    for own in _decode(row, words):
         if len(own):
-            found.setdefault(_set_id(own), own)
-    return found
+            found.setdefault(own.tobytes(), own)
+    return list(found.values())
 
 
 def _requests(blocks: DataFrame, bits: int, words: int) -> DataFrame:
@@ -120,7 +102,9 @@ def _requests(blocks: DataFrame, bits: int, words: int) -> DataFrame:
                 sets = _block_sets(row, words)
                 if not sets:
                     continue
-                values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+                every = np.sort(np.concatenate(sets))
+                first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+                values, counts = every[first], np.diff(np.append(first, len(every)))
                 edges = np.searchsorted(values >> U(64 - bits) if bits else np.zeros(len(values), U), np.arange((1 << bits) + 1, dtype=U))
                 edges[-1] = len(values)
                 low = ((values >> U(32 - bits)) & U(0xFFFFFFFF)).astype(np.uint32)
@@ -133,7 +117,7 @@ def _requests(blocks: DataFrame, bits: int, words: int) -> DataFrame:
                                     "many": many.astype(np.uint32).tobytes(), "counts": counts[a:b][many].astype(np.uint32).tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return blocks.mapInArrow(run, "bucket int, block string, shingles binary, many binary, counts binary")
+    return blocks.select("block", "counts", "words", "vocab", "ids").mapInArrow(run, "bucket int, block string, shingles binary, many binary, counts binary")
 
 
 def _levels(requests: DataFrame) -> DataFrame:
@@ -170,21 +154,22 @@ def _live_sets(blocks: DataFrame, levels: DataFrame, words: int, percent: int) -
         for batch in batches:
             for row in batch.to_pylist():
                 sets = _block_sets(row, words)
-                values = np.unique(np.concatenate(list(sets.values())))
-                level = np.concatenate([unpack(x["levels"], np.uint8, x["n"]) for x in sorted(row["levels"], key=lambda x: x["bucket"])])
-                out = []
-                for id_, own in sets.items():
-                    lv = level[np.searchsorted(values, own)]
+                _, place = np.unique(np.concatenate(sets), return_inverse=True)
+                level = np.concatenate([unpack(x["levels"], np.uint8, x["n"]) for x in sorted(row["levels"], key=lambda x: x["bucket"])])[place]
+                out, at = [], 0
+                for own in sets:
+                    lv = level[at: at + len(own)]
+                    at += len(own)
                     alone = int((lv == 0).sum())
                     length = prefix_length(len(own), percent)
                     if alone < length:
                         shared, lv = own[lv > 0], lv[lv > 0]
                         prefix = shared[np.argsort(lv, kind="stable")[: length - alone]].view(np.int64)
-                        out.append({"id": id_, "n": len(own), "key": int(prefix[0]), "prefix": prefix, "shingles": shared.tobytes()})
+                        out.append({"id": _set_id(own), "n": len(own), "key": int(prefix[0]), "prefix": prefix, "shingles": shared.tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     answers = levels.groupBy("block").agg(F.collect_list(F.struct("bucket", "levels", "n")).alias("levels"))
-    return blocks.join(answers, "block").mapInArrow(run, "id bigint, n bigint, key bigint, prefix array<bigint>, shingles binary")
+    return blocks.select("block", "counts", "words", "vocab", "ids").join(answers, "block").mapInArrow(run, "id bigint, n bigint, key bigint, prefix array<bigint>, shingles binary")
 
 
 class Group:
@@ -212,12 +197,13 @@ class Group:
         return np.flatnonzero(100 * both >= percent * (n + self.sizes - both))
 
 
-def _leaders(table: pa.Table, percent: int) -> list[int]:
-    """For each set of a part the smallest id among the sets of the part it is connected with."""
+def _inside(table: pa.Table, percent: int) -> pa.Table:
+    """Links of a part that connect its sets, and, if the group has more parts, the sets with most links."""
     ids, sizes = table["id"].to_pylist(), table["n"].to_numpy()
-    sets = [np.frombuffer(x, U) for x in table["shingles"].to_pylist()]
+    stored = table["shingles"].to_pylist()
+    sets = [np.frombuffer(x, U) for x in stored]
     group = Group(sets, sizes)
-    parent = list(range(len(ids)))
+    parent, links = list(range(len(ids))), np.zeros(len(ids), np.int64)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -226,11 +212,20 @@ def _leaders(table: pa.Table, percent: int) -> list[int]:
         return i
 
     for i, own in enumerate(sets):
-        for j in group.linked(own, int(sizes[i]), percent).tolist():
+        found = group.linked(own, int(sizes[i]), percent)
+        links[i] = len(found)
+        for j in found.tolist():
             a, b = root(i), root(j)
             if a != b:
-                parent[max(a, b, key=ids.__getitem__)] = min(a, b, key=ids.__getitem__)
-    return [ids[root(i)] for i in range(len(ids))]
+                parent[max(a, b)] = min(a, b)
+    out = [{"a": ids[i], "b": ids[root(i)]} for i in range(len(ids)) if root(i) != i]
+    if table["parts"][0].as_py() > 1:
+        first = sorted(range(len(ids)), key=lambda i: (-links[i], ids[i]))[:HUBS]
+        out += [{"a": ids[i], "n": int(sizes[i]), "key": table["key"][i].as_py(), "shingles": stored[i], "links": int(links[i])} for i in first]
+    return pa.Table.from_pylist(out, schema=_LINKS)
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("shingles", pa.binary()), ("links", pa.int64())])
 
 
 def _with_parts(sets: DataFrame) -> DataFrame:
@@ -242,50 +237,57 @@ def _with_parts(sets: DataFrame) -> DataFrame:
             .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))))
 
 
-def _connect_inside(sets: DataFrame, tables: Tables, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Sets with their group, and pairs (a, b) of an id and its leader, round by round."""
+def _meet(percent: int):
+    """Guests look for links among the other sets of a table; one link per root that they do not have."""
 
     def run(table: pa.Table) -> pa.Table:
-        leaders = _leaders(table, percent)
-        keep = [i for i, (a, b) in enumerate(zip(table["id"].to_pylist(), leaders)) if a != b]
-        lead = set(leaders)
-        rest = [i for i, a in enumerate(table["id"].to_pylist()) if a in lead and table["parts"][i].as_py() > 1]
-        none = pa.nulls(len(keep), pa.binary())
-        return pa.table({
-            "a": pa.concat_arrays([table["id"].combine_chunks().take(pa.array(keep, pa.int64())), table["id"].combine_chunks().take(pa.array(rest, pa.int64()))]),
-            "b": pa.array([leaders[i] for i in keep] + [None] * len(rest), pa.int64()),
-            "n": table["n"].combine_chunks().take(pa.array(keep + rest, pa.int64())),
-            "key": table["key"].combine_chunks().take(pa.array(keep + rest, pa.int64())),
-            "shingles": pa.concat_arrays([none, table["shingles"].combine_chunks().take(pa.array(rest, pa.int64()))])})
-
-    schema = "a bigint, b bigint, n bigint, key bigint, shingles binary"
+        guest = table["guest"].to_numpy(zero_copy_only=False)
+        sizes, root = table["n"].to_numpy(), table["root"].to_numpy()
+        sets = [np.frombuffer(x, U) for x in table["shingles"].to_pylist()]
+        members = np.flatnonzero(~guest)
+        group = Group([sets[i] for i in members], sizes[members])
+        a, b = [], []
+        for i in np.flatnonzero(guest).tolist():
+            found = {int(root[members[j]]) for j in group.linked(sets[i], int(sizes[i]), percent)} - {int(root[i])}
+            a += [int(root[i])] * len(found)
+            b += sorted(found)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _connect_inside(sets: DataFrame, tables: Tables, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sets with key, part and parts, and links (a, b) within groups."""
     grouped = tables.write(_with_parts(sets))
-    now, links, left = grouped, None, None
-    while True:
-        step = tables.write(now.select("id", "n", "key", "shingles", "part", "parts").groupBy("key", "part").applyInArrow(run, schema))
-        own = step.filter(F.col("b").isNotNull()).select("a", "b")
-        links = own if links is None else links.unionByName(own)
-        rest = step.filter(F.col("b").isNull()).select(F.col("a").alias("id"), "n", "key", "shingles")
-        count = rest.count()
-        if count == 0 or (left is not None and count * 2 > left):
-            return grouped, tables.write(links)
-        now, left = tables.write(_with_parts(rest)), count
+    inside = tables.write(grouped.select("id", "n", "key", "shingles", "part", "parts").groupBy("key", "part").applyInArrow(
+        lambda table: _inside(table, percent), "a bigint, b bigint, n bigint, key bigint, shingles binary, links bigint"))
+    links = inside.filter("b is not null").select("a", "b")
+    best = Window.partitionBy("key").orderBy(F.desc("links"), "a")
+    hubs = inside.filter("b is null").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
+    large = grouped.filter("parts > 1")
+    spread = large.select("key", "parts").distinct()
+    guests = hubs.join(spread, "key").select(F.col("a").alias("id"), "n", F.col("a").alias("root"), "key", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "shingles", F.lit(True).alias("guest"))
+    hosts = large.select("id", "n", F.col("id").alias("root"), "key", "part", "shingles", F.lit(False).alias("guest"))
+    met = guests.unionByName(hosts).groupBy("key", "part").applyInArrow(_meet(percent), "a bigint, b bigint")
+    return grouped, tables.write(links.unionByName(met))
 
 
 def _visit(sets: DataFrame, links: DataFrame, tables: Tables, percent: int) -> DataFrame:
-    """Links (a, b) between sets of different groups that are not connected yet."""
+    """Links (a, b) between components of different parts that are not connected yet."""
     roots = components(links, tables)
     named = tables.write(sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         "id", "n", F.coalesce("root", "id").alias("root"), F.concat_ws("/", "key", "part").alias("group"), "prefix", "shingles"))
-    matrix = (named.select("group", "n", "root", F.explode("prefix").alias("shingle"))
-              .groupBy("shingle", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("root"),
-                                               (F.min("root") == F.max("root")).alias("one")))
-    # a shingle that only one group holds leads nowhere
-    shared = matrix.groupBy("shingle").agg(F.count("*").alias("groups")).filter("groups > 1").select("shingle")
-    matrix = tables.write(matrix.join(shared, "shingle"))
-    seekers = named.select("id", "n", F.col("root").alias("own"), F.col("group").alias("home"), F.explode("prefix").alias("shingle"))
-    visits = tables.write(seekers.join(matrix, "shingle").filter(
-        (F.col("home") < F.col("group")) & ~(F.col("one") & (F.col("root") == F.col("own")))
+    entries = named.select("id", "n", "root", "group", F.explode("prefix").alias("shingle"))
+    # shingles of the same groups are one column of the matrix; those of one group lead nowhere
+    columns = (entries.select("shingle", "group").distinct().groupBy("shingle").agg(
+        F.count("*").alias("groups"), F.bit_xor(F.xxhash64("group")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "group")).alias("y"))
+        .filter("groups > 1").select("shingle", F.concat_ws("/", "x", "y").alias("column")))
+    seekers = tables.write(entries.join(columns, "shingle").select("id", "n", "root", "group", "column").distinct())
+    matrix = seekers.groupBy("column", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("other"),
+                                                    (F.min("root") == F.max("root")).alias("one"))
+    visits = tables.write(seekers.withColumnRenamed("group", "home").join(matrix, "column").filter(
+        (F.col("home") < F.col("group")) & ~(F.col("one") & (F.col("root") == F.col("other")))
         & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100))
         .select("id", "group").distinct())
     tasks = visits.groupBy("group").agg(F.ceil(F.count("*") / VISITS).alias("tasks"))
@@ -294,22 +296,8 @@ def _visit(sets: DataFrame, links: DataFrame, tables: Tables, percent: int) -> D
     hosts = named.join(tasks, "group").select(
         "id", "group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"), "n", "root", "shingles").withColumn(
         "guest", F.lit(False))
-
-    def run(table: pa.Table) -> pa.Table:
-        guest = table["guest"].to_numpy(zero_copy_only=False)
-        ids, sizes, root = table["id"].to_numpy(), table["n"].to_numpy(), table["root"].to_numpy()
-        sets = [np.frombuffer(x, U) for x in table["shingles"].to_pylist()]
-        members = np.flatnonzero(~guest)
-        group = Group([sets[i] for i in members], sizes[members])
-        a, b = [], []
-        for i in np.flatnonzero(guest).tolist():
-            found = {int(root[members[j]]) for j in group.linked(sets[i], int(sizes[i]), percent)} - {int(root[i])}
-            a += [int(root[i])] * len(found)
-            b += sorted(found)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
     order = ["id", "group", "task", "n", "root", "shingles", "guest"]
-    met = guests.select(order).unionByName(hosts.select(order)).groupBy("group", "task").applyInArrow(run, "a bigint, b bigint")
+    met = guests.select(order).unionByName(hosts.select(order)).groupBy("group", "task").applyInArrow(_meet(percent), "a bigint, b bigint")
     return tables.write(met.distinct())
 
 
@@ -326,10 +314,10 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """
     tables = Tables(docs.sparkSession, "jaccard")
     kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in (*OUTPUT, "set_id")]
-    rows = tables.write(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(doc_id).cast("bigint").alias("doc"),
-        shingle_counts(F.col(text), words).alias("set")).select("row", "doc", F.col("set.n").alias("n"), F.col("set.id").alias("id")))
-    blocks = tables.write(word_blocks(docs, text, block_words))
+    packed = docs.select(F.struct(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(doc_id).cast("bigint").alias("doc")).alias("row"),
+                         F.lit(False).alias("held"), F.col(text).alias("text"))
+    blocks = tables.write(text_blocks(packed, block_words))
+    rows = tables.write(_set_rows(blocks, words).select("row.row", "row.doc", "n", "id"))
     total = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(1, total / bucket_words)))))
     levels = tables.write(_levels(_requests(blocks, bits, words)))
