@@ -35,9 +35,9 @@ def unpack_numbers(data: bytes, n: int) -> np.ndarray:
 
 
 def text_blocks(docs: DataFrame, block_words: int, *, lower: bool = True, strings: bool = False) -> DataFrame:
-    """docs: row, held, text -> block, rows, held, counts, words, vocab, ids, strings, lengths.
+    """docs: row, held, text -> block, rows, held, counts, words, n_words (distinct), vocab, ids, strings, lengths.
 
-    With `strings`, the distinct words themselves come along, in the order of vocab.
+    With `strings`, the distinct words themselves stand for their hashes, in the same order.
     """
 
     def flush(parts, rows, held, texts) -> pa.RecordBatch:
@@ -51,13 +51,13 @@ def text_blocks(docs: DataFrame, block_words: int, *, lower: bool = True, string
         named = [b"", b""]
         if strings:
             own = [texts[int(v)] for v in vocab.tolist()]
-            named = [pa.compress(b"".join(own), "zstd", asbytes=True), pack(np.array([len(x) for x in own], np.int64))]
+            named = [pa.compress(b"".join(own), "zstd", asbytes=True), pack_numbers(np.array([len(x) for x in own], np.int64))]
         return pa.RecordBatch.from_arrays([
             pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
             pa.array([held.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
-            pa.array([len(ids)], pa.int64()), pa.array([vocab.tobytes()], pa.binary()), pa.array([pack_numbers(ids)], pa.binary()),
+            pa.array([len(ids)], pa.int64()), pa.array([len(vocab)], pa.int64()), pa.array([b"" if strings else vocab.tobytes()], pa.binary()), pa.array([pack_numbers(ids)], pa.binary()),
             *[pa.array([x], pa.binary()) for x in named]],
-            ["block", "rows", "held", "counts", "words", "vocab", "ids", "strings", "lengths"])
+            ["block", "rows", "held", "counts", "words", "n_words", "vocab", "ids", "strings", "lengths"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows, held, texts, n = [], [], [], {}, 0
@@ -83,4 +83,4 @@ def text_blocks(docs: DataFrame, block_words: int, *, lower: bool = True, string
     held, counts, vocab, ids, texts, lengths = binary
     return docs.mapInArrow(run, T.StructType([
         T.StructField("block", T.StringType()), T.StructField("rows", T.ArrayType(docs.schema["row"].dataType)), held, counts,
-        T.StructField("words", T.LongType()), vocab, ids, texts, lengths]))
+        T.StructField("words", T.LongType()), T.StructField("n_words", T.LongType()), vocab, ids, texts, lengths]))

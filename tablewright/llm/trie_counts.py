@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import pack, text_blocks, unpack
+from .blocks import pack_numbers, text_blocks, unpack_numbers
 from .scratch import Tables
-from .tokens import U, mix
+from .tokens import PLAIN, U, mix, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LEAD = "▁".encode()
@@ -148,28 +148,39 @@ def count_words(words: Sequence[bytes], pieces: Pieces) -> np.ndarray:
     return out
 
 
-_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("n", pa.int64()), ("hashes", pa.binary()), ("strings", pa.binary()), ("lengths", pa.binary())])
+_ASK_DDL = "bucket int, block string, n bigint, own binary, strings binary, lengths binary"
+_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("n", pa.int64()), ("own", pa.binary()), ("strings", pa.binary()), ("lengths", pa.binary())])
+
+
+def _words(strings: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths)
+    return [strings[e - n: e] for e, n in zip(ends.tolist(), lengths.tolist())]
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """Hashes of words, none of which holds a separator."""
+    return np.concatenate([np.zeros(0, U), *(p.hashes for p in words_of(pa.array([b" ".join(words)], pa.binary()).cast(pa.large_string()), PLAIN, lower=False))])
 
 
 def _ask(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Per block and bucket: distinct words and their places in the block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["block", "vocab", "strings", "lengths"]).to_pylist():
-                vocab = np.frombuffer(row["vocab"], U)
-                lengths = unpack(row["lengths"], np.int64, len(vocab))
-                ends = np.cumsum(lengths)
-                joined = pa.decompress(row["strings"], int(lengths.sum()), "zstd", asbytes=True) if len(vocab) else b""
-                bucket = (mix(vocab) % U(buckets)).astype(np.int64)
+            for row in batch.to_pylist():
+                lengths = unpack_numbers(row["lengths"], row["n_words"]).astype(np.int64)
+                words = _words(pa.decompress(row["strings"], int(lengths.sum()), "zstd", asbytes=True) if len(lengths) else b"", lengths)
+                bucket = (mix(_hashed(words)) % U(buckets)).astype(np.int64)
                 out = []
                 for b in range(buckets):
                     own = np.flatnonzero(bucket == b)
                     if len(own):
-                        out.append({"bucket": b, "block": row["block"], "n": len(own), "hashes": vocab[own].tobytes(),
-                                    "strings": b"".join(joined[e - x: e] for e, x in zip(ends[own].tolist(), lengths[own].tolist())),
-                                    "lengths": pack(lengths[own])})
+                        joined = b"".join([words[i] for i in own.tolist()])
+                        out.append({"bucket": b, "block": row["block"], "n": len(own), "own": pack_numbers(np.diff(own, prepend=0)),
+                                    "strings": pa.compress(joined, "zstd", asbytes=True), "lengths": pack_numbers(lengths[own])})
                 yield pa.RecordBatch.from_pylist(out, schema=_ASK)
 
-    return blocks.mapInArrow(run, "bucket int, block string, n bigint, hashes binary, strings binary, lengths binary")
+    return blocks.select("block", "n_words", "strings", "lengths").mapInArrow(run, _ASK_DDL)
 
 
 def token_counts(docs: DataFrame, *, text: str = "text", columns: Sequence[str] | None = None, vocabulary: str = VOCABULARY,
@@ -185,37 +196,35 @@ def token_counts(docs: DataFrame, *, text: str = "text", columns: Sequence[str]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.lit(False).alias("held"), F.col(text).alias("text"))
     row_type = packed.schema["row"].dataType
     blocks = tables.write(text_blocks(packed, block_words, lower=False, strings=True))
-    asked = blocks.agg(F.coalesce(F.sum(F.length("vocab") / 8), F.lit(0.0))).first()[0]
+    asked = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(asked / bucket_words))
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(read_pieces(vocabulary)))
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        asked = [np.frombuffer(r["hashes"], U) for r in rows]
-        distinct, first, place = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-        lengths = np.concatenate([unpack(r["lengths"], np.int64, r["n"]) for r in rows])
-        every, ends = b"".join(r["strings"] for r in rows), np.cumsum(lengths)
-        words = [every[e - n: e] for e, n in zip(ends[first].tolist(), lengths[first].tolist())]
-        counts = count_words(words, shared.value)[place]
+        words = []
+        for r in rows:
+            lengths = unpack_numbers(r["lengths"], r["n"]).astype(np.int64)
+            words += _words(pa.decompress(r["strings"], int(lengths.sum()), "zstd", asbytes=True), lengths)
+        _, first, place = np.unique(_hashed(words), return_index=True, return_inverse=True)
+        counts = count_words([words[i] for i in first.tolist()], shared.value)[place]
         to = np.cumsum([r["n"] for r in rows])
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "n": table["n"],
-                         "counts": pa.array([pack(counts[e - r["n"]: e]) for r, e in zip(rows, to)], pa.binary())})
+        return pa.table({"block": table["block"], "own": table["own"], "n": table["n"],
+                         "counts": pa.array([pack_numbers(counts[e - r["n"]: e]) for r, e in zip(rows, to)], pa.binary())})
 
-    counted = tables.write(_ask(blocks, buckets).groupBy("bucket").applyInArrow(answer, "block string, bucket int, n bigint, counts binary"))
-    joined = blocks.select("block", "rows", "counts", "words", "vocab", "ids").join(
-        counted.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "counts")).alias("answers")), "block", "left")
+    counted = tables.write(_ask(blocks, buckets).groupBy("bucket").applyInArrow(answer, "block string, own binary, n bigint, counts binary"))
+    joined = blocks.select("block", "rows", "counts", "words", "n_words", "ids").join(
+        counted.groupBy("block").agg(F.collect_list(F.struct("own", "n", "counts")).alias("answers")), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = {c: batch.column(c)[i] for c in ("counts", "words", "vocab", "ids", "answers")}
+                one = {c: batch.column(c)[i] for c in ("counts", "words", "n_words", "ids", "answers")}
                 counts = np.frombuffer(one["counts"].as_py(), np.int64)
-                vocab = np.frombuffer(one["vocab"].as_py(), U)
-                bucket = (mix(vocab) % U(buckets)).astype(np.int64)
-                of_word = np.zeros(len(vocab), np.int64)
+                of_word = np.zeros(one["n_words"].as_py(), np.int64)
                 for a in one["answers"].as_py() or ():
-                    of_word[bucket == a["bucket"]] = unpack(a["counts"], np.int64, a["n"])
-                ids = unpack(one["ids"].as_py(), np.uint32, one["words"].as_py())
+                    of_word[np.cumsum(unpack_numbers(a["own"], a["n"]))] = unpack_numbers(a["counts"], a["n"])
+                ids = unpack_numbers(one["ids"].as_py(), one["words"].as_py())
                 sums = np.concatenate(([0], np.cumsum(of_word[ids])))
                 bounds = np.concatenate(([0], np.cumsum(counts)))
                 yield pa.RecordBatch.from_arrays([batch.column("rows")[i].values, pa.array(counts), pa.array(sums[bounds[1:]] - sums[bounds[:-1]])],
