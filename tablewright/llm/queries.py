@@ -87,15 +87,50 @@ def op10_trie_counts(spark: SparkSession, folder: str) -> DataFrame:
     return trie_counts.token_counts(_table(spark, folder, "documents"), columns=["doc_id"])
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWERED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+  THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
+SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
+FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+_RUNS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP7_SQL = f"""
+WITH docs AS (SELECT doc_id, {_RUNS} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_RUNS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS size,
+  unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+  FROM items WHERE len(w) > 0),
+places AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS b, w FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+grams AS (SELECT doc_id, size, b, array_to_string(w[b:b + size - 1], ' ') AS g FROM places),
+found AS (SELECT doc_id, size, b, item FROM grams JOIN windows USING (size, g)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(b, b + size)) AS p FROM (SELECT DISTINCT doc_id, b, size FROM found)) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, n_items IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id
+"""
+
 #: name: (query, SQL that must give the same rows or None)
 QUERIES = {
     "op1_katz": (op1_katz, None),
-    "op2_token_groups": (op2_token_groups, None),
+    "op2_token_groups": (op2_token_groups, OP2_SQL),
     "op3_differencing": (op3_differencing, None),
     "op4_entropy_balancing": (op4_entropy_balancing, None),
     "op5_evidence_fusion": (op5_evidence_fusion, None),
     "op6_multi_index": (op6_multi_index, OP6_SQL),
-    "op7_winnowing": (op7_winnowing, None),
+    "op7_winnowing": (op7_winnowing, OP7_SQL),
     "op8_host_suffixes": (op8_host_suffixes, None),
     "op9_counterfactual": (op9_counterfactual, None),
     "op10_trie_counts": (op10_trie_counts, None),
