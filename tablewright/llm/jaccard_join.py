@@ -146,9 +146,16 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def index_length(n: int, percent: int = PERCENT) -> int:
+    """So many first shingles hold one of any linked set that is not smaller."""
+    return n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
+
+
 def _live_sets(blocks: DataFrame, levels: DataFrame, words: int, percent: int) -> DataFrame:
-    """Sets that may link: id, n, key, prefix (shared shingles in it), shingles (all shared ones)."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("prefix", pa.list_(pa.int64())), ("shingles", pa.binary())])
+    """Sets that may link: id, n, alone (shingles of no other set), key, prefix (shared shingles in it), indexed
+    (how many of them meet larger sets), shingles (all shared ones)."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("key", pa.int64()), ("prefix", pa.list_(pa.int64())),
+                        ("indexed", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +172,13 @@ def _live_sets(blocks: DataFrame, levels: DataFrame, words: int, percent: int) -
                     if alone < length:
                         shared, lv = own[lv > 0], lv[lv > 0]
                         prefix = shared[np.argsort(lv, kind="stable")[: length - alone]].view(np.int64)
-                        out.append({"id": _set_id(own), "n": len(own), "key": int(prefix[0]), "prefix": prefix, "shingles": shared.tobytes()})
+                        out.append({"id": _set_id(own), "n": len(own), "alone": alone, "key": int(prefix[0]), "prefix": prefix,
+                                    "indexed": max(0, index_length(len(own), percent) - alone), "shingles": shared.tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     answers = levels.groupBy("block").agg(F.collect_list(F.struct("bucket", "levels", "n")).alias("levels"))
-    return blocks.select("block", "counts", "words", "vocab", "ids").join(answers, "block").mapInArrow(run, "id bigint, n bigint, key bigint, prefix array<bigint>, shingles binary")
+    return blocks.select("block", "counts", "words", "vocab", "ids").join(answers, "block").mapInArrow(run, 
+        "id bigint, n bigint, alone bigint, key bigint, prefix array<bigint>, indexed bigint, shingles binary")
 
 
 class Group:
@@ -229,7 +238,12 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("k
 
 
 def _with_parts(sets: DataFrame) -> DataFrame:
-    """Cut groups (equal key) into parts of bounded size; adds part and parts."""
+    """Cut groups (equal key) into parts of bounded size; adds part and parts.
+
+    Sets with few and with many shingles of their own are in different groups, for these cannot link
+    with each other.
+    """
+    sets = sets.withColumn("key", F.xxhash64("key", F.floor(F.col("alone") * 20 / F.col("n"))))
     sizes = sets.groupBy("key").agg(F.count("*").alias("sets"), F.sum(F.length("shingles") / 8).alias("total")).filter(
         f"sets > {GROUP_SETS} or total > {GROUP_SHINGLES}").select(
         "key", F.ceil(F.greatest(F.col("sets") / GROUP_SETS, F.col("total") / GROUP_SHINGLES)).alias("parts"))
@@ -277,19 +291,23 @@ def _visit(sets: DataFrame, links: DataFrame, tables: Tables, percent: int) -> D
     """Links (a, b) between components of different parts that are not connected yet."""
     roots = components(links, tables)
     named = tables.write(sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", "n", F.coalesce("root", "id").alias("root"), F.concat_ws("/", "key", "part").alias("group"), "prefix", "shingles"))
-    entries = named.select("id", "n", "root", "group", F.explode("prefix").alias("shingle"))
-    # shingles of the same groups are one column of the matrix; those of one group lead nowhere
-    columns = (entries.select("shingle", "group").distinct().groupBy("shingle").agg(
-        F.count("*").alias("groups"), F.bit_xor(F.xxhash64("group")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "group")).alias("y"))
-        .filter("groups > 1").select("shingle", F.concat_ws("/", "x", "y").alias("column")))
-    seekers = tables.write(entries.join(columns, "shingle").select("id", "n", "root", "group", "column").distinct())
-    matrix = seekers.groupBy("column", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("other"),
-                                                    (F.min("root") == F.max("root")).alias("one"))
-    visits = tables.write(seekers.withColumnRenamed("group", "home").join(matrix, "column").filter(
-        (F.col("home") < F.col("group")) & ~(F.col("one") & (F.col("root") == F.col("other")))
-        & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100))
-        .select("id", "group").distinct())
+        "id", "n", "alone", F.coalesce("root", "id").alias("root"), F.concat_ws("/", "key", "part").alias("group"), "prefix", "indexed", "shingles"))
+    entries = named.select("id", "n", "alone", "root", "group", "indexed", F.posexplode("prefix").alias("place", "shingle"))
+    kept = entries.filter("place < indexed")  # the larger set of a pair looks for the smaller one
+    # shingles of the same groups are one column of the matrix
+    columns = (kept.select("shingle", "group").distinct().groupBy("shingle").agg(
+        F.bit_xor(F.xxhash64("group")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "group")).alias("y"))
+        .select("shingle", F.concat_ws("/", "x", "y").alias("column")))
+    matrix = tables.write(kept.join(columns, "shingle").groupBy("column", "group").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("alone").alias("least_alone"), F.min("root").alias("other"),
+        (F.min("root") == F.max("root")).alias("one")))
+    seekers = tables.write(entries.join(columns, "shingle").select("id", "n", "alone", "root", F.col("group").alias("home"), "column").distinct())
+    # what neither set shares with any other is in the union
+    common = F.col("n") - F.col("alone")
+    visits = tables.write(seekers.join(matrix, (seekers["column"] == matrix["column"]) & (F.col("home") != F.col("group"))
+                                       & ~(F.col("one") & (F.col("root") == F.col("other")))
+                                       & (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)
+                                       & (common * 100 >= (F.col("n") + F.col("least_alone")) * percent)).select("id", "group").distinct())
     tasks = visits.groupBy("group").agg(F.ceil(F.count("*") / VISITS).alias("tasks"))
     guests = visits.join(tasks, "group").select("id", "group", F.pmod(F.xxhash64("id"), F.col("tasks")).alias("task")).join(
         named.select("id", "n", "root", "shingles"), "id").withColumn("guest", F.lit(True))
