@@ -3,7 +3,8 @@
 A code of `bits` bits is cut into segments of 16. Two codes at Hamming distance up to
 ``segments * (r + 1) - 1`` agree in some segment up to `r` bits, so once all segments were searched
 up to radius `r`, every code within that distance has been met and verified. A query's radius
-grows until `k` verified neighbours lie within the covered distance. Equal codes are one entry of
+grows until `k` verified neighbours lie within the covered distance; codes further away than the
+k-th so far are dropped where they are met. Equal codes are one entry of
 the index, which keeps the k + 1 smallest ids of each: no other id can be among the k nearest.
 """
 
@@ -41,32 +42,39 @@ def nearest_codes(codes: DataFrame, queries: DataFrame, k: int = 10, bits: int =
     pieces = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), p.cast("int").alias("value")) for s, p in enumerate(piece)]))
     index = tables.write(entries.select("code", "ids", pieces.alias("p")).select("code", "ids", "p.segment", "p.value"))
     asked = tables.write(queries.select(F.col("id").alias("query_id"), "code").filter("query_id is not null and code is not null").distinct())
-    open_codes = asked.select("code").distinct()
+    # bound: a code further away than this is not among the k nearest
+    open_codes = asked.select("code").distinct().withColumn("bound", F.lit(bits))
     # the values at each radius from 0: at most 12,870 per radius, 65,536 in all
     masks = tables.write(codes.sparkSession.range(1 << SEGMENT).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("radius"))
                          .groupBy("radius").agg(F.collect_list("mask").alias("masks")))
     n_entries = entries.count()
+    nearer = Window.partitionBy("query").orderBy("distance")
     found, met, settled = None, None, []
     for radius in range(SEGMENT + 1):
-        probes = (open_codes.select(F.col("code").alias("query"), F.lit(radius).alias("radius"), pieces.alias("p"))
-            .join(F.broadcast(masks), "radius")
-            .select("query", F.col("p.segment").alias("segment"), F.col("p.value").alias("own"), F.explode("masks").alias("mask"))
-            .select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
-        met_now = probes.join(index, ["segment", "value"]).select(
-            "query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
+        probes = (open_codes.select(F.col("code").alias("query"), "bound", F.lit(radius).alias("radius"), pieces.alias("p"))
+                  .join(F.broadcast(masks), "radius")
+                  .select("query", "bound", F.col("p.segment").alias("segment"), F.col("p.value").alias("own"), F.explode("masks").alias("mask"))
+                  .select("query", "bound", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+        other = index.select("code", "ids", F.col("segment").alias("_segment"), F.col("value").alias("_value"))
+        now = probes.join(other, (F.col("segment") == F.col("_segment")) & (F.col("value") == F.col("_value")) & (distance <= F.col("bound"))).select(
+            "query", "code", "ids", distance.alias("distance"))
         earlier = met
-        met = tables.write((met_now if earlier is None else met_now.unionByName(earlier)).distinct())
+        every = (now if earlier is None else now.unionByName(earlier)).distinct()
+        met = tables.write(every.withColumn("within", F.sum("ids").over(nearer)).withColumn(
+            "bound", F.coalesce(F.min(F.when(F.col("within") > k, F.col("distance"))).over(Window.partitionBy("query")), F.lit(bits)))
+            .filter("distance <= bound").select("query", "code", "ids", "distance", "bound"))
         if earlier is not None:
             tables.remove(earlier)
         covered = segments * (radius + 1) - 1
-        # k others plus the query itself, or everything there is
-        done = met.groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.col("ids"))).alias("near"), F.count("*").alias("all")).filter(
-            (F.col("near") > k) | (F.col("all") == n_entries) | F.lit(radius == SEGMENT)).select("query")
-        done = tables.write(done)
-        ready = tables.write(met.join(done, "query", "left_semi"))
-        settled.append(ready)
-        met = tables.write(met.join(done, "query", "left_anti"))
-        open_codes = tables.write(open_codes.join(done.withColumnRenamed("query", "code"), "code", "left_anti"))
+        # the k-th verified distance is covered, or there is nothing else
+        state = tables.write(met.groupBy("query").agg(F.min("bound").alias("bound"), F.count("*").alias("all")).withColumn(
+            "done", (F.col("bound") <= covered) | (F.col("all") == n_entries) | F.lit(radius == SEGMENT)))
+        settled.append(tables.write(met.join(state.filter("done"), "query", "left_semi").drop("bound")))
+        met = tables.write(met.join(state.filter("done"), "query", "left_anti").drop("bound"))
+        still = state.select(F.col("query").alias("code"), F.col("bound").alias("now"), "done")
+        open_codes = tables.write(open_codes.join(still, "code", "left").filter(~F.coalesce("done", F.lit(False))).select(
+            "code", F.coalesce("now", "bound").alias("bound")))
         if not open_codes.limit(1).count():
             break
     for part in settled:
