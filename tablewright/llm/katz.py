@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import pack, text_blocks, unpack
+from .blocks import pack, pack_numbers, text_blocks, unpack, unpack_numbers
 from .scratch import Tables
 from .tokens import U, join_hash, mix
 
 ORDER, K = 2, 5
-BLOCK_WORDS, BUCKET_GRAMS = 2_000_000, 2_000_000
-START, END = U(0x5354415254), U(0x454E44)
+BLOCK_WORDS, BUCKET_GRAMS = 1_000_000, 1_000_000
+START, END = U(0xFFFFFFFFFFFFFFFF), U(0x454E44)
 OUTPUT = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -86,19 +86,19 @@ class Block:
     def __init__(self, row: dict):
         counts = np.frombuffer(row["counts"], np.int64)
         held = np.frombuffer(row["held"], bool)
-        vocab = np.append(np.frombuffer(row["vocab"], U), END)
-        ids = unpack(row["ids"], np.uint32, row["words"])
+        self.n_vocab = row["n_words"] + 1
+        # words of a block are numbered by frequency; the end token comes last
+        self.vocab = np.append(np.frombuffer(row["vocab"], U), END) if "vocab" in row else None
+        ids = unpack_numbers(row["ids"], row["words"])
         self.n_tokens = counts + 1
-        self.text = np.repeat(np.arange(len(counts)), self.n_tokens)
+        self.text = np.repeat(np.arange(len(counts), dtype=np.int32), self.n_tokens)
         self.place = np.arange(len(self.text)) - np.repeat(np.cumsum(self.n_tokens) - self.n_tokens, self.n_tokens)
         ends = np.cumsum(self.n_tokens) - 1
-        number = np.full(len(self.text), len(vocab) - 1, np.int64)
+        number = np.full(len(self.text), self.n_vocab - 1, np.int32)
         inner = np.ones(len(self.text), bool)
         inner[ends] = False
         number[inner] = ids
-        self.vocab = vocab
         self.number = number
-        self.tokens = vocab[number]
         self.train = ~held[self.text]
         self.held = held
 
@@ -106,23 +106,17 @@ class Block:
         """Hash of the order - 1 tokens before each token; START stands before a text."""
         out = None
         for back in range(1, order):
-            before = np.full(len(self.tokens), START, U)
-            before[back:] = self.tokens[: len(self.tokens) - back]
+            before = np.full(len(self.word), START, U)
+            before[back:] = self.word[: len(self.word) - back]
             before[self.place < back] = START
             out = before if out is None else join_hash(before, out)
         return out
 
-    def words_asked(self, bits: int):
-        """Sorted vocabulary, its training counts, and the bucket bounds."""
-        counts = np.bincount(self.number, self.train, len(self.vocab)).astype(np.int64)
-        order = np.argsort(mix(self.vocab), kind="stable")
-        return order, counts[order], _bounds(mix(self.vocab)[order], bits)
 
-
-def _bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    edges = np.searchsorted(keys >> U(64 - bits) if bits else np.zeros(len(keys), U), np.arange((1 << bits) + 1, dtype=U))
-    edges[-1] = len(keys)
-    return edges
+def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each of so many equal ranges of keys begins among sorted keys, and the end."""
+    starts = np.arange(1, buckets, dtype=U) * U(((1 << 64) - 1) // buckets)
+    return np.concatenate(([0], np.searchsorted(keys, starts), [len(keys)])).astype(np.int64)
 
 
 class Grams:
@@ -131,7 +125,7 @@ class Grams:
     def __init__(self, block: Block, order: int, history_count: np.ndarray, bucket_grams: int):
         """history_count: training events after each token's history, as far as known."""
         history, split = block.history(order), 1 + (history_count // bucket_grams).astype(np.int64)
-        word = mix(block.tokens) >> U(16)
+        word = block.word
         salt = (word % split.astype(U)).astype(U)
         self.key = self._key(history, salt)
         frequent = split > 1
@@ -169,13 +163,24 @@ class Grams:
         return out
 
 
-_ASK = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("n", pa.int64()), ("n_keys", pa.int64()), ("keys", pa.binary()),
-                  ("lengths", pa.binary()), ("words", pa.binary()), ("codes", pa.binary()), ("lower", pa.binary()), ("counts", pa.binary())])
-_ASK_DDL = ("bucket int, block string, n bigint, n_keys bigint, keys binary, lengths binary, words binary, codes binary, lower binary, "
+def _schema(ddl: str) -> pa.Schema:
+    types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    return pa.schema([(name, types[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
+
+
+# n n-grams of n_keys histories: lengths says how many of each, words their last words' numbers
+_ASK_DDL = ("bucket int, block string, own binary, n bigint, n_keys bigint, keys binary, lengths binary, words binary, codes binary, n_lower bigint, lower binary, "
             "counts binary")
-_ANSWER_DDL = "kind string, level int, bucket int, block string, n bigint, n_keys bigint, counts binary, sums binary, keys binary, lengths binary, words binary, seen array<bigint>"
-_ANSWER = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("bucket", pa.int32()), ("block", pa.string()), ("n", pa.int64()), ("n_keys", pa.int64()),
-                     ("counts", pa.binary()), ("sums", pa.binary()), ("keys", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("seen", pa.list_(pa.int64()))])
+_ANSWER_DDL = ("kind string, level int, bucket int, block string, own binary, n bigint, n_keys bigint, keys binary, lengths binary, words binary, counts binary, "
+               "ranks binary, sums binary, seen array<bigint>")
+_ASK, _ANSWER = _schema(_ASK_DDL), _schema(_ANSWER_DDL)
+
+
+def _grams_packed(keys: np.ndarray, words: np.ndarray) -> dict:
+    """n-grams sorted by key as columns."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return {"n": len(keys), "n_keys": len(first), "keys": pack_numbers(np.diff(keys[first], prepend=U(0))), "words": pack_numbers(words),
+            "lengths": pack_numbers(np.diff(np.append(first, len(keys))))}
 
 
 def _counted(counts: np.ndarray, k: int) -> list[int]:
@@ -183,16 +188,19 @@ def _counted(counts: np.ndarray, k: int) -> list[int]:
     return [0, *(int((counts == r).sum()) for r in range(1, k + 2)), int(counts.sum()), int((counts > 0).sum())]
 
 
-def _ask_words(blocks: DataFrame, bits: int) -> DataFrame:
+def _ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                order, counts, edges = block.words_asked(bits)
+                counts = np.bincount(block.number, block.train, block.n_vocab).astype(np.int64)
+                order = np.argsort(mix(block.vocab))
+                edges = _bounds(mix(block.vocab)[order], buckets)
+                parts = [(b, np.sort(order[edges[b]: edges[b + 1]])) for b in range(buckets)]
                 yield pa.RecordBatch.from_pylist([
-                    {"bucket": b, "block": row["block"], "n": int(edges[b + 1] - edges[b]),
-                     "words": block.vocab[order[edges[b]: edges[b + 1]]].tobytes(), "counts": pack(counts[edges[b]: edges[b + 1]])}
-                    for b in range(1 << bits) if edges[b + 1] > edges[b]], schema=_ASK)
+                    {"bucket": b, "block": row["block"], "n": len(own), "own": pack_numbers(np.diff(own, prepend=0)),
+                     "words": block.vocab[own].tobytes(), "counts": pack_numbers(counts[own])}
+                    for b, own in parts if len(own)], schema=_ASK)
 
     return blocks.mapInArrow(run, _ASK_DDL)
 
@@ -201,40 +209,34 @@ def _answer_words(table: pa.Table, k: int) -> pa.Table:
     rows = table.to_pylist()
     asked = [np.frombuffer(r["words"], U) for r in rows]
     values, place = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(place, np.concatenate([unpack(r["counts"], np.int64, r["n"]) for r in rows]), len(values)).astype(np.int64)
+    total = np.bincount(place, np.concatenate([unpack_numbers(r["counts"], r["n"]) for r in rows]), len(values)).astype(np.int64)
     ends = np.cumsum([len(a) for a in asked])
-    out = [{"kind": "answer", "level": 1, "bucket": r["bucket"], "block": r["block"], "n": r["n"], "counts": pack(total[place[e - r["n"]: e]])}
-           for r, e in zip(rows, ends)]
+    out = [{"kind": "answer", "level": 1, "bucket": r["bucket"], "block": r["block"], "n": r["n"], "own": r["own"], "counts": pack_numbers(total[place[e - r["n"]: e]]),
+            "ranks": pack_numbers(place[e - r["n"]: e])} for r, e in zip(rows, ends)]
     known = total > 0
     out.append({"kind": "model", "level": 1, "bucket": rows[0]["bucket"], "n": int(known.sum()), "words": values[known].tobytes(),
-                "counts": pack(total[known]), "seen": _counted(total, k)})
+                "counts": pack_numbers(total[known]), "seen": _counted(total, k)})
     return pa.Table.from_pylist(out, schema=_ANSWER)
 
 
-def _ask_grams(joined: DataFrame, order: int, levels: list[Level], bits: int, bucket_grams: int) -> DataFrame:
+def _ask_grams(joined: DataFrame, order: int, levels: list[Level], buckets: int, bucket_grams: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                lower, history = _evaluate(block, row["answers"], levels, bucket_grams)
+                lower, history = _evaluate(block, row["answers"], levels, buckets, bucket_grams)
                 grams = Grams(block, order, history, bucket_grams)
                 of_gram = np.zeros(len(grams.keys))
                 of_gram[grams.gram_of] = lower
-                edges = _bounds(grams.keys, bits)
+                edges = _bounds(grams.keys, buckets)
                 out = []
-                for b in range(1 << bits):
+                for b in range(buckets):
                     part = slice(int(edges[b]), int(edges[b + 1]))
-                    keys = grams.keys[part]
-                    if not len(keys):
+                    if part.stop == part.start:
                         continue
-                    own, lengths = np.unique(keys, return_counts=True)
                     values, codes = np.unique(of_gram[part], return_inverse=True)
-                    words = grams.words[part]
-                    out.append({"bucket": b, "block": row["block"], "n": len(keys), "n_keys": len(own), "keys": own.tobytes(),
-                                "lengths": pack(lengths.astype(np.uint32)),
-                                "words": (words & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (words >> U(32)).astype(np.uint16).tobytes(),
-                                "codes": pack(codes.astype(np.uint16 if len(values) < 65536 else np.uint32)),
-                                "lower": values.tobytes(), "counts": pack(grams.counts[part])})
+                    out.append({"bucket": b, "block": row["block"], **_grams_packed(grams.keys[part], grams.words[part]),
+                                "codes": pack_numbers(codes), "n_lower": len(values), "lower": pack_numbers(values.view(U)), "counts": pack_numbers(grams.counts[part])})
                 yield pa.RecordBatch.from_pylist(out, schema=_ASK)
 
     return joined.mapInArrow(run, _ASK_DDL)
@@ -244,13 +246,11 @@ def _answer_grams(table: pa.Table, order: int, k: int) -> pa.Table:
     rows = table.to_pylist()
     keys, words, lower, counts, own = [], [], [], [], []
     for r in rows:
-        n = r["n"]
-        own.append(np.frombuffer(r["keys"], U))
-        keys.append(np.repeat(own[-1], unpack(r["lengths"], np.uint32, r["n_keys"])))
-        words.append(np.frombuffer(r["words"], np.uint32, n).astype(U) | (np.frombuffer(r["words"], np.uint16, n, 4 * n).astype(U) << U(32)))
-        values = np.frombuffer(r["lower"])
-        lower.append(values[unpack(r["codes"], np.uint16 if len(values) < 65536 else np.uint32, n)])
-        counts.append(unpack(r["counts"], np.int64, n))
+        own.append(np.cumsum(unpack_numbers(r["keys"], r["n_keys"]), dtype=U))
+        keys.append(np.repeat(own[-1], unpack_numbers(r["lengths"], r["n_keys"]).astype(np.int64)))
+        words.append(unpack_numbers(r["words"], r["n"]))
+        lower.append(unpack_numbers(r["lower"], r["n_lower"]).view(np.float64)[unpack_numbers(r["codes"], r["n"])])
+        counts.append(unpack_numbers(r["counts"], r["n"]))
     keys, words, lower, counts = map(np.concatenate, (keys, words, lower, counts))
     sorting = np.lexsort((words, keys))
     sorted_keys, sorted_words = keys[sorting], words[sorting]
@@ -269,12 +269,11 @@ def _answer_grams(table: pa.Table, order: int, k: int) -> pa.Table:
     for r, e, mine in zip(rows, ends, own):
         at = np.searchsorted(every, mine)
         out.append({"kind": "answer", "level": order, "bucket": r["bucket"], "block": r["block"], "n": r["n"], "n_keys": r["n_keys"],
-                    "counts": pack(total[place[e - r["n"]: e]]), "sums": pack(np.ascontiguousarray(sums[:, at]))})
+                    "counts": pack_numbers(total[place[e - r["n"]: e]]), "sums": pack(np.ascontiguousarray(sums[:, at]))})
     known = total > 0
-    used, lengths = np.unique(gram_key[known], return_counts=True)
-    out.append({"kind": "model", "level": order, "bucket": rows[0]["bucket"], "n": int(known.sum()), "n_keys": len(used), "keys": used.tobytes(),
-                "lengths": pack(lengths.astype(np.uint32)), "words": (gram_word[known] & U(0xFFFFFFFF)).astype(np.uint32).tobytes()
-                + (gram_word[known] >> U(32)).astype(np.uint16).tobytes(), "counts": pack(total[known]),
+    packed = _grams_packed(gram_key[known], gram_word[known])
+    used = np.unique(gram_key[known])
+    out.append({"kind": "model", "level": order, "bucket": rows[0]["bucket"], **packed, "counts": pack_numbers(total[known]),
                 "sums": pack(np.ascontiguousarray(sums[:, np.searchsorted(every, used)])), "seen": _counted(total, k)})
     return pa.Table.from_pylist(out, schema=_ANSWER)
 
@@ -283,29 +282,34 @@ def _answering(order: int, k: int):
     return lambda table: _answer_grams(table, order, k)
 
 
-def _evaluate(block: Block, answers: list[dict], levels: list[Level], bucket_grams: int) -> tuple[np.ndarray, np.ndarray]:
+def _evaluate(block: Block, answers: list[dict], levels: list[Level], buckets: int, bucket_grams: int) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each token by the given levels, and training events after the next longer history."""
     by_level: dict[int, list[dict]] = {}
     for a in answers:
         by_level.setdefault(a["level"], []).append(a)
     parts = sorted(by_level[1], key=lambda a: a["bucket"])
-    counts = np.empty(len(block.vocab), np.int64)
-    counts[np.argsort(mix(block.vocab), kind="stable")] = np.concatenate([unpack(a["counts"], np.int64, a["n"]) for a in parts])
+    # a word's number in all blocks: its place in its bucket, then the bucket
+    counts, numbers = np.zeros(block.n_vocab, np.int64), np.zeros(block.n_vocab, U)
+    for a in parts:
+        own = np.cumsum(unpack_numbers(a["own"], a["n"]).astype(np.int64))
+        counts[own] = unpack_numbers(a["counts"], a["n"])
+        numbers[own] = unpack_numbers(a["ranks"], a["n"]) * U(buckets) + U(a["bucket"] + 1)
+    block.word = numbers[block.number]
     block.known = counts[block.number]
     probability = levels[0].single(block.known)
     # a text's first token comes after START, met once per text: unknown here, never over any limit of one block
-    history = np.zeros(len(block.tokens), np.int64)
+    history = np.zeros(len(block.number), np.int64)
     history[1:] = block.known[:-1]
     history[block.place == 0] = levels[0].starts
     for order, level in enumerate(levels[1:], 2):
         grams = Grams(block, order, history, bucket_grams)
         parts = sorted(by_level[order], key=lambda a: a["bucket"])
-        own = np.concatenate([unpack(a["counts"], np.int64, a["n"]) for a in parts])[grams.gram_of]
+        own = np.concatenate([unpack_numbers(a["counts"], a["n"]).astype(np.int64) for a in parts])[grams.gram_of]
         sums = np.concatenate([unpack(a["sums"], np.float64, a["n_keys"] * (level.k + 2)).reshape(level.k + 2, -1) for a in parts], axis=1)
         sums = grams.sums(np.ascontiguousarray(sums.T)).T
         probability = level.seen(own, sums[0], sums[1: level.k + 1], probability, sums[level.k + 1])
         # events after the history that ends with this token, for the next order
-        history = np.zeros(len(block.tokens), np.int64)
+        history = np.zeros(len(block.number), np.int64)
         history[1:] = own[:-1]
         history[block.place == 0] = levels[0].starts
     return probability, history
@@ -328,31 +332,42 @@ def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", column
     row_type = packed.schema["row"].dataType
     blocks = tables.write(text_blocks(packed, block_words))
     words, texts = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum(F.size("rows")), F.lit(0))).first()
-    bits = max(0, math.ceil(math.log2(max(1, (words + texts) / bucket_grams))))
+    buckets = max(1, math.ceil((words + texts) / bucket_grams))
 
     def stored(answers: DataFrame, level: int) -> tuple[DataFrame, Level]:
         table = tables.write(answers, partition_by="kind")
         seen = [int(x or 0) for x in table.filter("kind = 'model'").agg(*[F.sum(F.col("seen")[i]) for i in range(k + 4)]).first()]
-        return table.filter("kind = 'answer'").select("level", "bucket", "block", "n", "n_keys", "counts", "sums"), Level(seen[: k + 2], seen[k + 2], seen[k + 3], k)
+        return table.filter("kind = 'answer'").select("level", "bucket", "block", "own", "n", "n_keys", "counts", "ranks", "sums"), Level(seen[: k + 2], seen[k + 2], seen[k + 3], k)
 
-    answers, level = stored(_ask_words(blocks, bits).groupBy("bucket").applyInArrow(lambda t: _answer_words(t, k), _ANSWER_DDL), 1)
+    answers, level = stored(_ask_words(blocks, buckets).groupBy("bucket").applyInArrow(lambda t: _answer_words(t, k), _ANSWER_DDL), 1)
     level.starts = texts
-    levels, every = [level], answers
-    part = F.struct("level", "bucket", "n", "n_keys", "counts", "sums")
+    levels = [level]
+    part = F.struct("level", "bucket", "own", "n", "n_keys", "counts", "ranks", "sums")
+    joined, none = blocks.drop("strings", "lengths"), F.array().cast("array<struct<level:int,bucket:int,own:binary,n:bigint,n_keys:bigint,counts:binary,ranks:binary,sums:binary>>")
+
+    def answered(joined: DataFrame, answers: DataFrame) -> DataFrame:
+        """Blocks with the answers so far."""
+        earlier = F.col("answers") if "answers" in joined.columns else none
+        return joined.withColumn("earlier", earlier).drop("answers", "vocab").join(
+            answers.groupBy("block").agg(F.collect_list(part).alias("now")), "block").withColumn("answers", F.concat("earlier", "now")).drop("earlier", "now")
+
     for n in range(2, order + 1):
-        joined = blocks.join(every.groupBy("block").agg(F.collect_list(part).alias("answers")), "block")
-        asked = _ask_grams(joined, n, levels, bits, bucket_grams)
+        # written, so that the shuffle of the blocks has gone before the n-grams are sent
+        joined = tables.write(answered(joined, answers))
+        tables.remove(blocks)
+        blocks = joined
+        asked = _ask_grams(joined, n, levels, buckets, bucket_grams)
         answers, level = stored(asked.groupBy("bucket").applyInArrow(_answering(n, k), _ANSWER_DDL), n)
-        levels, every = [*levels, level], every.unionByName(answers)
-    joined = blocks.join(every.groupBy("block").agg(F.collect_list(part).alias("answers")), "block")
+        levels = [*levels, level]
+    joined = answered(joined, answers)
     total, types = levels[0].total, levels[0].types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                block = Block({c: one.column(c)[0].as_py() for c in ("counts", "held", "vocab", "ids", "words")})
-                probability, _ = _evaluate(block, one.column("answers")[0].as_py(), levels, bucket_grams)
+                block = Block({c: one.column(c)[0].as_py() for c in ("counts", "held", "ids", "words", "n_words")})
+                probability, _ = _evaluate(block, one.column("answers")[0].as_py(), levels, buckets, bucket_grams)
                 n = len(block.n_tokens)
                 add = lambda values: np.bincount(block.text, values, n)
                 base = np.log10((block.known + 0.1) / (total + 0.1 * (types + 1)))
