@@ -196,8 +196,9 @@ class Group:
     def linked(self, shingles: np.ndarray, n: int, percent: int) -> np.ndarray:
         """Members that link with a set; none without opening the group if the bound fails."""
         at = np.searchsorted(self.union, shingles)
-        at = at[(at < len(self.union))]
-        at = at[np.isin(self.union[at], shingles, assume_unique=True)] if len(at) else at
+        inside = at < len(self.union)
+        at, shingles = at[inside], shingles[inside]
+        at = at[self.union[at] == shingles]  # a shingle that is not held lands on the next larger one
         if 100 * len(at) < percent * n:
             return np.zeros(0, np.int64)
         many = self.first[at + 1] - self.first[at]

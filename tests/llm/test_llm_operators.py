@@ -116,6 +116,30 @@ def test_near_copies_in_a_chain_and_a_star(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {d: c for (d, _), c in zip(rows, cases.classes(rows))}
 
 
+def test_shingles_that_a_part_does_not_hold_are_not_counted():
+    rng = np.random.default_rng(3)
+    known = np.unique(rng.integers(0, 2 ** 63, 60).astype(np.uint64) * np.uint64(2))
+    group = jaccard_join.Group([known[:50], known[2:52]], np.array([50, 50]))
+    guest = np.sort(np.concatenate([known[:36], known[:36] - np.uint64(1)]))  # each stranger lies just before a known one
+    assert group.linked(guest, len(guest), 80).tolist() == []
+    assert group.linked(known[:50], 50, 80).tolist() == [0, 1]
+
+
+def test_similar_pairs_in_different_parts_below_the_threshold(spark, monkeypatch):
+    """Pairs of Jaccard 0.5 to 0.8; what they do not share is held by third documents."""
+    monkeypatch.setattr(jaccard_join, "GROUP_SETS", 2)
+    monkeypatch.setattr(jaccard_join, "VISITS", 2)
+    rng = random.Random(8)
+    rows = []
+    for pair in range(60):
+        same = [f"s{pair}x{i}" for i in range(100)]
+        for side in "ab":
+            own = [f"{side}{pair}x{i}" for i in range(rng.randrange(16, 40))]
+            rows += [(len(rows), " ".join(same + own)), (len(rows) + 1, " ".join([f"t{side}{pair}x{i}" for i in range(100)] + same[-4:] + own))]
+    found = jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {d: c for (d, _), c in zip(rows, cases.classes(rows))}
+
+
 def test_one_of_each_keeps_the_smallest(docs, nothing):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
