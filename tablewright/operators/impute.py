@@ -18,7 +18,7 @@ from .profile import missing_profile, top_values, value_counts
 from .quantiles import exact_quantiles
 from .ranking import carry_fill, global_index
 
-MAX_CLASSES = 100  # labels a forest can reasonably vote on
+MAX_CLASSES = 100  # classes of one forest; more labels are voted on in steps
 
 
 def fill_values(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, object]:
@@ -79,9 +79,10 @@ def forest_impute(df: DataFrame, row_id: str, options: ForestOptions = ForestOpt
     """Predict missing cells of each column from all other columns with a random forest.
 
     Columns over 70% missing, without usable features or with fewer than five known cells get
-    the simple fill, as do dates (from neighbouring rows) and labels too many to vote on.
-    Text and columns of at most ten distinct numbers are classified, others regressed. The
-    training sample is bounded; prediction covers every row with a missing cell.
+    the simple fill, as do dates (from neighbouring rows). Text and columns of at most ten
+    distinct numbers are classified, others regressed. Any number of labels is predicted, see
+    `_vote`. The training sample of a forest is bounded; prediction covers every row with a
+    missing cell.
     """
     df = without_nan(df)
     n_rows = df.count()
@@ -146,9 +147,10 @@ def _predict(df: DataFrame, encoded: DataFrame, row_id: str, column: str,
              options: ForestOptions) -> DataFrame | None:
     """(row id, _value) for the rows missing the column, or None if it cannot be learned."""
     is_text = column in names.text_columns(df)
-    n_labels = df.select(column).na.drop().distinct().limit(MAX_CLASSES + 1).count()
+    labels = df.select(column).na.drop().distinct()
+    n_labels = (labels if is_text else labels.limit(vocab.FOREST_CLASS_DISTINCT + 1)).count()
     classify = is_text or n_labels <= vocab.FOREST_CLASS_DISTINCT
-    if n_labels < 1 or (is_text and n_labels > MAX_CLASSES):
+    if n_labels < 1:
         return None
     inputs = [f"f_{c}" for c in features] + [f"m_{c}" for c in features]
     rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(encoded)
@@ -159,22 +161,69 @@ def _predict(df: DataFrame, encoded: DataFrame, row_id: str, column: str,
                            F.col(column).cast("double").alias("_n") if not is_text
                            else F.lit(None).cast("double").alias("_n")).na.drop(
             subset=["value"]).distinct()
-        back = written(global_index(values, ["value"], "_label"))  # at most MAX_CLASSES rows
+        back = written(global_index(values, ["value"], "_label"))  # one row per label
         key = F.col("_n") if not is_text else None
         if key is not None:
             learn = learn.join(F.broadcast(back), F.col("_y") == key).withColumn(
                 "_y", F.col("_label").cast("double")).drop("value", "_n", "_label")
     learn = learn.select("features", "_y", row_id)
-    if classify and options.train_rows and known > options.train_rows:
-        share = min(1.0, options.train_rows / known)
-        learn = learn.sample(fraction=share, seed=options.seed)
-    # a fixed row order inside fixed partitions makes the seeded forest repeatable
-    learn = learn.repartition(max(8, known // 100_000), row_id).sortWithinPartitions(row_id)
-    kind = RandomForestClassifier if classify else RandomForestRegressor
-    model = kind(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=options.depth,
-                 seed=options.seed, maxBins=64).fit(learn)
-    guess = model.transform(rows.where(F.col(f"m_{column}") == 1)).select(row_id, "prediction")
+    unknown = rows.where(F.col(f"m_{column}") == 1).select(row_id, "features")
     if not classify:
-        return guess.withColumnRenamed("prediction", "_value")
-    return guess.join(F.broadcast(back), F.col("prediction") == F.col("_label")).select(
+        model = _fit(RandomForestRegressor, learn, row_id, known, trees, options)
+        return model.transform(unknown).select(row_id, F.col("prediction").alias("_value"))
+    guess = _vote(learn, unknown, row_id, n_labels, known, trees, options)
+    back = F.broadcast(back) if n_labels <= MAX_CLASSES else back
+    return guess.join(back, F.col("_code") == F.col("_label")).select(
         row_id, F.col("value").alias("_value"))
+
+
+def _fit(kind, learn: DataFrame, row_id: str, known: int, trees: int, options: ForestOptions):
+    """A seeded forest; a classifier's rows are sampled down to the bound."""
+    if kind is RandomForestClassifier and options.train_rows and known > options.train_rows:
+        learn = learn.sample(fraction=options.train_rows / known, seed=options.seed)
+    # a fixed row order inside fixed partitions makes the seeded forest repeatable
+    learn = learn.repartition(max(8, known // 100_000), row_id).sortWithinPartitions(row_id)
+    return kind(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=options.depth,
+                seed=options.seed, maxBins=64).fit(learn)
+
+
+def _vote(learn: DataFrame, unknown: DataFrame, row_id: str, n_labels: int, known: int,
+          trees: int, options: ForestOptions) -> DataFrame:
+    """(row id, _code) of the label predicted for each row.
+
+    Codes are read as digits to the base MAX_CLASSES, one digit per step from the highest: a
+    forest for each block of labels that rows were sent to. One step does for up to MAX_CLASSES
+    labels; beyond, there are about as many forests as blocks, each with its own sample.
+    """
+    steps = 1
+    while MAX_CLASSES ** steps < n_labels:
+        steps += 1
+    if steps > 1:
+        learn, unknown = written(learn), written(unknown)
+    sent = unknown.withColumn("_code", F.lit(0).cast("bigint"))
+    for step in range(steps):
+        place = F.floor(F.col("_y") / MAX_CLASSES ** (steps - 1 - step))
+        digit = (place % MAX_CLASSES).cast("double")
+        blocks = {0: (known, 0)} if steps == 1 else {
+            r["block"]: (r["n"], r["digits"]) for r in learn.groupBy(
+                F.floor(place / MAX_CLASSES).alias("block")).agg(
+                F.count("*").alias("n"), F.count_distinct(digit).alias("digits")).collect()}
+        wanted = [0] if step == 0 else sorted(
+            r["_code"] for r in sent.select("_code").distinct().collect())
+        parts = None
+        for block in wanted:
+            n, digits = blocks[block]
+            own = learn if steps == 1 else learn.where(
+                F.floor(place / MAX_CLASSES) == block).withColumn("_y", digit)
+            rows = sent.where(F.col("_code") == block)
+            if digits == 1:
+                part = rows.withColumn("prediction", F.lit(own.first()["_y"]))
+            else:
+                model = _fit(RandomForestClassifier, own, row_id, n, trees, options)
+                part = model.transform(rows)
+            part = part.select(row_id, "features", (F.col("_code") * MAX_CLASSES
+                                                    + F.col("prediction").cast("bigint")).alias("_code"))
+            part = written(part) if steps > 1 else part
+            parts = part if parts is None else parts.unionByName(part)
+        sent = parts if parts is not None else sent
+    return sent.select(row_id, "_code")

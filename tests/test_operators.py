@@ -148,6 +148,19 @@ def test_forest_recovers_a_planted_rule(spark):
     assert filled.count() == 400 and wrong.isEmpty()
 
 
+def test_forest_predicts_any_number_of_labels(spark):
+    """300 labels told by two columns; the mode would be right once in 300."""
+    place = F.col("id") % 300
+    frame = spark.range(3000).select(
+        F.col("id").alias("row_id"), F.floor(place / 20).alias("x"), (place % 20).alias("y"),
+        F.when(F.col("id") % 7 != 0, F.format_string("city%03d", place)).alias("city"))
+    filled = impute.forest_impute(frame, "row_id", impute.ForestOptions(trees=20))
+    right = F.col("city") == F.format_string("city%03d", F.col("row_id") % 300)
+    assert filled.count() == 3000 and filled.where("city IS NULL").isEmpty()
+    assert filled.where(F.col("row_id") % 7 != 0).where(~right).isEmpty()
+    assert filled.where(F.col("row_id") % 7 == 0).where(right).count() > 0.9 * 429
+
+
 def test_clusters_find_planted_groups(spark):
     frame = spark.range(300).select(F.col("id").alias("row_id"),
                                     ((F.col("id") % 3) * 100 + F.rand(1)).alias("x"),
