@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import boilerplate, decontaminate, hamming, jaccard_join, katz, language, mixing, sharding, toxicity, trie_counts
+from . import (boilerplate, decontaminate, hamming, jaccard_join, katz, language, mixing, phrases, piece_encoding, sharding, toxicity,
+               trie_counts, whitening)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +88,25 @@ def op10_trie_counts(spark: SparkSession, folder: str) -> DataFrame:
     return trie_counts.token_counts(_table(spark, folder, "documents"), columns=["doc_id"])
 
 
+def op11_exact_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors whitened by the first 16 components of the distinct ones."""
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded and decoded, with digests of ids, texts and source places."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return piece_encoding.encode(_table(spark, folder, "documents").select("doc_id", "text"), model, tokens=False).drop("text")
+
+
+def op13_toivonen(spark: SparkSession, folder: str) -> DataFrame:
+    """Collocations of all documents, by language."""
+    return phrases.mine_phrases(_table(spark, folder, "documents"))
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = f"""
@@ -122,6 +142,28 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id
 """
 
+OP13_SQL = f"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, {_LOWERED} AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM texts),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY 1),
+grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+          FROM words, range(1, 6) s(size) WHERE len(w) >= size),
+counts AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+split AS (SELECT *, string_split(phrase, ' ') AS w FROM counts),
+longer AS (SELECT lang, phrase, max(f) AS g FROM (
+  SELECT lang, array_to_string(w[1:size - 1], ' ') AS phrase, f FROM split WHERE size > 2 UNION ALL
+  SELECT lang, array_to_string(w[2:size], ' '), f FROM split WHERE size > 2) GROUP BY ALL),
+kept AS (SELECT s.* FROM split s LEFT JOIN longer o USING (lang, phrase) WHERE size > 1 AND (g IS NULL OR 100 * g < 100 * f)),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM kept),
+scored AS (SELECT c.lang, c.phrase, k, c.f AS a, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN total t USING (lang) JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:c.size], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM worst)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM ranked WHERE rank <= 2000
+"""
+
 #: name: (query, SQL that must give the same rows or None)
 QUERIES = {
     "op1_katz": (op1_katz, None),
@@ -134,4 +176,7 @@ QUERIES = {
     "op8_host_suffixes": (op8_host_suffixes, None),
     "op9_counterfactual": (op9_counterfactual, None),
     "op10_trie_counts": (op10_trie_counts, None),
+    "op11_exact_whitening": (op11_exact_whitening, None),
+    "op12_piece_offsets": (op12_piece_offsets, None),
+    "op13_toivonen": (op13_toivonen, OP13_SQL),
 }
