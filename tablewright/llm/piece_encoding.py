@@ -105,7 +105,7 @@ def encode(docs: DataFrame, model: bytes, *, text: str = "text", tokens: bool =
     Texts are encoded whole, without begin and end ids. Tokens follow each other in the source: each begins
     at the stop of the one before, the first at 0 (after leading spaces, if the model drops them), and
     ends before its own, in UTF-8 bytes; the digest is of decimal stops joined by commas. Of a
-    character that is no piece, the first byte token has all bytes and the others none; the space put in
+    character that is no piece, the last byte token has all bytes and the others none; the space put in
     front takes none. A null text counts as empty; an empty one has no tokens and decodes to nothing. Repeated
     rows stay. Columns named like an output are replaced. No rows in, no rows out.
     """

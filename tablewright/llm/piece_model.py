@@ -159,7 +159,7 @@ class PieceModel:
         """(id, characters) of the tokens of a word, both as one merge after the other gives them.
 
         The best-scored pair of neighbours is joined first, of equal ones the leftmost. A character
-        that is no piece gives its bytes: the first takes the character, the others none.
+        that is no piece gives its bytes: the last takes the character, the others none.
         """
         if len(word) <= SHORT:
             parts = self._merged_short(word)
@@ -171,7 +171,8 @@ class PieceModel:
             if known is not None:
                 out.append((known, len(part)))
             elif self.bytes:
-                out += [(self.bytes[b], 0 if i else 1) for i, b in enumerate(part.encode())]
+                raw = part.encode()
+                out += [(self.bytes[b], int(i == len(raw))) for i, b in enumerate(raw, 1)]
             else:
                 out.append((self.unknown, len(part)))
         return out
