@@ -12,8 +12,9 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from .piece_model import PieceModel
 
-REMEMBERED = 300_000  #: words a task keeps; it starts anew beyond
+REMEMBERED = 300_000  #: words kept; beyond, those not met since are forgotten at the next time
 WORD_CHARACTERS = 64  #: longer ones are merged each time
 
 _encoders: dict[str, "Encoder"] = {}
@@ -42,59 +43,74 @@ def _digest(text: str) -> str:
 
 
 class Encoder:
-    """Tokens of whole texts; remembers words as (ids, number, text when decoded, bytes and characters of each token)."""
+    """Tokens of whole texts; remembers words as (ids, sizes of tokens, text when decoded).
+
+    Sizes are bytes of the source for a model without a character map, else characters of the
+    normalised text.
+    """
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.known: dict[str, tuple[str, int, str, list[int], list[int]]] = {}
+        self.bare = model.plain and bool(model.bytes)  # characters stay as they are, and no token is joined with the next
+        self.known: dict[str, tuple[str, bytes, str]] = {}
+        self.older: dict[str, tuple[str, bytes, str]] = {}
 
-    def _part(self, word: str, raw: str) -> tuple[str, int, str, list[int], list[int]]:
+    def _part(self, whole: str, raw: str) -> tuple[str, bytes, str]:
         """A word that pieces may fill, merged; its characters are whole, so it decodes alone."""
         model = self.model
-        tokens = model.merged(word)
-        text = b"".join([model.piece_text(t) for t, _ in tokens]).decode()
-        sizes, bytes_, at = [n for _, n in tokens], [], 0
-        for n in sizes:
-            bytes_.append(len(raw[at: at + n].encode()))
+        parts = model.merged_parts(whole)
+        names = [model.names.get(p) for p in parts]
+        if None not in names and raw.isascii():  # all are pieces, a byte for each character
+            return ",".join(names), array("H", map(len, parts)).tobytes(), raw
+        tokens, sizes, at = model.tokens(parts), [], 0
+        for _, n in tokens:
+            sizes.append(len(raw[at: at + n].encode()) if self.bare else n)
             at += n
-        return ",".join([str(t) for t, _ in tokens]), len(tokens), raw if text == raw else text, bytes_, sizes if bytes_ != sizes else bytes_
-
-    def _word(self, word: str) -> tuple[str, int, str, list[int], list[int]]:
-        whole, inner = word.replace(" ", self.model.space), self.model.inner
-        cuts = [i + 1 for i in range(len(whole) - 1) if whole[i: i + 2] not in inner]
-        if not cuts:
-            return self._keep(word, self._part(whole, word))
-        own = []
-        for a, b in zip([0, *cuts], [*cuts, len(whole)]):
-            raw = word[a:b]
-            own.append(self.known.get(raw) or self._keep(raw, self._part(whole[a:b], raw)))
-        return self._keep(word, (",".join([e[0] for e in own]), sum(e[1] for e in own), "".join([e[2] for e in own]),
-                                 [n for e in own for n in e[3]], [n for e in own for n in e[4]]))
-
-    def _keep(self, word: str, entry: tuple) -> tuple:
+        text = b"".join([model.piece_text(t) for t, _ in tokens]).decode()
+        return ",".join([str(t) for t, _ in tokens]), array("H", sizes).tobytes(), raw if text == raw else text
+
+    def _word(self, word: str) -> tuple[str, bytes, str]:
+        entry = self.older.get(word)
+        if entry is None:
+            whole, inner = word.replace(" ", self.model.space), self.model.inner
+            cuts = [i + 1 for i, pair in enumerate(map(add, whole, whole[1:])) if pair not in inner]
+            if not cuts:
+                entry = self._part(whole, word)
+            else:
+                own = []
+                for a, b in zip([0, *cuts], [*cuts, len(whole)]):
+                    raw = word[a:b]
+                    own.append(self.known.get(raw) or self.older.get(raw) or self._keep(raw, self._part(whole[a:b], raw)))
+                entry = ",".join([e[0] for e in own]), b"".join([e[1] for e in own]), "".join([e[2] for e in own])
+                entry = entry[0], entry[1], word if entry[2] == word else entry[2]
+        return self._keep(word, entry)
+
+    def _keep(self, word: str, entry: tuple[str, bytes, str]) -> tuple[str, bytes, str]:
         if len(word) <= WORD_CHARACTERS:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = entry
         return entry
 
-    def _entries(self, text: str) -> list[tuple[str, int, str, list[int], list[int]]]:
-        known, own = self.known, self._word
-        return [known.get(w) or own(w) for w in self.model.words.findall(text)]
+    def _entries(self, text: str) -> list[tuple[str, bytes, str]]:
+        known, own = self.known.get, self._word
+        return [known(w) or own(w) for w in self.model.words.findall(text)]
 
     def encoded(self, text: str) -> tuple[str, int, str, np.ndarray]:
         """Ids, comma-joined; their number; the text they decode to; source bytes where tokens begin and, last, where they end."""
         if not text:
             return "", 0, "", np.zeros(1, np.int64)
         model = self.model
-        if model.plain and model.bytes:  # characters stay as they are, and no token is joined with the next
+        if self.bare:
             entries = self._entries(" " + text if model.add_space else text)
-            bounds = np.zeros(1 + sum([e[1] for e in entries]), np.int64)
-            np.cumsum(np.fromiter(chain.from_iterable([e[3] for e in entries]), np.int64, len(bounds) - 1), out=bounds[1:])
+            sizes = np.frombuffer(b"".join([e[1] for e in entries]), np.uint16)
+            bounds = np.zeros(len(sizes) + 1, np.int64)
+            np.cumsum(sizes, out=bounds[1:])
             bounds[1:] -= model.add_space  # the space put in front takes no bytes
-            return ",".join([e[0] for e in entries]), len(bounds) - 1, "".join([e[2] for e in entries])[model.add_space:], bounds
+            return ",".join([e[0] for e in entries]), len(sizes), "".join([e[2] for e in entries])[model.add_space:], bounds
         normalised, source = model.normalised(text)
-        tokens = model.joined_unknowns([(int(t), n) for e in self._entries(normalised) for t, n in zip(e[0].split(","), e[4])])
+        entries = self._entries(normalised)
+        tokens = model.joined_unknowns([(int(t), n) for e in entries for t, n in zip(e[0].split(","), np.frombuffer(e[1], np.uint16).tolist())])
         bounds = np.array(source)[np.cumsum([0, *(n for _, n in tokens)])]
         return ",".join([str(t) for t, _ in tokens]), len(tokens), model.decoded([t for t, _ in tokens]), bounds
 

@@ -10,6 +10,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 
@@ -103,6 +104,7 @@ class PieceModel:
         self.space = SPACE if normalizer.get(ESCAPE_SPACES, 1) else " "
         self.unknown_text = trainer.get(UNKNOWN_TEXT, " ⁇ ".encode()).decode()
         self.ids = {text: i for i, (text, _, kind) in enumerate(self.pieces) if kind == NORMAL}
+        self.names = {text: str(i) for text, i in self.ids.items()}
         self.ranked = {text: -score for text, score, kind in self.pieces if kind == NORMAL}
         self.unknown = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
         self.bytes = {int(text[3:5], 16): i for i, (text, _, kind) in enumerate(self.pieces) if kind == BYTE}
@@ -155,16 +157,12 @@ class PieceModel:
                 out.pop()
         return "".join(out), [*source, end]
 
-    def merged(self, word: str) -> list[tuple[int, int]]:
-        """(id, characters) of the tokens of a word, both as one merge after the other gives them.
+    def merged_parts(self, word: str) -> list[str]:
+        """The word cut as merges leave it: the best-scored pair of neighbours is joined first, of equal ones the leftmost."""
+        return self._merged_short(word) if len(word) <= SHORT else self._merged_long(word)
 
-        The best-scored pair of neighbours is joined first, of equal ones the leftmost. A character
-        that is no piece gives its bytes: the last takes the character, the others none.
-        """
-        if len(word) <= SHORT:
-            parts = self._merged_short(word)
-        else:
-            parts = self._merged_long(word)
+    def tokens(self, parts: list[str]) -> list[tuple[int, int]]:
+        """(id, characters) of parts; a character that is no piece gives its bytes: the last takes the character, the others none."""
         out = []
         for part in parts:
             known = self.ids.get(part)
@@ -179,18 +177,18 @@ class PieceModel:
 
     def _merged_short(self, word: str) -> list[str]:
         parts, rank = list(word), self.ranked.get
-        ranks = [rank(word[i: i + 2], NEVER) for i in range(len(word) - 1)]
+        ranks = [rank(pair, NEVER) for pair in map(add, word, word[1:])]
         while ranks:
             best = min(ranks)
             if best == NEVER:
                 break
             at = ranks.index(best)
-            parts[at: at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
+            own = parts[at] = parts[at] + parts[at + 1]
+            del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+                ranks[at - 1] = rank(parts[at - 1] + own, NEVER)
             if at < len(ranks):
-                ranks[at] = rank(parts[at] + parts[at + 1], NEVER)
+                ranks[at] = rank(own + parts[at + 1], NEVER)
         return parts
 
     def _merged_long(self, word: str) -> list[str]:
