@@ -24,6 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -370,13 +371,24 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFr
     names = docs.columns
     tables = Tables(docs.sparkSession, "jaccard-kept")
     text = options.pop("text", "text")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(doc_id).cast("bigint").alias("_doc"), F.col(text).alias("_text"))
-    found = tables.write(similarity_classes(packed, doc_id="_doc", text="_text", columns=["_row", "_doc"], **options)
-                         .withColumn("_place", F.monotonically_increasing_id()))
+    placed = _placed(docs, tables)  # blocks carry a row's place, never the row
+    packed = placed.select("_place", F.col(f"_row.`{doc_id}`").cast("bigint").alias("_doc"), F.col(f"_row.`{text}`").alias("_text"))
+    found = tables.write(similarity_classes(packed, doc_id="_doc", text="_text", columns=["_place", "_doc"], **options))
     # of a class: the row whose doc_id is the smallest (null last), then the first place
     first = found.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.col("_doc").isNull().alias("x"), "_doc", "_place")).alias("best"),
                                                                  F.min("component_id").alias("component_id"))
     class_of = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("set"), F.col("set_id")))
     best = first.groupBy(class_of.alias("class")).agg(F.min("best").alias("best")).select(F.col("best._place").alias("_place"))
-    kept = found.join(best, "_place", "left_semi").unionByName(found.filter("n_shingles = 0"))
+    kept = placed.join(best.unionByName(found.filter("n_shingles = 0").select("_place")), "_place", "left_semi")
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+
+
+def _placed(docs: DataFrame, tables: Tables) -> DataFrame:
+    """_place, which names a row for good, and _row: by file and row number for a plain read, else by a written copy."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():  # nothing that could repeat rows
+        try:
+            return docs.select(F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("_place"), row)
+        except AnalysisException:  # not of files whose rows are numbered
+            pass
+    return tables.write(docs.select(F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("at")).alias("_place"), row))
