@@ -45,10 +45,11 @@ def _within(a: str, b: str, limit: int) -> int:
 
 
 def long_edit_distance(a: Column, b: Column, limit: int) -> Column:
-    """Bounded edit distance over Arrow batches, linear in text length for a small limit."""
+    """Bounded edit distance over Arrow batches, linear in text length for a small limit; null for nulls."""
 
     @F.pandas_udf(T.IntegerType())
     def measure(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_within(x, y, limit) for x, y in zip(left, right)], dtype="int32")
+        return pd.Series([None if x is None or y is None else _within(x, y, limit)
+                          for x, y in zip(left, right)], dtype="Int32")
 
     return measure(a, b)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,13 +20,16 @@ from ..functions.accents import normalise_text
 from ..functions.edits import long_edit_distance
 from ..session import written
 from .profile import value_counts
-from .ranking import SINGLE_TASK_ROWS
+from .ranking import SINGLE_TASK_ROWS, global_index
 
 # A piece shared by more texts than this is not joined on alone; see _meet.
 FREQUENT_PIECE = 1000
 MAX_DEPTH = 4
 # Above this length the built-in distance, quadratic in it, gives way to a bounded one.
 LONG_TEXT = 500
+# Leaders are found in batches: items of the first one, candidate pairs of one.
+FIRST_BATCH = 20_000
+BATCH_PAIRS = 1_000_000
 KEY = ["scope", "length", "edits", "piece", "hash"]
 
 
@@ -130,34 +134,132 @@ def _meet(short: DataFrame, long: DataFrame, frequent: int, n_items: int, depth:
     return cold.unionByName(ended).unionByName(deeper)
 
 
-def close_pairs(items: DataFrame, rule: Closeness, frequent: int = FREQUENT_PIECE) -> DataFrame:
-    """All pairs of items (id, text; texts distinct) within the rule, with their distance."""
-    sized = written(items.select("id", "text").where(F.length("text") > 0))
+def _shorter_side(sized: DataFrame, rule: Closeness) -> DataFrame:
+    """Items once per number of edits that some text of their length or longer allows."""
     length = F.length("text")
-    n_items, longest = sized.agg(F.count("*"), F.max(length)).first()
     reach = F.sequence(length, length + rule.distance)
     budgets = F.array_distinct(F.filter(
         F.transform(reach, lambda m: F.when(m - length <= rule.allowed(m), rule.allowed(m))),
         lambda d: d >= 1))
-    short = sized.select(F.lit(0).cast("long").alias("scope"), "id", "text",
-                         F.explode(budgets).alias("edits"))
-    long = (sized.withColumn("edits", rule.allowed(length)).where("edits >= 1")
-            .select(F.lit(0).cast("long").alias("scope"), "id", "text", "edits",
+    return sized.select("scope", "id", "text", F.explode(budgets).alias("edits"))
+
+
+def _longer_side(sized: DataFrame, rule: Closeness) -> DataFrame:
+    """Items once per length of a text they may be close to."""
+    length = F.length("text")
+    return (sized.withColumn("edits", rule.allowed(length)).where("edits >= 1")
+            .select("scope", "id", "text", "edits",
                     F.explode(F.sequence(length - F.col("edits"), length)).alias("length")))
-    met = _meet(short, long, frequent, n_items, 1)
-    candidates = met.select(F.least("id_a", "id_b").alias("id_a"),
-                            F.greatest("id_a", "id_b").alias("id_b")).distinct()
-    a = sized.select(F.col("id").alias("id_a"), F.col("text").alias("text_a"))
-    b = sized.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    edits = (F.levenshtein("text_a", "text_b", rule.distance)
-             if (longest or 0) <= LONG_TEXT
-             else long_edit_distance(F.col("text_a"), F.col("text_b"), rule.distance))
-    measured = candidates.join(a, "id_a").join(b, "id_b").withColumn("distance", edits)
+
+
+def _sized(items: DataFrame) -> DataFrame:
+    """Items with a text; those of different scopes (a column, if there is one) never meet."""
+    scope = F.col("scope") if "scope" in items.columns else F.lit(0)
+    return items.select(scope.cast("long").alias("scope"), "id", "text").where(F.length("text") > 0)
+
+
+def _measured(candidates: DataFrame, a: DataFrame, b: DataFrame, rule: Closeness, longest: int) -> DataFrame:
+    """(id_a, id_b) with their distance, where the rule allows it; each pair is measured by its own length."""
+    a = a.select(F.col("id").alias("id_a"), F.col("text").alias("text_a"))
+    b = b.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
     longer = F.greatest(F.length("text_a"), F.length("text_b"))
+    edits = F.levenshtein("text_a", "text_b", rule.distance)
+    if longest > LONG_TEXT:  # shorter pairs reach the bounded distance as nulls
+        long = (lambda c: F.when(longer > LONG_TEXT, F.col(c)))
+        edits = F.when(longer <= LONG_TEXT, edits).otherwise(
+            long_edit_distance(long("text_a"), long("text_b"), rule.distance))
+    measured = candidates.join(a, "id_a").join(b, "id_b").withColumn("distance", edits)
     return (measured.where((F.col("distance") >= 1) & (F.col("distance") <= rule.allowed(longer)))
             .select("id_a", "id_b", "distance"))
 
 
+def close_pairs(items: DataFrame, rule: Closeness, frequent: int = FREQUENT_PIECE) -> DataFrame:
+    """All pairs of items (id, text; texts distinct) within the rule, with their distance."""
+    sized = written(_sized(items))
+    n_items, longest = sized.agg(F.count("*"), F.max(F.length("text"))).first()
+    met = _meet(_shorter_side(sized, rule), _longer_side(sized, rule), frequent, n_items, 1)
+    candidates = met.select(F.least("id_a", "id_b").alias("id_a"),
+                            F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    return _measured(candidates, sized, sized, rule, longest or 0)
+
+
+def _close_to(found: DataFrame, batch: DataFrame, rule: Closeness, frequent: int,
+              n_found: int, longest: int) -> DataFrame:
+    """(id_a, id_b): leaders and the items of a batch that are close to them.
+
+    Few leaders need no refined pieces: an item meets each of them at most.
+    """
+    shorter = _meet(_shorter_side(found, rule), _longer_side(batch, rule), frequent, n_found, 1)
+    longer = _meet(_shorter_side(batch, rule), _longer_side(found, rule), frequent, n_found, 1)
+    both = shorter.unionByName(longer.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    return _measured(both.distinct(), found, batch, rule, longest)
+
+
+def grouped(items: DataFrame, rule: Closeness, order: list[str], frequent: int = FREQUENT_PIECE,
+            first: int = FIRST_BATCH, pairs: int = BATCH_PAIRS) -> DataFrame:
+    """Group items (id, text, order columns, perhaps scope) around leaders: (id, leader) for every item.
+
+    Taken in order, an item joins the earliest leader it is close to and otherwise leads itself.
+
+    Items are taken in batches of rank. A batch first meets the leaders so far; what is close to one
+    follows it, for leaders of its own batch come later. Only what is left is compared among
+    itself, and the pairs in a small part of it tell how much of it to take
+    now; the rest goes to the next batch, where the new leaders claim most of a dense group. So a
+    group of n alike texts makes about n pairs, not n * n.
+    """
+    named = global_index(_sized_with(items, order), [F.col(c) for c in order])
+    ranked = written(named.select("id", "text", "scope", F.col("_index").cast("long").alias("place")))
+    total, longest = ranked.agg(F.count("*"), F.max(F.length("text"))).first()
+    longest, size, begin = longest or 0, first, 0
+    found, done, waiting = None, [], None
+    while begin < total or waiting is not None:
+        new = ranked.where((F.col("place") >= begin) & (F.col("place") < begin + size)) if begin < total else None
+        batch = new if waiting is None else waiting if new is None else waiting.unionByName(new)
+        begin += size
+        if found is not None:
+            hits = _close_to(found, batch, rule, frequent, found.count(), longest).join(
+                found.select(F.col("id").alias("id_a"), F.col("place").alias("leader_place")), "id_a")
+            claimed = written(hits.groupBy(F.col("id_b").alias("id")).agg(
+                F.min_by("id_a", "leader_place").alias("leader")))
+            done.append(claimed)
+            batch = written(batch.join(claimed, "id", "left_anti"))
+        left = batch.count() if found is not None else min(size, total)
+        taken = _affordable(batch, left, rule, frequent, pairs)
+        waiting = None
+        if taken < left:
+            bound = batch.select("place").orderBy("place").limit(taken + 1).agg(F.max("place")).first()[0]
+            waiting = batch.where(F.col("place") >= bound)
+            batch = batch.where(F.col("place") < bound)
+            size = max(first, taken)
+        else:
+            size *= 4
+        own = written(leaders(batch, close_pairs(batch, rule, frequent), ["place"]))
+        done.append(own)
+        fresh = batch.join(own.where("id = leader").select("id"), "id", "left_semi")
+        found = written(fresh if found is None else found.unionByName(fresh))
+    return reduce(DataFrame.unionByName, done) if done else items.select("id", F.col("id").alias("leader"))
+
+
+def _sized_with(items: DataFrame, order: list[str]) -> DataFrame:
+    scope = F.col("scope") if "scope" in items.columns else F.lit(0)
+    return items.select("id", "text", scope.cast("long").alias("scope"), *[c for c in order if c not in ("id", "text")])
+
+
+def _affordable(batch: DataFrame, left: int, rule: Closeness, frequent: int, pairs: int) -> int:
+    """How many of a batch, in order, have at most so many candidate pairs; steers sizes, never results."""
+    if left * left <= 2 * pairs:
+        return left
+    share = -(-left // frequent)  # so few that pieces need no refining
+    some = written(_sized(batch.where(F.pmod(F.xxhash64("place"), F.lit(share)) == 0)))
+    n = some.count()
+    met = _meet(_shorter_side(some, rule), _longer_side(some, rule), frequent, n, 1).count()
+    expected = met * (left / max(1, n)) ** 2
+    if expected <= pairs:
+        return left
+    few = int(left * (pairs / expected) ** 0.5)
+    return few if few > 4 * frequent else min(left, frequent)
+
+
 def leaders(items: DataFrame, pairs: DataFrame, order: list[str],
             single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Group items (id, order columns) around leaders: (id, leader) for every item.
@@ -241,12 +343,11 @@ def spelling_map_of_counts(values: DataFrame, rule: Closeness = VALUES,
         .where("norm <> ''"))
     forms = counts.groupBy("norm").agg(
         F.min(F.struct((-F.col("count")).alias("rank"), "value")).alias("best"))
-    items = forms.select(F.col("norm").alias("id"), F.col("norm").alias("text"),
+    # texts whose digits differ name different things, however alike they look, and never meet
+    digits = F.xxhash64(F.regexp_replace("norm", "[^0-9]", ""))
+    items = forms.select(F.col("norm").alias("id"), F.col("norm").alias("text"), digits.alias("scope"),
                          F.col("best.rank").alias("rank"), F.col("best.value").alias("value"))
-    # texts whose digits differ name different things, however alike they look
-    digits = (lambda c: F.regexp_replace(c, "[^0-9]", ""))
-    pairs = close_pairs(items, rule, frequent).where(digits(F.col("id_a")) == digits(F.col("id_b")))
-    led = leaders(items, pairs, ["rank", "value"])
+    led = grouped(items, rule, ["rank", "value"], frequent)
     canonical = led.join(items.select(F.col("id").alias("leader"),
                                       F.col("value").alias("canonical")), "leader")
     return counts.join(canonical.withColumnRenamed("id", "norm"), "norm").select(
@@ -291,7 +392,7 @@ def near_duplicate_rows(df: DataFrame, row_id: str, rule: Closeness = ROWS,
     """
     columns = columns or signature_columns(df, row_id)
     items = written(row_signatures(df, row_id, columns))
-    led = leaders(items, close_pairs(items, rule, frequent), ["id"])
+    led = grouped(items, rule, ["id"], frequent)
     shared = led.where("id <> leader").select("leader").distinct()
     clustered = led.join(shared, "leader", "left_semi").join(items, "id")
     # texts can be long; rows are matched to them by digest

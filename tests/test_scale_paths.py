@@ -120,3 +120,38 @@ def test_trends_and_leader_ranks_do_not_depend_on_the_path(spark):
     small = segments.volume_value_leaders(frame, "shop", "y").orderBy("segment").collect()
     large = segments.volume_value_leaders(frame, "shop", "y", 7).orderBy("segment").collect()
     assert small == large
+
+
+@pytest.mark.parametrize("first,pairs,frequent", [(7, 10 ** 9, 1000), (10 ** 6, 20, 5), (30, 50, 8)])
+def test_leaders_in_batches_equal_the_pass_in_order(spark, first, pairs, frequent):
+    rng = random.Random(11)
+    texts = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(3, 12))) for _ in range(140)}
+                   | {f"customer {i:05d}" for i in range(0, 400, 7)})
+    rng.shuffle(texts)
+    rule = similarity.VALUES
+    items = spark.createDataFrame([(t, t, i) for i, t in enumerate(texts)], "id string, text string, rank long")
+    got = {r.id: r.leader for r in similarity.grouped(items, rule, ["rank"], frequent, first, pairs).collect()}
+    close = {}
+    for r in similarity.close_pairs(items, rule).collect():
+        close.setdefault(r.id_a, set()).add(r.id_b)
+        close.setdefault(r.id_b, set()).add(r.id_a)
+    expected, leaders = {}, []
+    for t in texts:
+        expected[t] = next((x for x in leaders if x in close.get(t, ())), t)
+        if expected[t] == t:
+            leaders.append(t)
+    assert got == expected
+
+
+def test_scopes_never_meet(spark):
+    items = spark.createDataFrame([("aaaa1", "aaaaaa", 1, 1), ("aaaa2", "aaaaab", 2, 2), ("aaaa3", "aaaaac", 3, 1)],
+                                  "id string, text string, rank long, scope long")
+    got = {r.id: r.leader for r in similarity.grouped(items, similarity.VALUES, ["rank"]).collect()}
+    assert got == {"aaaa1": "aaaa1", "aaaa2": "aaaa2", "aaaa3": "aaaa1"}
+
+
+def test_each_pair_is_measured_by_its_own_length(spark):
+    long = "x".join(str(i) for i in range(300))
+    rows = [(1, "abcdefgh"), (2, "abcdefgi"), (3, long), (4, long + "y"), (5, "zz" * 300)]
+    items = spark.createDataFrame(rows, "id long, text string")
+    assert sorted(map(tuple, similarity.close_pairs(items, similarity.ROWS).collect())) == [(1, 2, 1), (3, 4, 1)]
