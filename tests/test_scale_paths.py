@@ -85,6 +85,9 @@ def test_counted_quantiles_equal_the_built_in_ones(spark):
     probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
     simple = quantiles.exact_quantiles(frame, frame.columns, probs, built_in_rows=10 ** 9)
     counted = quantiles.exact_quantiles(frame, frame.columns, probs, built_in_rows=0, bins=16)
+    # brackets without any margin miss their ranks
+    missed = quantiles.exact_quantiles(frame, frame.columns, probs, built_in_rows=0, bins=16, margin=0.0)
+    assert counted == missed
     for c in frame.columns:
         assert counted[c] == pytest.approx(simple[c], rel=1e-12)
 
