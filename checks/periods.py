@@ -1,5 +1,7 @@
 """Calendar comparisons, trends and forecasts."""
 
+from pyspark.sql import functions as F
+
 from tablewright.operators import periods, trends
 
 from .tables import table
@@ -152,7 +154,21 @@ def _level(spark, folder):
 
 EVENT_NUMBERS = ["event_id", "user_id", "value"]
 
+def _spiked(s, d):
+    """Orders of January 1996 forty times, and of 1999 only one month, a hundred times."""
+    o = table(s, d, "orders").select("o_orderdate", "o_totalprice").where("year(o_orderdate) <> 1999 OR month(o_orderdate) = 5")
+    times = F.when((F.year("o_orderdate") == 1996) & (F.month("o_orderdate") == 1), 40).when(F.year("o_orderdate") == 1999, 100).otherwise(1)
+    return o.select("o_orderdate", "o_totalprice", F.explode(F.sequence(F.lit(1), times)).alias("copy")).drop("copy")
+
+
+SPIKED = """(SELECT o_orderdate, o_totalprice FROM orders, LATERAL (SELECT unnest(range(0,
+  CASE WHEN year(o_orderdate) = 1996 AND month(o_orderdate) = 1 THEN 40 WHEN year(o_orderdate) = 1999 THEN 100 ELSE 1 END)))
+  WHERE year(o_orderdate) <> 1999 OR month(o_orderdate) = 5)"""
+
 QUERIES = {
+    "volume_anomalies_spiked": (lambda s, d: periods.volume_anomalies(_spiked(s, d), "o_orderdate"), _volume_sql(SPIKED, "o_orderdate")),
+    "yoy_mom_lost_year": (lambda s, d: periods.period_changes(_spiked(s, d), "o_orderdate", ["o_totalprice"]),
+                          _changes_sql(SPIKED, "o_orderdate", ["o_totalprice"])),
     "monthly_totals": (
         lambda s, d: periods.monthly_totals(table(s, d, "lineitem"), "l_shipdate", LINE_NUMBERS),
         _monthly_sql("lineitem", "l_shipdate", LINE_NUMBERS)),

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tablewright.plans.cleaning import CleaningPlan, clean
 from tablewright.session import shared_folder
+from tablewright.sources import csv_files
 from tablewright.sources.report_store import ReportStore
 
 from .tables import table
@@ -35,7 +36,8 @@ def plan_input(plan, frame):
 def _headers(s, d):
     """Raw headers with spaces and points, and ids that repeat."""
     orders = table(s, d, "orders").select(F.col("o_orderkey").alias("Order ID"), F.col("o_orderstatus").alias("Sr. No."))
-    return orders.unionByName(orders.where("`Order ID` % 40 = 0"))
+    repeated = orders.where("`Order ID` % 40 = 0").withColumn("Sr. No.", F.concat(F.lit("A"), "`Sr. No.`"))
+    return orders.unionByName(repeated)  # the repeats differ and come first in order of their cells
 
 
 SPELLINGS = {
@@ -63,7 +65,46 @@ def _store(s, d):
     return store.table().groupBy("username", "dataset_name").agg(F.count("*").alias("chunks"))
 
 
+def _sheet(s):
+    """A file of cells with quotes, commas and line breaks, as written by the CSV sink."""
+    path = f"{shared_folder(s)}/sheet-{uuid.uuid4().hex}"
+    return path
+
+
+def _csv_text(s, d):
+    """Written and read back as text."""
+    path = _sheet(s)
+    csv_files.write_csv(table(s, d, "orders").select(
+        "o_orderkey", "o_orderstatus", F.concat(F.lit(" a, "), "o_orderpriority", F.lit(' "x"')).alias("note")), path)
+    return csv_files.stage_text_csv(s, path)[0]
+
+
+def _csv_broken_cells(s, d):
+    """Cells that run over lines."""
+    path = _sheet(s)
+    csv_files.write_csv(table(s, d, "orders").select(
+        "o_orderkey", F.concat("o_orderstatus", F.lit(' said "no",\n'), "o_orderpriority").alias("note")), path)
+    return csv_files.stage_text_csv(s, path)[0]
+
+
+def _csv_typed(s, d):
+    path = _sheet(s)
+    csv_files.write_csv(table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return csv_files.read_typed_csv(s, path).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_acctbal")
+
+
+def _sink_and_preview(s, d):
+    path = _sheet(s)
+    csv_files.write_parquet(table(s, d, "nation"), path, partition_by=["n_regionkey"])
+    return csv_files.preview(s.read.parquet(path), 7, ["n_name"]).select("n_name", "n_nationkey", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
 QUERIES = {
+    "csv_text": (_csv_text, """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, ' a, ' || o_orderpriority || ' "x"' AS note FROM orders"""),
+    "csv_broken_cells": (_csv_broken_cells, """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+        o_orderstatus || ' said "no",' || chr(10) || o_orderpriority AS note FROM orders"""),
+    "csv_typed": (_csv_typed, "SELECT c_custkey, c_name, c_acctbal FROM customer"),
+    "sink_and_preview": (_sink_and_preview, "SELECT n_name, n_nationkey, n_regionkey FROM nation ORDER BY n_name LIMIT 7"),
     "clean_customer_names": (
         lambda s, d: clean(table(s, d, "customer")).rows.select("c_custkey", "c_name"), "SELECT c_custkey, replace(c_name, '#', ' ') AS c_name FROM customer"),
     "clean_shipping": (_shipped, """SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS shipping_cost,

@@ -2,7 +2,7 @@
 
 from tablewright.operators import segments
 
-from .statistics import KPIS
+from .statistics import LINEITEM_NUMBERS, kpis_sql
 from .tables import table
 
 SEGMENT = """g AS (SELECT c_mktsegment AS segment, sum(o_totalprice) AS total, count(*) AS row_count,
@@ -37,7 +37,7 @@ QUERIES = {
         lambda s, d: segments.skew_gap(table(s, d, "lineitem")),
         f"""SELECT "column", mean, median, round((mean - median) / nullif(abs(median), 0) * 100, 1)
         AS gap_pct, coalesce(abs((mean - median) / nullif(abs(median), 0)) > 0.15, false) AS notable
-        FROM ({KPIS.replace('LIMIT 6', '')})"""),
+        FROM ({kpis_sql('lineitem', LINEITEM_NUMBERS).replace('LIMIT 6', '')})"""),
     "concentration": (
         lambda s, d: segments.concentration(_joined(s, d), "c_mktsegment", "o_totalprice"),
         f"""WITH {SEGMENT} SELECT segment, round(total, 2) AS total,

@@ -42,10 +42,11 @@ COLUMN_PROFILE = "\nUNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS dtyp
     FROM customer WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS sample_values"""
                                      for c, t in _PROFILE.items())
 
-KPIS = f"""WITH k AS ({_each(LINEITEM_NUMBERS, '''SELECT '{c}' AS "column", avg({c}) AS mean,
+def kpis_sql(table_name, columns):
+    return f"""WITH k AS ({_each(columns, '''SELECT '{c}' AS "column", avg({c}) AS mean,
   median({c}) AS median, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max,
   sum(CAST({c} AS DOUBLE)) AS sum, count({c}) AS count,
-  lower('{c}') LIKE '%key%' AND count(DISTINCT {c}) = count({c}) AS is_key FROM lineitem''')})
+  lower('{c}') LIKE '%key%' AND count(DISTINCT {c}) = count({c}) AS is_key FROM ''' + table_name)})
 SELECT "column", round(mean, 2) AS mean, round(CAST(median AS DOUBLE), 2) AS median,
   round(std, 2) AS std, round(CAST(min AS DOUBLE), 2) AS min, round(CAST(max AS DOUBLE), 2) AS max,
   round(sum, 2) AS sum, count, round(std / nullif(mean, 0), 3) AS coefficient_of_variation
@@ -134,6 +135,11 @@ def _class_rows(spark, folder):
     return statistics.classify_statuses(table(spark, folder, "orders"), lookup)
 
 
+#: A few prices a hundred times too high, a fee that follows the price, a discount that falls with it.
+PLANTED = """SELECT o_custkey, CASE WHEN o_orderkey % 500 = 0 THEN o_totalprice * 100 ELSE o_totalprice END AS price,
+  CASE WHEN o_orderkey % 500 = 0 THEN o_totalprice * 3 ELSE o_totalprice * CAST(0.02 AS DOUBLE) END AS fee,
+  CASE WHEN o_orderkey % 500 = 0 THEN -o_totalprice ELSE -o_totalprice * CAST(0.001 AS DOUBLE) END AS discount FROM orders"""
+
 QUERIES = {
     "revenue_by_status": (
         lambda s, d: statistics.revenue_by_status(table(s, d, "orders")),
@@ -172,7 +178,7 @@ QUERIES = {
         _each(LINEITEM_NUMBERS, """SELECT '{c}' AS "column", CAST(min({c}) AS DOUBLE) AS min,
         CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 2) AS mean, count(*) AS row_count,
         CAST(11 AS BIGINT) AS column_count FROM lineitem""")),
-    "kpis": (lambda s, d: statistics.kpis(table(s, d, "lineitem")), KPIS),
+    "kpis": (lambda s, d: statistics.kpis(table(s, d, "lineitem")), kpis_sql("lineitem", LINEITEM_NUMBERS)),
     "correlations": (
         lambda s, d: statistics.correlations(table(s, d, "lineitem"), 0.0),
         _pairs_sql("lineitem", LINEITEM_NUMBERS, 0.0)),
@@ -182,6 +188,12 @@ QUERIES = {
     "anomalies": (
         lambda s, d: statistics.anomalies(table(s, d, "lineitem")),
         _anomalies_sql("lineitem", LINEITEM_NUMBERS)),
+    "correlations_planted": (
+        lambda s, d: statistics.correlations(s.sql(PLANTED.replace("FROM orders", f"FROM parquet.`{d}/orders.parquet`"))),
+        _pairs_sql(f"({PLANTED})", ["o_custkey", "price", "fee", "discount"], 0.6)),
+    "anomalies_planted": (
+        lambda s, d: statistics.anomalies(s.sql(PLANTED.replace("FROM orders", f"FROM parquet.`{d}/orders.parquet`"))),
+        _anomalies_sql(f"({PLANTED})", ["o_custkey", "price", "fee", "discount"])),
     "anomalies_events": (
         lambda s, d: statistics.anomalies(table(s, d, "events")),
         _anomalies_sql("events", ["event_id", "user_id", "value"])),

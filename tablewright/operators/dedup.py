@@ -57,17 +57,19 @@ def drop_repeated_ids(df: DataFrame, column: str, keep_first: Sequence[str]) ->
     return first.unionByName(df.where(F.col(column).isNull()))
 
 
-def deduplicate(df: DataFrame, keep_first: Sequence[str] = (), id_name: str | None = None) \
-        -> DataFrame:
+def deduplicate(df: DataFrame, keep_first: Sequence[str] = (), id_name: str | None = None,
+                place: str | None = None) -> DataFrame:
     """Gated removal by id, then removal of full-row copies.
 
-    ``keep_first`` orders the rows of one id; all columns break its ties.
+    ``keep_first`` orders the rows of one id; the place of a row in its source breaks ties, or,
+    without a ``place`` column, all columns do. The copy with the first place stays.
     """
-    id_name = id_name or id_column(df)
+    content = [c for c in df.columns if c != place]
+    id_name = id_name or id_column(df.select(*content))
     if id_name is not None and id_gate(df, id_name).first()["trusted"]:
-        order = [*keep_first, *[c for c in df.columns if c not in keep_first and c != id_name]]
-        df = drop_repeated_ids(df, id_name, order)
-    return df.dropDuplicates()
+        rest = [place] if place else [c for c in content if c not in keep_first and c != id_name]
+        df = drop_repeated_ids(df, id_name, [*keep_first, *rest])
+    return drop_full_duplicates(df, place)
 
 
 def retention(before: DataFrame, after: DataFrame) -> DataFrame:

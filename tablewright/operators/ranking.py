@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,21 @@ SINGLE_TASK_ROWS = 200_000
 BLOCK_ROWS = 500_000
 
 
+def with_source_place(df: DataFrame, place: str) -> DataFrame:
+    """Add the place of each row in its source: file and row for a plain read of numbered files.
+
+    Any other frame is written once with the order in which Spark reads it.
+    """
+    if df._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
+                                           F.col("_metadata.row_index").alias("row")).alias(place))
+        except AnalysisException:  # files without row numbers
+            pass
+    return written(df.withColumn(place, F.struct(F.lit("").alias("file"),
+                                                 F.monotonically_increasing_id().alias("row"))))
+
+
 def global_index(df: DataFrame, order: Sequence[str | Column], index: str = "_index",
                  single_task_rows: int = SINGLE_TASK_ROWS, n_rows: int | None = None) -> DataFrame:
     """Add a 0-based row index in the given order, which should be unique per row.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.cells import trimmed
 
 CHUNK_SIZE = 500
-# Queries travel to every task, so at most this many numbers of them go at once.
+# Numbers of a block of queries and of a part of the corpus, and scores held at once.
 QUERY_NUMBERS = 4_000_000
 
 
@@ -48,9 +48,10 @@ def similar(corpus: DataFrame, queries: DataFrame, k: int = 5, item: str = "vec_
             query_numbers: int = QUERY_NUMBERS) -> DataFrame:
     """The k most similar corpus rows per query, exactly, by cosine.
 
-    Every task keeps only its own best k per query, so what is shuffled is bounded by
-    tasks x queries x k. Queries go out in blocks of bounded size, one pass over the corpus
-    each; with ``owner`` a query meets only rows of its own owner.
+    Queries are cut into blocks and the corpus into parts, both of at most ``query_numbers`` numbers;
+    every part meets every block in a task of its own, which keeps its best k per query. What is
+    shuffled after that is bounded by parts x queries x k, and nothing goes through the driver.
+    With ``owner`` a query meets only rows of its own owner.
     """
     n, width = queries.agg(F.count("*"), F.max(F.size(vector))).first()
     schema = T.StructType([
@@ -60,20 +61,22 @@ def similar(corpus: DataFrame, queries: DataFrame, k: int = 5, item: str = "vec_
     if not n:
         return queries.sparkSession.createDataFrame([], schema).selectExpr(
             "*", "0 AS rank", "0D AS score").drop("cosine")
+    own = [owner] if owner else []
     blocks = max(1, -(-n * width // query_numbers))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64(query), F.lit(blocks)))
-    columns = [query, vector] + ([owner] if owner else [])
-    partial = None
-    for block in range(blocks):
-        part = numbered.where(F.col("_block") == block).select(*columns).toPandas()
-        if part.empty:
-            continue
-        found = corpus.select(item, vector, *([owner] if owner else [])).mapInPandas(
-            _best_of_partition(part, k, item, vector, query, owner), schema)
-        partial = found if partial is None else partial.unionByName(found)
+    parts = max(1, -(-corpus.count() * width // query_numbers))
+    number = (lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    left = corpus.select(item, vector, *own).where(F.col(vector).isNotNull()).withColumn(
+        "_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).withColumn("_block", number(blocks))
+    right = queries.select(query, vector, *own).withColumn(
+        "_block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int")).withColumn("_part", number(parts))
+
+    def best(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        return _best_of_part(rows, wanted, k, item, vector, query, owner)
+
+    found = left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInPandas(best, schema)
     place = F.row_number().over(
         Window.partitionBy(query).orderBy(F.desc("cosine"), F.asc(item)))
-    return (partial.withColumn("rank", place).where(F.col("rank") <= k)
+    return (found.withColumn("rank", place).where(F.col("rank") <= k)
             .select(query, item, "rank", F.round("cosine", 3).alias("score")))
 
 
@@ -83,33 +86,24 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _best_of_partition(part: pd.DataFrame, k: int, item: str, vector: str, query: str,
-                       owner: str | None):
-    wanted = _unit(part[vector])
-    names = part[query].to_numpy()
-    owners = part[owner].to_numpy() if owner else None
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, list[tuple]] = {i: [] for i in range(len(names))}
-        for batch in batches:
-            batch = batch[batch[vector].notna()]
-            if batch.empty:
-                continue
-            scores = _unit(batch[vector]) @ wanted.T
-            ids = batch[item].to_numpy()
-            for i in range(len(names)):
-                rows = (np.arange(len(ids)) if owners is None
-                        else np.flatnonzero(batch[owner].to_numpy() == owners[i]))
-                if len(rows) == 0:
-                    continue
-                mine = scores[rows, i]
-                if len(rows) > k:  # everything as good as the k-th best, ties included
-                    rows = rows[mine >= np.partition(mine, -k)[-k]]
-                merged = best[i] + [(-scores[r, i], ids[r]) for r in rows]
-                best[i] = sorted(merged)[:k]
-        for i, kept in best.items():
-            if kept:
-                yield pd.DataFrame({query: [names[i]] * len(kept), item: [x for _, x in kept],
-                                    "cosine": [-s for s, _ in kept]})
-
-    return search
+def _best_of_part(rows: pd.DataFrame, wanted: pd.DataFrame, k: int, item: str, vector: str, query: str,
+                  owner: str | None) -> pd.DataFrame:
+    """The best k rows of one part for each query of one block, ties to the smaller item."""
+    out: list[tuple] = []
+    if len(rows) and len(wanted):
+        rows = rows.sort_values(item, kind="stable")
+        units, ids = _unit(rows[vector]), rows[item].to_numpy()
+        targets, labels = _unit(wanted[vector]), wanted[query].to_numpy()
+        owners = (rows[owner].to_numpy(), wanted[owner].to_numpy()) if owner else None
+        at_once = max(1, QUERY_NUMBERS // len(rows))
+        for begin in range(0, len(labels), at_once):
+            scores = targets[begin: begin + at_once] @ units.T
+            for i, own in enumerate(scores, begin):
+                among = np.arange(len(ids)) if owners is None else np.flatnonzero(owners[0] == owners[1][i])
+                mine = own[among]
+                if len(among) > k:  # everything as good as the k-th best, ties included
+                    good = mine >= np.partition(mine, -k)[-k]
+                    among, mine = among[good], mine[good]
+                first = np.argsort(-mine, kind="stable")[:k]
+                out += [(labels[i], ids[among[j]], float(mine[j])) for j in first]
+    return pd.DataFrame(out, columns=[query, item, "cosine"])

@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, dates, names, vocab
-from ..operators import cleaning, dedup, impute, similarity
+from ..operators import cleaning, dedup, impute, ranking, similarity
 from ..operators.profile import missing_profile, value_counts
 from ..session import shared_folder, written
 
 INLINE_ENTRIES = 10_000
 MIN_DIGIT_SHARE = 0.5
+PLACE = "_source_place"
 LOG_SCHEMA = "step string, column string, action string, n_cells bigint, detail string"
 
 
@@ -47,6 +48,7 @@ class CleaningPlan:
     columns: dict[str, ColumnPlan]
     date_parts: dict[str, bool]
     log: list[tuple] = field(default_factory=list)
+    missing_dates: dict[str, int] = field(default_factory=dict)
 
     # -- deciding ---------------------------------------------------------------------------
 
@@ -181,6 +183,7 @@ class CleaningPlan:
                      for c, (lo, hi) in scales.items()]
         missing = {r["column"]: r["missing"]
                    for r in missing_profile(typed).where("missing > 0").collect()}
+        self.missing_dates = {c: missing[c] for c in names.date_columns(typed) if c in missing}
         for c, value in impute.fill_values(typed, list(missing)).items():
             self.columns[c].fill = value
             self.log.append(("missing", c, "filled", missing[c], str(value)))
@@ -210,15 +213,19 @@ class CleaningPlan:
 
     def apply(self, df: DataFrame, fill: bool = True, order: Sequence[str] | None = None) \
             -> DataFrame:
-        """Clean a frame. With an ``order`` key, missing dates are filled from neighbours."""
+        """Clean a frame. With an ``order`` key, missing dates are filled from neighbours.
+
+        Key columns that the plan does not know are used for the order only.
+        """
+        carried = [c for c in (order or []) if c not in self.columns]
         raw = cells.without_nan(df.select(
-            *[quoted(p.source).alias(c) for c, p in self.columns.items()]))
-        result = self._typed(raw)
+            *[quoted(p.source).alias(c) for c, p in self.columns.items()], *carried))
+        result = self._typed(raw, carried)
         if fill:
             result = self._filled(result)
             if order:
                 result = impute.fill_dates(result, order)
-        result = self._capped(self._bounded(result))
+        result = self._capped(self._bounded(result)).drop(*carried)
         return cleaning.add_date_parts(result, self.date_parts)
 
     def _rewritten(self, c: str) -> Column:
@@ -240,8 +247,8 @@ class CleaningPlan:
             return cells.clean_text(swept)
         return cell
 
-    def _typed(self, raw: DataFrame) -> DataFrame:
-        typed = raw.select(*[self._rewritten(c).alias(c) for c in self.columns])
+    def _typed(self, raw: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+        typed = raw.select(*[self._rewritten(c).alias(c) for c in self.columns], *carried)
         for c, p in self.columns.items():
             if p.kind != "category":
                 continue
@@ -252,7 +259,7 @@ class CleaningPlan:
             marked = mapping.withColumn("_mapped", F.lit(True)).withColumnRenamed("value", c)
             typed = (typed.join(marked, c, "left").withColumn(
                 c, F.when(F.col("_mapped"), F.col("canonical")).otherwise(F.initcap(c)))
-                .select(*self.columns))
+                .select(*self.columns, *carried))
         return typed
 
     @staticmethod
@@ -290,13 +297,14 @@ class CleaningPlan:
 
     def to_json(self) -> str:
         return json.dumps({"columns": {c: asdict(p) for c, p in self.columns.items()},
-                           "date_parts": self.date_parts, "log": self.log})
+                           "date_parts": self.date_parts, "log": self.log,
+                           "missing_dates": self.missing_dates})
 
     @classmethod
     def from_json(cls, text: str) -> CleaningPlan:
         kept = json.loads(text)
         return cls({c: ColumnPlan(**p) for c, p in kept["columns"].items()}, kept["date_parts"],
-                   [tuple(r) for r in kept["log"]])
+                   [tuple(r) for r in kept["log"]], kept.get("missing_dates", {}))
 
 
 def quoted(name: str) -> Column:
@@ -336,32 +344,39 @@ def clean(df: DataFrame, drop: Sequence[str] = (), keep_first: Sequence[str] = (
           row_id: str | None = None, **options) -> Cleaned:
     """The whole run: null markers, duplicates, types, dates, categories, fills, limits.
 
-    ``keep_first`` orders the rows of a repeated id. ``impute_with`` is "simple" or "forest";
-    the latter needs ``row_id``, a unique column. The de-duplicated rows are written once,
-    since every later step reads them.
+    ``keep_first`` orders the rows of a repeated id. Missing dates are taken from the row before
+    in ``order``, else the row after; without a key, in the order of the source, which also
+    settles which of several rows with one id comes first. ``impute_with`` is "simple" or
+    "forest"; the latter needs ``row_id``, a unique column, and leaves dates alone. The de-duplicated
+    rows are written once, since every later step reads them.
     """
     if impute_with == "forest" and row_id is None:
         raise ValueError("a forest needs row_id, a unique column")
     sources = [c for c in df.columns if c not in set(drop)]
     named = dict(zip(sources, names.standard_names(sources)))
     target = (lambda c: named.get(c, c))
-    renamed = df.select(*[quoted(s).alias(t) for s, t in named.items()])
+    place = None if order else PLACE
+    placed = ranking.with_source_place(df, place) if place else df
+    renamed = placed.select(*[quoted(s).alias(t) for s, t in named.items()], *([place] if place else []))
     swept = cleaning.sweep_nulls(cells.without_nan(renamed))
-    unique = written(dedup.deduplicate(swept, [target(c) for c in keep_first]))
-    plan = CleaningPlan.fit(unique, **options)
+    unique = written(dedup.deduplicate(swept, [target(c) for c in keep_first], place=place))
+    plan = CleaningPlan.fit(unique.drop(PLACE), **options)
     log = [("columns", c, "dropped" if c in df.columns else "not found", None, None) for c in drop]
     plan.log[:0] = log + [("columns", t, "renamed", None, f"{s} -> {t}") for s, t in named.items() if s != t]
-    kept_rows = dedup.retention(df, unique)
+    kept_rows = dedup.retention(df, unique.drop(PLACE))
     counts = kept_rows.first()
     plan.log.insert(0, ("duplicates", None, "rows removed", counts["rows_removed"],
                         f"retention {counts['retention_pct']}%"))
     if impute_with == "forest":
-        partial = written(plan._typed(cells.without_nan(unique)))  # date parts come after filling
+        partial = written(plan._typed(cells.without_nan(unique.drop(PLACE))))  # date parts come after filling
         rows = impute.forest_impute(partial, target(row_id))
         rows = plan._capped(plan._bounded(rows))
         rows = cleaning.add_date_parts(rows, plan.date_parts)
     else:
-        rows = plan.apply(unique, order=[target(c) for c in order] if order else None)
+        keys = [target(c) for c in order] if order else [PLACE]
+        rows = plan.apply(unique, order=keys)
+        plan.log += [("missing", c, "filled from neighbours", n, "source order" if place else ", ".join(keys))
+                     for c, n in plan.missing_dates.items() if c not in keys]
     for s, t in named.items():  # the plan reads raw headers from here on
         plan.columns[t].source = s
     return Cleaned(rows, plan, kept_rows, plan.log_frame(df.sparkSession))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names
 from ..operators import charts, clusters, periods, profile, statistics, trends
@@ -17,13 +21,14 @@ def full_report(df: DataFrame, key: Sequence[str], classification: DataFrame | N
     ``key`` breaks equal dates in trends; ``row_id``, if given, adds clusters. The frames are
     lazy apart from the few scalars they are built from, so only what is read is computed.
     """
-    measures = [c for c in names.numeric_columns(df)
-                if c not in key and not c.endswith(("_year", "_month"))]
+    business = set(names.business_columns(df.columns))  # no row numbers, hashes or date parts
+    structural = [c for c in df.columns if c not in business]
+    measures = [c for c in names.numeric_columns(df, structural) if c not in key]
     report = {
         "quality_score": statistics.quality_score(df),
-        "kpis": statistics.kpis(df),
-        "correlations": statistics.correlations(df),
-        "anomalies": statistics.anomalies(df),
+        "kpis": statistics.kpis(df, exclude=structural),
+        "correlations": statistics.correlations(df, exclude=structural),
+        "anomalies": statistics.anomalies(df, exclude=structural),
         "column_profile": profile.column_profile(df),
         "column_roles": profile.column_roles(df),
     }
@@ -43,7 +48,20 @@ def full_report(df: DataFrame, key: Sequence[str], classification: DataFrame | N
         report["trends"] = found
         report["best_trend"] = trends.best_trend(found)
         report["best_forecast"] = trends.best_forecast(df, values=measures)
-    report["kpi_strip"] = charts.kpi_strip(df, trend=found)
+    report["kpi_strip"] = charts.kpi_strip(df.select(*[c for c in df.columns if c in business]), trend=found)
     if row_id is not None:
         report["segments"] = clusters.segments(df, row_id)
     return report
+
+
+def value_rows(report: dict[str, DataFrame]) -> DataFrame:
+    """Every number of the sections: section, item (its texts, by column name), measure, value."""
+    parts = []
+    for section, frame in report.items():
+        numbers = [f.name for f in frame.schema if isinstance(f.dataType, T.NumericType)]
+        texts = sorted(c for c in frame.columns if c not in numbers)
+        item = F.concat_ws(" / ", *[F.col(c).cast("string") for c in texts])
+        parts.append(frame.select(F.lit(section).alias("section"), item.alias("item"),
+                                  *[F.col(c).cast("double").alias(c) for c in numbers])
+                     .unpivot(["section", "item"], numbers, "measure", "value").where("value IS NOT NULL"))
+    return reduce(DataFrame.unionByName, parts)

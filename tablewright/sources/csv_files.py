@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
@@ -17,14 +18,29 @@ def read_text_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
     """Every column as text; rows that do not fit the header keep their source line.
 
     The header is read from one line only. Undecodable bytes become replacement characters.
+    Files in which some line holds an odd number of quotes have cells that run over lines; these
+    files are read whole by one task each, all others in splits.
     """
     if columns is None:
         columns = spark.read.option("header", True).option("encoding", encoding).csv(path).columns
     schema = T.StructType([*[T.StructField(c, T.StringType()) for c in columns],
                            T.StructField(CORRUPT, T.StringType())])
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE")
-            .option("encoding", encoding).option("columnNameOfCorruptRecord", CORRUPT)
-            .option("multiLine", False).schema(schema).csv(path))
+    reader = (lambda lines: spark.read.option("header", True).option("mode", "PERMISSIVE")
+              .option("encoding", encoding).option("columnNameOfCorruptRecord", CORRUPT)
+              .option("multiLine", lines).schema(schema))
+    files, broken = spark.read.text(path).inputFiles(), set(files_with_broken_cells(spark, path))
+    if not broken:
+        return reader(False).csv(path)
+    whole = reader(True).csv(sorted(f for f in files if f in broken))
+    rest = sorted(f for f in files if f not in broken)
+    return whole.unionByName(reader(False).csv(rest)) if rest else whole
+
+
+def files_with_broken_cells(spark: SparkSession, path: str) -> list[str]:
+    """Files with a line whose quotes do not pair up, escaped ones left out; one name per file."""
+    quotes = F.regexp_replace(F.regexp_replace("value", r'\\\\.', ""), '[^"]', "")
+    odd = spark.read.text(path).where(F.length(quotes) % 2 == 1)
+    return [r["file"] for r in odd.select(F.input_file_name().alias("file")).distinct().collect()]
 
 
 def stage_text_csv(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
