@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tokens import PLAIN, words_of
+from .tokens import PLAIN, SLICE_BYTES, words_of
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -34,7 +34,8 @@ def unpack_numbers(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(unpack(data, np.uint8, 8 * n).reshape(8, -1).T).view("<u8").ravel() if n else np.zeros(0, np.uint64)
 
 
-def text_blocks(docs: DataFrame, block_words: int, *, lower: bool = True, strings: bool = False) -> DataFrame:
+def text_blocks(docs: DataFrame, block_words: int, *, lower: bool = True, strings: bool = False,
+                slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """docs: row, held, text -> block, rows, held, counts, words, n_words (distinct), vocab, ids, strings, lengths.
 
     With `strings`, the distinct words themselves stand for their hashes, in the same order.
@@ -63,7 +64,7 @@ def text_blocks(docs: DataFrame, block_words: int, *, lower: bool = True, string
         parts, rows, held, texts, n = [], [], [], {}, 0
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for part in words_of(batch.column(2), PLAIN, lower=lower):
+            for part in words_of(batch.column(2), PLAIN, slice_bytes, lower):
                 if strings:
                     new, first = np.unique(part.hashes, return_index=True)
                     unknown = [i for i, v in enumerate(new.tolist()) if v not in texts]

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .blocks import pack, text_blocks, unpack, unpack_numbers
 from .components import components
 from .scratch import Tables
-from .tokens import U, grams, mix
+from .tokens import SLICE_BYTES, U, grams, mix
 
 WORDS, PERCENT = 5, 80
 BATCH_ROWS = 1000
@@ -324,7 +324,7 @@ def _visit(sets: DataFrame, links: DataFrame, tables: Tables, percent: int) -> D
 
 def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", columns: Sequence[str] | None = None,
                        words: int = WORDS, percent: int = PERCENT, block_words: int = BLOCK_WORDS,
-                       bucket_words: int = BUCKET_WORDS) -> DataFrame:
+                       bucket_words: int = BUCKET_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The given columns (all by default) plus n_shingles, component_id, set_id (null if empty).
 
     component_id is the smallest doc_id in the class of linked documents. Null and empty texts,
@@ -337,7 +337,7 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in (*OUTPUT, "set_id")]
     packed = docs.select(F.struct(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(doc_id).cast("bigint").alias("doc")).alias("row"),
                          F.lit(False).alias("held"), F.col(text).alias("text"))
-    blocks = tables.write(text_blocks(packed, block_words))
+    blocks = tables.write(text_blocks(packed, block_words, slice_bytes=slice_bytes))
     rows = tables.write(_set_rows(blocks, words).select("row.row", "row.doc", "n", "id"))
     total = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(1, total / bucket_words)))))
@@ -379,7 +379,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFr
     spark.conf.set(batch, str(BATCH_ROWS))  # fewer texts at once between a task and its Python worker
     try:
         found = tables.write(similarity_classes(packed, doc_id="_doc", text="_text", columns=["_place", "_doc"],
-                                                **{"block_words": BLOCK_WORDS // 2, **options}))
+                                                **{"block_words": BLOCK_WORDS // 4, "slice_bytes": SLICE_BYTES // 8, **options}))
     finally:
         spark.conf.set(batch, before)
     # of a class: the row whose doc_id is the smallest (null last), then the first place
