@@ -35,7 +35,9 @@ from .scratch import Tables
 from .tokens import SLICE_BYTES, U, grams, mix
 
 WORDS, PERCENT = 5, 80
-BATCH_ROWS = 1000
+#: Texts and blocks that are between a task and its Python worker, or read from files, at once.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
+                 "spark.sql.parquet.columnarReaderBatchSize": "64"}
 BLOCK_WORDS = 1_000_000    # words of the documents whose shingles are sent together
 BUCKET_WORDS = 2_000_000   # shingles counted in one task
 GROUP_SETS, GROUP_SHINGLES = 128, 2_000_000
@@ -374,14 +376,16 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFr
     text = options.pop("text", "text")
     placed = _placed(docs, tables)  # blocks carry a row's place, never the row
     packed = placed.select("_place", F.col(f"_row.`{doc_id}`").cast("bigint").alias("_doc"), F.col(f"_row.`{text}`").alias("_text"))
-    spark, batch = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, str(BATCH_ROWS))  # fewer texts at once between a task and its Python worker
+    spark = docs.sparkSession
+    before = {key: spark.conf.get(key) for key in SMALL_BATCHES}
+    for key, value in SMALL_BATCHES.items():
+        spark.conf.set(key, value)
     try:
         found = tables.write(similarity_classes(packed, doc_id="_doc", text="_text", columns=["_place", "_doc"],
                                                 **{"block_words": BLOCK_WORDS // 4, "slice_bytes": SLICE_BYTES // 8, **options}))
     finally:
-        spark.conf.set(batch, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     # of a class: the row whose doc_id is the smallest (null last), then the first place
     first = found.filter("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.col("_doc").isNull().alias("x"), "_doc", "_place")).alias("best"),
                                                                  F.min("component_id").alias("component_id"))
