@@ -7,13 +7,13 @@ least 0.8 (both parameters). The join is exact up to 64-bit hashes, with no cap
    of the number of documents that hold them, then by hash. Linked sets must share a shingle
    among the first ``n - ceil(t * n) + 1`` in this order (their prefix), and a shingle that no
    other set holds cannot be it. Sets whose prefix is all their own are done.
-2. The remaining sets are partitioned into groups of similar sets by the first shared shingle;
-   a large group is cut into parts of bounded size. Inside a part all sets are compared. The few sets
+2. The remaining sets are partitioned into groups of similar sets by the shared shingle of the
+   smallest hash, which variants of one text mostly have in common; a large group is cut into parts of bounded size. Inside a part all sets are compared. The few sets
    with most links in any part of a group then visit all its parts, which connects
    the copies of one text.
 3. The matrix holds for each part the shingles of its sets' prefixes; shingles held by the same
    parts are one column. A set looks up its own columns and visits the parts that hold one of
-   them, unless their sets are all in its own component already. At a part, its overlap with
+   them in a set of a larger component (equal sizes: of a larger root). At a part, its overlap with
    the union of all shingles there bounds what it can share with any member, and the part is
    opened only if the bound reaches ``t * n``.
 """
@@ -176,7 +176,7 @@ def _live_sets(blocks: DataFrame, levels: DataFrame, words: int, percent: int) -
                     if alone < length:
                         shared, lv = own[lv > 0], lv[lv > 0]
                         prefix = shared[np.argsort(lv, kind="stable")[: length - alone]].view(np.int64)
-                        out.append({"id": _set_id(own), "n": len(own), "alone": alone, "key": int(prefix[0]), "prefix": prefix,
+                        out.append({"id": _set_id(own), "n": len(own), "alone": alone, "key": int(shared.view(np.int64)[0]), "prefix": prefix,
                                     "indexed": max(0, index_length(len(own), percent) - alone), "shingles": shared.tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -293,26 +293,38 @@ def _connect_inside(sets: DataFrame, tables: Tables, percent: int) -> tuple[Data
 
 
 def _visit(sets: DataFrame, links: DataFrame, tables: Tables, percent: int) -> DataFrame:
-    """Links (a, b) between components of different parts that are not connected yet."""
+    """Links (a, b) between components of different parts that are not connected yet.
+
+    Of two components the smaller one looks for the larger, so the copies of one text stay where they are and
+    the few sets that are not connected with them travel.
+    """
     roots = components(links, tables)
-    named = tables.write(sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", "n", "alone", F.coalesce("root", "id").alias("root"), F.concat_ws("/", "key", "part").alias("group"), "prefix", "indexed", "shingles"))
-    entries = named.select("id", "n", "alone", "root", "group", "indexed", F.posexplode("prefix").alias("place", "shingle"))
-    kept = entries.filter("place < indexed")  # the larger set of a pair looks for the smaller one
-    # shingles of the same groups are one column of the matrix
-    columns = (kept.select("shingle", "group").distinct().groupBy("shingle").agg(
-        F.bit_xor(F.xxhash64("group")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "group")).alias("y"))
-        .select("shingle", F.concat_ws("/", "x", "y").alias("column")))
-    matrix = tables.write(kept.join(columns, "shingle").groupBy("column", "group").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("alone").alias("least_alone"), F.min("root").alias("other"),
-        (F.min("root") == F.max("root")).alias("one")))
-    seekers = tables.write(entries.join(columns, "shingle").select("id", "n", "alone", "root", F.col("group").alias("home"), "column").distinct())
+    members = roots.groupBy("root").agg(F.count("*").alias("members"))
+    named = tables.write(sets.join(roots.join(members, "root").withColumnRenamed("node", "id"), "id", "left").select(
+        "id", "n", "alone", F.struct(F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("root", "id").alias("root")).alias("class"),
+        F.concat_ws("/", "key", "part").alias("group"), "prefix", "indexed", "shingles"))
+    entries = named.select("id", "n", "alone", "class", "group", "indexed", F.posexplode("prefix").alias("place", "shingle")).withColumn(
+        "early", F.col("place") < F.col("indexed"))  # enough for the smaller set of a pair
+    # shingles of the same groups are one column of the matrix; what one group or one component holds is none
+    columns = (entries.groupBy("shingle", "group").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+               .groupBy("shingle").agg(F.bit_xor(F.xxhash64("group")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "group")).alias("y"),
+                                       F.count("*").alias("groups"), F.min("low").alias("low"), F.max("high").alias("high"))
+               .filter("groups > 1 and low < high").select("shingle", F.concat_ws("/", "x", "y").alias("column")))
+    seekers = tables.write(entries.join(columns, "shingle").groupBy("column", "id").agg(
+        F.max("early").alias("early"), *[F.first(c).alias(c) for c in ("n", "alone", "class", "group")]))
+    matrix = tables.write(seekers.groupBy("column", "group").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("early"), F.col("n"))).alias("least_early"),
+        F.min("alone").alias("least_alone"), F.max("class").alias("largest")))
+    seekers = seekers.withColumnRenamed("group", "home")
+    # a member that is not larger was met early by its own prefix, a larger one early by the seeker's
+    smaller = (F.col("least_early") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)
+    larger = F.col("early") & (F.col("most") > F.col("n")) & (F.col("n") * 100 >= F.col("least") * percent)
     # what neither set shares with any other is in the union
     common = F.col("n") - F.col("alone")
     visits = tables.write(seekers.join(matrix, (seekers["column"] == matrix["column"]) & (F.col("home") != F.col("group"))
-                                       & ~(F.col("one") & (F.col("root") == F.col("other")))
-                                       & (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)
+                                       & (F.col("class") < F.col("largest")) & (F.coalesce(smaller, F.lit(False)) | larger)
                                        & (common * 100 >= (F.col("n") + F.col("least_alone")) * percent)).select("id", "group").distinct())
+    named = named.withColumn("root", F.col("class.root"))
     tasks = visits.groupBy("group").agg(F.ceil(F.count("*") / VISITS).alias("tasks"))
     guests = visits.join(tasks, "group").select("id", "group", F.pmod(F.xxhash64("id"), F.col("tasks")).alias("task")).join(
         named.select("id", "n", "root", "shingles"), "id").withColumn("guest", F.lit(True))
