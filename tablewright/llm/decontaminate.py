@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import free_name
 from .tokens import ALPHANUMERIC, U, grams, inside_one_text, join_hash, words_of
 
 WINDOW, GRAM = 10, 5
@@ -99,8 +100,8 @@ class Lookup:
     """One block of the benchmark: sorted windows by size, the items of each, fingerprints."""
 
     def __init__(self, item: list[str], size: np.ndarray, window_hash: np.ndarray, prints: np.ndarray):
-        self.names = np.array(sorted(set(item)), dtype=object)
-        place = {name: i for i, name in enumerate(self.names)}
+        self.names = np.array(sorted({name for name in item if name is not None}), dtype=object)
+        place = {name: i for i, name in enumerate(self.names)} | {None: len(self.names)}
         code = np.array([place[x] for x in item], np.int64)
         self.by_size = {}
         for n in sorted(set(size.tolist())):
@@ -147,14 +148,14 @@ def _hits_of(texts: pa.Array, lookup: Lookup | None, window: int, gram: int) ->
             text = np.searchsorted(bounds, begin, "right") - 1
             many = first[at + 1] - first[at]
             places = np.repeat(first[at] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-            pairs.append(np.unique(np.repeat(text, many) * len(lookup.names) + code[places]))
+            pairs.append(np.unique(np.repeat(text, many) * (len(lookup.names) + 1) + code[places]))
         hit = np.cumsum(edge[:-1]) > 0
         spans: dict[int, list] = {}
         items: dict[int, list] = {}
         if pairs:
             for pair in np.unique(np.concatenate(pairs)).tolist():
-                text, code = divmod(pair, len(lookup.names))
-                items.setdefault(text, []).append(str(lookup.names[code]))
+                text, code = divmod(pair, len(lookup.names) + 1)
+                items.setdefault(text, []).extend(lookup.names[code: code + 1])  # an item without an id has no name
             for text in items:
                 own = np.diff(np.concatenate(([0], hit[bounds[text]: bounds[text + 1]].astype(np.int8), [0])))
                 spans[text] = [{"begin": int(a), "end": int(b)}
@@ -170,16 +171,15 @@ def _hits_of(texts: pa.Array, lookup: Lookup | None, window: int, gram: int) ->
 def _blocks(items: DataFrame, window: int, gram: int, block_windows: int,
             item_id: str, text: str) -> Iterator[Lookup]:
     """The benchmark in bounded parts; items are split, not windows of one item."""
-    usable = items.filter(F.col(item_id).isNotNull())
-    windows = item_windows(usable, window, item_id, text).distinct()
+    windows = item_windows(items, window, item_id, text).distinct()
     n = windows.count()
     parts = -(-n // block_windows)
     for part in range(parts):
         rows = windows.filter(F.pmod(F.xxhash64("hash", "size"), F.lit(parts)) == part).toArrow()
         # fingerprints of the whole benchmark would do; those of the items of this block are fewer
-        own = usable.join(windows.filter(F.pmod(F.xxhash64("hash", "size"), F.lit(parts)) == part)
+        own = items.join(windows.filter(F.pmod(F.xxhash64("hash", "size"), F.lit(parts)) == part)
                           .select(F.col("item").alias("_item")).distinct(),
-                          F.col(item_id).cast("string") == F.col("_item"), "left_semi") if parts > 1 else usable
+                          F.col(item_id).cast("string").eqNullSafe(F.col("_item")), "left_semi") if parts > 1 else items
         prints = item_fingerprints(own, window, gram, text).toArrow()["hash"].to_numpy().view(U)
         yield Lookup(rows["item"].to_pylist(), rows["size"].to_numpy(), rows["hash"].to_numpy().view(U), prints)
 
@@ -190,12 +190,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """Add a struct column `into`: n_words, spans (begin, end in words), items (their ids as text).
 
     Words are runs of a-z, 0-9 and characters beyond ASCII after lowering A-Z. A null or empty
-    text has no words and no spans; items without words or without an id match nothing; repeated
-    items all count, repeated documents each get their own row; an empty benchmark gives no
+    text has no words and no spans; items without words match nothing; items without an id
+    give spans but no name; repeated items all count, repeated documents each get their own row; an empty benchmark gives no
     spans. Other columns are kept whatever their names, but `into` is replaced if present.
     """
     spark = docs.sparkSession
-    found = None
+    found, more = None, free_name([*docs.columns, into], "_more")
     for lookup in [*_blocks(benchmark, window, gram, block_windows, item_id, item_text)] or [None]:
         shared = spark.sparkContext.broadcast(lookup)
 
@@ -207,10 +207,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         if found is None:
             found = docs.withColumn(into, own)
         else:
-            found = found.withColumn("_more", own).withColumn(into, F.struct(
+            found = found.withColumn(more, own).withColumn(into, F.struct(
                 F.col(f"{into}.n_words").alias("n_words"),
-                F.concat(f"{into}.spans", "_more.spans").alias("spans"),
-                F.array_distinct(F.concat(f"{into}.items", "_more.items")).alias("items"))).drop("_more")
+                F.concat(f"{into}.spans", f"{more}.spans").alias("spans"),
+                F.array_distinct(F.concat(f"{into}.items", f"{more}.items")).alias("items"))).drop(more)
     return found
 
 
@@ -234,19 +234,27 @@ def digest_of_items(items: pa.Array) -> pa.Array:
 
 
 def overlap_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Nulls, empty texts, repeated rows and empty tables as in `find_overlaps`: each row of docs gives one row, clean
+    ones with n_hit 0 and the digest of no items.
+    """
     found = find_overlaps(docs.select("doc_id", "text"), benchmark, **options)
     return found.select(
         "doc_id", F.col("_overlap.n_words").alias("n_words"),
         words_in_spans(F.col("_overlap.spans")).alias("n_hit"),
         F.size("_overlap.items").cast("bigint").alias("n_items"),
         digest_of_items(F.col("_overlap.items")).alias("items_sha256"),
-        (F.size("_overlap.items") > 0).alias("contaminated"))
+        (F.size("_overlap.spans") > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, columns unchanged, that repeat no benchmark window."""
+    """The documents, columns unchanged, that repeat no benchmark window.
+
+    Null and empty texts repeat none and stay, as does every row under an empty benchmark; repeated rows stay or go
+    together; items without an id count too.
+    """
     names = docs.columns
     mark = next(f"_overlap{i}" for i in range(len(names) + 1) if f"_overlap{i}" not in names)
     found = find_overlaps(docs, benchmark, into=mark, **options)
-    return found.filter(F.size(f"{mark}.items") == 0).select(*[F.col(f"`{c}`") for c in names])
+    return found.filter(F.size(f"{mark}.spans") == 0).select(*[F.col(f"`{c}`") for c in names])

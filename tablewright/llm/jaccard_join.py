@@ -341,7 +341,7 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                        bucket_words: int = BUCKET_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The given columns (all by default) plus n_shingles, component_id, set_id (null if empty).
 
-    component_id is the smallest doc_id in the class of linked documents. Null and empty texts,
+    component_id is the smallest doc_id (of any type with an order) in the class of linked documents. Null and empty texts,
     and texts of white space only, have no shingles and are classes of their own; fewer than
     `words` words are one shingle. Repeated rows fall in one class. A null doc_id is kept and
     takes the smallest one of its class, if any. Columns named like an output are replaced. No
@@ -349,7 +349,7 @@ def similarity_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """
     tables = Tables(docs.sparkSession, "jaccard")
     kept = [c for c in (docs.columns if columns is None else columns) if c.lower() not in (*OUTPUT, "set_id")]
-    packed = docs.select(F.struct(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(doc_id).cast("bigint").alias("doc")).alias("row"),
+    packed = docs.select(F.struct(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(doc_id).alias("doc")).alias("row"),
                          F.lit(False).alias("held"), F.col(text).alias("text"))
     blocks = tables.write(text_blocks(packed, block_words, slice_bytes=slice_bytes))
     rows = tables.write(_set_rows(blocks, words).select("row.row", "row.doc", "n", "id"))
@@ -387,7 +387,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFr
     tables = Tables(docs.sparkSession, "jaccard-kept")
     text = options.pop("text", "text")
     placed = _placed(docs, tables)  # blocks carry a row's place, never the row
-    packed = placed.select("_place", F.col(f"_row.`{doc_id}`").cast("bigint").alias("_doc"), F.col(f"_row.`{text}`").alias("_text"))
+    packed = placed.select("_place", F.col(f"_row.`{doc_id}`").alias("_doc"), F.col(f"_row.`{text}`").alias("_text"))
     spark = docs.sparkSession
     before = {key: spark.conf.get(key) for key in SMALL_BATCHES}
     for key, value in SMALL_BATCHES.items():

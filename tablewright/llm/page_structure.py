@@ -22,14 +22,19 @@ APART_WORDS = {"ad", "ads", "advert", "advertisement", "adsense", "banner", "spo
                "popup", "modal", "overlay", "comments", "comment", "commentlist", "disqus", "share", "sharing", "social", "related",
                "newsletter", "subscribe", "subscription", "login", "signup", "search", "pagination", "skip"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Of these words, the ones that also name a wrapper of a whole page after what stands beside its article.
+LAYOUT_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar"}
+
+_MARK = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_ODD = re.compile(r"<[!?]")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
-_RAW_END = {name: re.compile(f"</{name}\\b[^>]*>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(f"</{name}\\b", re.I) for name in RAW}
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_apart(name: str, attributes: str) -> bool:
+def _is_apart(name: str, attributes: str, apart_words: set[str]) -> bool:
     if name in APART:
         return True
     if not attributes.strip(" /\n\t"):
@@ -41,7 +46,7 @@ def _is_apart(name: str, attributes: str) -> bool:
                 return True
         elif key in ("class", "id"):
             words = _WORD.findall(_CAMEL.sub("-", value).lower())
-            if name not in ("body", "html", "article", "main") and not APART_WORDS.isdisjoint(words):
+            if name not in ("body", "html", "article", "main") and not apart_words.isdisjoint(words):
                 return True
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
@@ -50,14 +55,47 @@ def _is_apart(name: str, attributes: str) -> bool:
     return False
 
 
+def _tag_end(html: str, at: int, failed: set[int]) -> int:
+    """Place of the > that ends a tag, not one inside a quoted value unless quotes never close; -1 without any.
+
+    `failed` holds the quotes from which no end was found, so no part of a page is searched over and over.
+    """
+    place, seen = at, []
+    while found := _QUOTE_OR_END.search(html, place):
+        here = found.start()
+        if html[here] == ">":
+            return here
+        if here in failed:
+            break
+        seen.append(here)
+        place = html.find(html[here], here + 1) + 1
+        if not place:
+            break
+    failed.update(seen)
+    return html.find(">", at)
+
+
 def blocks(html: str) -> list[tuple[int, str]]:
-    """Kind and text of each block in page order: boilerplate by structure, inside the main element, or open."""
+    """Kind and text of each block in page order: boilerplate by structure, inside the main element, or open.
+
+    A main element inside a wrapper whose class or id is a layout word (`has-sidebar`) counts if the page has no other.
+    Takes time in proportion to the page, however odd its markup is.
+    """
+    found = _parsed(html, APART_WORDS)
+    if any(kind == CONTENT for kind, _ in found):
+        return found
+    lenient = _parsed(html, APART_WORDS - LAYOUT_WORDS)
+    return lenient if any(kind == CONTENT for kind, _ in lenient) else found
+
+
+def _parsed(html: str, apart_words: set[str]) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     buffer: list[str] = []
     stack: list[tuple[str, int, int]] = []  # open elements: name, apart, main
     count: dict[str, int] = {}
     apart = main = 0
     at, end = 0, len(html)
+    failed: set[int] = set()
 
     def flush() -> None:
         text = " ".join(unescape("".join(buffer)).split())
@@ -66,14 +104,23 @@ def blocks(html: str) -> list[tuple[int, str]]:
             out.append((BOILERPLATE if apart else CONTENT if main else OPEN, text))
 
     while at < end:
-        found = _TAG.search(html, at)
+        found = _MARK.search(html, at)
         if found is None:
             buffer.append(html[at:])
             break
-        if found.start() > at:
-            buffer.append(html[at: found.start()])
-        at = found.end()
-        closing, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        buffer.append(html[at: found.start()])
+        if found[1]:
+            stop = html.find("-->", found.end())
+            at = stop + 3 if stop >= 0 else end
+            continue
+        name = found[3]
+        stop = _tag_end(html, found.end(), failed) if name else html.find(">", found.end())
+        if stop < 0:  # nothing ends a tag any more: what is left is text, up to a comment or declaration
+            odd = _ODD.search(html, found.start())
+            buffer.append(html[found.start(): odd.start() if odd else end])
+            break
+        closing, attributes = found[2], html[found.end(): stop]
+        at = stop + 1
         if not name:
             continue
         name = name.lower()
@@ -95,12 +142,14 @@ def blocks(html: str) -> list[tuple[int, str]]:
             continue
         if name in RAW:
             stop = _RAW_END[name].search(html, at)
-            at = stop.end() if stop else end
+            at = html.find(">", stop.end()) + 1 if stop else end
+            if not at:
+                break
             continue
         if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends where the next begins
             count["p"] -= 1
             stack.pop()
-        a = int(name in SKIPPED or _is_apart(name, attributes))
+        a = int(name in SKIPPED or _is_apart(name, attributes, apart_words))
         if a:
             flush()
         if not attributes.endswith("/"):

@@ -128,7 +128,7 @@ _RUNS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'
 
 OP7_SQL = f"""
 WITH docs AS (SELECT doc_id, {_RUNS} AS w FROM documents),
-items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_RUNS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_RUNS} AS w FROM benchmark),
 windows AS (SELECT DISTINCT item, least(len(w), 10) AS size,
   unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
   FROM items WHERE len(w) > 0),
@@ -136,9 +136,9 @@ places AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS b, w FROM
 grams AS (SELECT doc_id, size, b, array_to_string(w[b:b + size - 1], ' ') AS g FROM places),
 found AS (SELECT doc_id, size, b, item FROM grams JOIN windows USING (size, g)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(b, b + size)) AS p FROM (SELECT DISTINCT doc_id, b, size FROM found)) GROUP BY 1),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found WHERE item IS NOT NULL) GROUP BY 1)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(names, '')) AS items_sha256, n_items IS NOT NULL AS contaminated
+  sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id
 """
 

@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, tables: Tables, *,
                     ["label", "features"])
 
     # the chosen ids are at most max_rows; a repeated id could bring more texts, so they are bounded again
-    texts = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["id"]).select("label", F.col(text))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(
+        F.broadcast(chosen), F.col("_id") == F.col("id")).select("label", "_text")
     found = tables.write(texts.mapInArrow(run, "label int, features binary").limit(max_rows))
 
     def learn(table: pa.Table) -> pa.Table:

@@ -127,7 +127,7 @@ def overlaps(rows, items, window=10):
         w = split(text)
         n = min(window, len(w))
         for i in range(len(w) - n + 1) if n else ():
-            windows[tuple(w[i:i + n])].add(str(name))
+            windows[tuple(w[i:i + n])].update([] if name is None else [str(name)])
     out = []
     for _, text in rows:
         w, hit, found = split(text), set(), set()

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 import sys
 from collections import Counter, defaultdict
 
@@ -146,6 +147,8 @@ def test_one_of_each_keeps_the_smallest(docs, nothing):
     rows = pairs_of(docs)
     expected = {c[1] for (d, _), c in zip(rows, cases.classes(rows)) if c[0]}
     found = [r.doc_id for r in kept.collect() if cases.words(r.text)]
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))  # ids that are text
+    assert jaccard_join.one_of_each(named).schema == named.schema and jaccard_join.one_of_each(named).count() == kept.count()
     assert len(found) == len(set(found)) and set(found) == expected
     assert kept.filter("trim(coalesce(text, '')) = ''").count() == sum(not cases.words(t) for _, t in rows) - 1  # '  \t\n ' stays too
     assert jaccard_join.one_of_each(nothing).count() == 0
@@ -275,11 +278,10 @@ def test_overlaps(spark, docs, small, nothing):
     rows = pairs_of(docs)
     text = dict(rows)[9].split()
     items = [(1, " ".join(text[100:130])), (2, " ".join(text[100:112])), (2, "ÉTÉ été"), (3, None), (4, ""), (None, "one"), (5, "one"), (6, "  , "),
-             (7, " ".join(text[105:130]).upper() + "!")]
+             (7, " ".join(text[105:130]).upper() + "!"), (None, " ".join(text[140:155]))]
     for frame, given, block in ((docs, items, 10 ** 6), (docs, items, 7), (docs, [], 10)):
         bench = spark.createDataFrame(given, "item_id long, text string")
-        known = [(i, t) for i, t in given if i is not None]
-        expected = Counter((d, *c) for (d, _), c in zip(rows, cases.overlaps(rows, known)))
+        expected = Counter((d, *c) for (d, _), c in zip(rows, cases.overlaps(rows, given)))
         found = decontaminate.overlap_report(frame, bench, block_windows=block)
         assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in found.collect()) == expected
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
@@ -301,6 +303,14 @@ def test_page_blocks():
         (0, "x"), (1, "t"), (0, "y"), (1, "z"), (1, "w"), (2, "q")]
     assert blocks("<main>a<!-- <p> -->b<section id=comments>c</section>d</main><footer>e") == [(1, "ab"), (0, "c"), (1, "d"), (0, "e")]
     assert blocks("<p hidden>a</p><p>b</p><div style='display: none'>c</div><p title='x>y'>d") == [(0, "a"), (2, "b"), (0, "c"), (2, "d")]
+    assert blocks("<div class='content-sidebar'><div class='comments'><article>x</article></div><article>a</article>b</div>") == [
+        (0, "x"), (1, "a"), (2, "b")]  # a wrapper that is named after what stands beside the article
+    assert blocks("<a b='>c</a>d'>e<a ' f>g") == [(2, "eg")] and blocks("a<b c <d e<!-- f") == [(2, "a<b c <d e")]
+    for odd in ("<a ", "<a b='", "<a '>'", "<a \">\" '", "</script <", "<script>", "<!--", "<p "):  # time grows with the length
+        begin = time.perf_counter()
+        blocks(odd * 200_000)
+        blocks("<script>" + odd * 200_000 + ">")
+        assert time.perf_counter() - begin < 10
     assert blocks("a < b <") == [(2, "a < b <")] and len(blocks("<p>" + "x " * 100_000)) == 1
 
 
@@ -345,6 +355,8 @@ def test_toxicity(spark, docs, nothing):
         assert 0 <= by_id[3] <= 1
     assert gap[1] < gap[0] / 2
     assert toxicity.score_documents(nothing, given, ~held(5)).count() == 0
+    clashing = toxicity.score_documents(frame.selectExpr("*", "doc_id as id", "'x' as label"), given, ~held(5))
+    assert {r.doc_id: r.predicted for r in clashing.collect()} == {i: r.predicted for i, r in found.items()}
     alike = toxicity.score_documents(docs, given.limit(0), ~held(5))
     assert {r.predicted for r in alike.select("predicted").collect()} == {0} and alike.count() == docs.count()
 
