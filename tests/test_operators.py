@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tablewright.operators import (charts, cleaning, clusters, dedup, impute, periods, profile,
@@ -172,6 +173,31 @@ def test_clusters_find_planted_groups(spark):
     assert noise.where("n <> 1").isEmpty()
 
 
+def test_cluster_labels_do_not_depend_on_partitions(spark):
+    frame = spark.range(900).select(F.col("id").alias("row_id"), *[
+        (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 7 + (F.col("id") % 4) * 60 * (i + 1)).alias(f"x{i}") for i in range(3)])
+    found = []
+    for rows in (frame.repartition(7), frame.coalesce(1).orderBy(F.desc("row_id"))):
+        labelled, facts = clusters.label_rows(rows, "row_id", min_silhouette=-1.0)
+        found.append((facts, {r.row_id: r.cluster for r in labelled.collect()}))
+    assert found[0] == found[1]
+    # the silhouette from its definition, over all pairs
+    facts, label = found[0]
+    values = frame.toPandas().set_index("row_id")[facts["features"]]
+    x = ((values - values.mean()) / values.std()).to_numpy()
+    own = np.array([label[i] for i in values.index])
+    apart = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    inside = np.array([apart[i, own == own[i]].sum() / ((own == own[i]).sum() - 1) for i in range(len(x))])
+    outside = np.array([min(apart[i, own == c].mean() for c in set(own) - {own[i]}) for i in range(len(x))])
+    assert abs(((outside - inside) / np.maximum(inside, outside)).mean() - facts["silhouette"]) < 0.001
+    # every row is with the nearest mean
+    means = np.stack([x[own == c].mean(axis=0) for c in range(facts["k"])])
+    assert (((x[:, None, :] - means[None]) ** 2).sum(axis=2).argmin(axis=1) == own).mean() > 0.998
+    assert clusters.label_rows(frame.limit(5), "row_id") is None
+    alike = spark.range(40).selectExpr("id as row_id", "id % 2 as x", "id % 2 as y")  # fewer different points than clusters
+    assert clusters.label_rows(alike, "row_id")[1]["k"] == 2
+
+
 def test_fill_widens_whole_numbers_when_the_median_is_fractional(spark):
     frame = spark.createDataFrame([(1,), (2,), (None,)], "stars int")
     assert [r[0] for r in impute.fill_simple(frame).collect()] == [1.0, 2.0, 1.5]
