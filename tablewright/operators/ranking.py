@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
 
@@ -55,6 +58,63 @@ def global_index(df: DataFrame, order: Sequence[str | Column], index: str = "_in
             .drop("_part", "_place", "_offset"))
 
 
+def rank_scan(df: DataFrame, order: Sequence[str], at: str, values: Sequence[str],
+              single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+    """Places of many columns along one order, from a single sort of the rows.
+
+    For the i-th of ``values`` this adds ``_x{i}``, the 0-based place of the row among the rows
+    where it is present, ``_n{i}``, how many these are, and ``_gap{i}``, how far ``at`` (a whole
+    number) lies above that of the row present before; place and gap mean nothing where it is null.
+    """
+    each = range(len(values))
+    present = [F.when(F.col(v).isNotNull(), F.col(at)) for v in values]
+    if df.count() <= single_task_rows:
+        rows = Window.orderBy(*order)
+        upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = rows.rowsBetween(Window.unboundedPreceding, -1)
+        whole = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({k: c for i, v in enumerate(values) for k, c in (
+            (f"_x{i}", F.count(v).over(upto) - 1), (f"_n{i}", F.count(v).over(whole)),
+            (f"_gap{i}", F.col(at) - F.last(present[i], ignorenulls=True).over(before)))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, last = [0] * len(values), [None] * len(values)
+        for batch in batches:
+            columns, places = list(batch.columns), batch.column(at).to_numpy()
+            for i, v in enumerate(values):
+                valid = batch.column(v).is_valid().to_numpy(zero_copy_only=False)
+                columns.append(pa.array(np.cumsum(valid) + (seen[i] - 1)))
+                own, earlier = places[valid], np.zeros(batch.num_rows, np.int64)
+                none = ~valid
+                if len(own):
+                    earlier[valid] = np.concatenate(([last[i] or 0], own[:-1]))
+                    none[np.argmax(valid)] |= last[i] is None
+                    seen[i], last[i] = seen[i] + len(own), int(own[-1])
+                columns.append(pa.array(earlier, mask=none))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    parted = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("_part", F.spark_partition_id()))
+    schema = T.StructType([*parted.schema, *[T.StructField(c, T.LongType()) for i in each
+                                             for c in (f"_place{i}", f"_earlier{i}")]])
+    placed = written(parted.mapInArrow(run, schema))
+    sizes = placed.groupBy("_part").agg(*[
+        e for i in each for e in (F.count(values[i]).alias(f"_c{i}"), F.max(present[i]).alias(f"_at{i}"))])
+    # one row per partition, so these windows are small whatever the table
+    parts = Window.orderBy("_part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = sizes.select("_part", *[
+        e for i in each for e in (
+            F.coalesce(F.sum(f"_c{i}").over(before), F.lit(0)).alias(f"_offset{i}"),
+            F.last(f"_at{i}", ignorenulls=True).over(before).alias(f"_in{i}"),
+            F.sum(f"_c{i}").over(whole).alias(f"_n{i}"))])
+    return placed.join(carried, "_part").select(*df.columns, *[
+        e for i in each for e in (
+            (F.col(f"_place{i}") + F.col(f"_offset{i}")).alias(f"_x{i}"), F.col(f"_n{i}"),
+            (F.col(at) - F.coalesce(f"_earlier{i}", f"_in{i}")).alias(f"_gap{i}"))])
+
+
 def carry_fill(df: DataFrame, columns: Sequence[str], order: Sequence[str],
                single_task_rows: int = SINGLE_TASK_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fill nulls with the last value before them in order, else with the first one after.

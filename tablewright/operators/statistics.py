@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, vocab
 from ..functions.cells import without_nan
 from .dedup import duplicate_rows
+from .cross_products import pair_correlations
 from .profile import (identifier_columns, long_rows, percentile_columns, top_values,
                       value_counts)
 
@@ -48,17 +48,11 @@ def correlations(df: DataFrame, threshold: float = vocab.STRONG_CORRELATION,
                  exclude: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of every numeric pair over rows where both are present."""
     df = without_nan(df)
-    pairs = list(combinations(names.numeric_columns(df, exclude), 2))
+    columns = names.numeric_columns(df, exclude)
     schema = "column_a string, column_b string, correlation double, direction string"
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    # long form: one small aggregate however many pairs, and only one row per pair is shuffled
-    numbered = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("a"),
-                 F.col(b).cast("double").alias("b")) for i, (a, b) in enumerate(pairs)])))
-    labels = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    found = numbered.groupBy("pair").agg(F.corr("a", "b").alias("r")).select(
-        labels[F.col("pair")].a.alias("column_a"), labels[F.col("pair")].b.alias("column_b"), "r")
+    found = pair_correlations(df, columns)
     return (found.where(~F.isnan("r") & (F.abs("r") >= threshold))
             .select("column_a", "column_b", F.round("r", 3).alias("correlation"),
                     F.when(F.col("r") > 0, "positive").otherwise("negative").alias("direction"))

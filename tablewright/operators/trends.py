@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,26 +11,49 @@ from pyspark.sql import functions as F
 from ..functions import names, vocab
 from ..functions.cells import without_nan
 from ..session import written
-from .ranking import SINGLE_TASK_ROWS, global_index
+from .profile import long_rows, percentile_columns
+from .ranking import SINGLE_TASK_ROWS, rank_scan
 
 PAIR = ["date_column", "value_column"]
 
 
-def _long(df: DataFrame, dates: Sequence[str], values: Sequence[str], key: Sequence[str]) \
-        -> DataFrame:
-    """One row per (date column, value column, row) where both are present."""
-    keyed = F.struct(*key).alias("key")
-    pairs = [F.struct(F.lit(d).alias("date_column"), F.lit(v).alias("value_column"),
-                      F.col(d).cast("timestamp").alias("moment"), F.col(v).cast("double").alias("y"))
-             for d in dates for v in values]
-    return (without_nan(df).select(keyed, F.inline(F.array(*pairs)))
-            .where("moment IS NOT NULL AND y IS NOT NULL"))
+def _dated(df: DataFrame, date: str, values: Sequence[str], *more: Column) -> tuple[DataFrame, list[str]]:
+    """The rows with a date: ``moment``, its microseconds ``at`` and the values as numbers ``_y0, _y1, ...``."""
+    moment = F.col(date).cast("timestamp")
+    rows = (without_nan(df).where(F.col(date).isNotNull())
+            .select(moment.alias("moment"), F.unix_micros(moment).alias("at"), *more,
+                    *[F.col(v).cast("double").alias(f"_y{i}") for i, v in enumerate(values)]))
+    return rows, [f"_y{i}" for i in range(len(values))]
+
+
+def _per_pair(one: DataFrame, date: str, values: Sequence[str]) -> DataFrame:
+    """The structs ``s0, s1, ...`` of one row as rows with the names of the columns."""
+    return long_rows(one, [F.struct(F.lit(date).alias("date_column"), F.lit(v).alias("value_column"),
+                                    F.col(f"s{i}").alias("s")) for i, v in enumerate(values)]).select(*PAIR, "s.*")
 
 
 def _sign(c: Column) -> Column:
     return F.when(c > 0, "increasing").when(c < 0, "decreasing").otherwise("flat")
 
 
+def _edges_and_lines(df: DataFrame, date: str, values: Sequence[str], key: Sequence[str],
+                     single_task_rows: int) -> DataFrame:
+    """Per value column: rows, edge width, deviation, line over the places, means of both edges."""
+    rows, ys = _dated(df, date, values, F.struct(*key).alias("key"))
+    placed = rank_scan(rows, ["moment", "key"], "at", ys, single_task_rows)
+    found = []
+    for i, y in enumerate(ys):
+        x, n = F.col(f"_x{i}"), F.col(f"_n{i}")
+        width = F.greatest(F.lit(vocab.EDGE_MIN_ROWS), F.ceil(n * F.lit(vocab.EDGE_SHARE)))
+        width = F.greatest(F.least(width, F.floor(n / 2)), F.lit(1))
+        found.append(F.struct(
+            F.max(n).alias("n"), F.max(width).alias("w"), F.stddev_pop(y).alias("std"),
+            F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"),
+            F.avg(F.when(x < width, F.col(y))).alias("start"),
+            F.avg(F.when(x >= n - width, F.col(y))).alias("end")).alias(f"s{i}"))
+    return _per_pair(placed.agg(*found), date, values)
+
+
 def trends(df: DataFrame, key: Sequence[str], dates: Sequence[str] | None = None,
            values: Sequence[str] | None = None,
            single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
@@ -40,21 +64,7 @@ def trends(df: DataFrame, key: Sequence[str], dates: Sequence[str] | None = None
     """
     dates = list(dates or names.date_columns(df))
     values = list(values or names.numeric_columns(df))
-    placed = global_index(_long(df, dates, values, key), [*PAIR, "moment", "key"],
-                          single_task_rows=single_task_rows)
-    span = placed.groupBy(*PAIR).agg(F.min("_index").alias("_start"), F.count("*").alias("n"))
-    # one row per pair of columns
-    x = placed.join(F.broadcast(span), PAIR).withColumn("x", F.col("_index") - F.col("_start"))
-    width = F.greatest(F.lit(vocab.EDGE_MIN_ROWS),
-                       F.ceil(F.col("n") * F.lit(vocab.EDGE_SHARE)))
-    width = F.greatest(F.least(width, F.floor(F.col("n") / 2)), F.lit(1))
-    x = x.withColumn("w", width)
-    fit = x.groupBy(*PAIR).agg(
-        F.first("n").alias("n"), F.first("w").alias("w"),
-        F.stddev_pop("y").alias("std"), F.regr_slope("y", "x").alias("slope"),
-        F.regr_r2("y", "x").alias("r2"),
-        F.avg(F.when(F.col("x") < F.col("w"), F.col("y"))).alias("start"),
-        F.avg(F.when(F.col("x") >= F.col("n") - F.col("w"), F.col("y"))).alias("end"))
+    fit = reduce(DataFrame.unionByName, [_edges_and_lines(df, d, values, key, single_task_rows) for d in dates])
     enough = F.col("w") >= vocab.EDGE_MIN_ROWS
     change = F.when(enough, F.try_divide(F.col("end") - F.col("start"), F.abs("start")) * 100)
     fit = fit.where("n >= 5 AND std > 0").withColumn("change", change)
@@ -80,40 +90,26 @@ def best_trend(found: DataFrame) -> DataFrame:
     return found.orderBy("insufficient_edge_data", F.desc("r_squared"), *PAIR).limit(1)
 
 
-def _median_per_pair(gaps: DataFrame, single_task_rows: int) -> DataFrame:
-    """Middle gap of each pair, found by place so that no task holds all gaps."""
-    placed = global_index(gaps, [*PAIR, "gap", "x"], single_task_rows=single_task_rows)
-    span = placed.groupBy(*PAIR).agg(F.min("_index").alias("_start"), F.count("*").alias("_n"))
-    place = F.col("_index") - F.col("_start")
-    middle = place.isin(F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2))
-    return (placed.join(F.broadcast(span), PAIR).where(middle).groupBy(*PAIR)
-            .agg(F.round(F.avg("gap")).cast("long").alias("step")))
-
-
-def _forecast_fits(df: DataFrame, dates: Sequence[str], values: Sequence[str], min_points: int,
+def _forecast_fits(df: DataFrame, date: str, values: Sequence[str], min_points: int,
                    min_r_squared: float, single_task_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(mean per moment with its index, fitted line per pair) for all column pairs."""
-    moments = (_long(df, dates, values, [F.lit(0)]).groupBy(*PAIR, "moment")
-               .agg(F.avg("y").alias("y")))
-    moments = written(moments)  # used for counting, ordering, fitting and as the history
-    placed = global_index(moments, [*PAIR, "moment"], single_task_rows=single_task_rows)
-    span = placed.groupBy(*PAIR).agg(F.min("_index").alias("_start"), F.count("*").alias("n"))
-    series = (placed.join(F.broadcast(span), PAIR)  # one row per pair of columns
-              .withColumn("x", F.col("_index") - F.col("_start")).drop("_index", "_start"))
-    ahead = series.select(*PAIR, (F.col("x") - 1).alias("x"), F.col("moment").alias("next_at"))
-    gap = F.unix_micros("next_at") - F.unix_micros("moment")
-    gaps = series.join(ahead, [*PAIR, "x"]).select(*PAIR, "x", gap.alias("gap"))
-    steps = _median_per_pair(gaps, single_task_rows)
-    fits = series.groupBy(*PAIR).agg(
-        F.first("n").alias("n"), F.regr_slope("y", "x").alias("slope"),
-        F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"),
-        F.stddev_pop("y").alias("std"), F.max("moment").alias("last_at"),
-        F.max_by("y", "x").alias("last_y"))
-    fits = (fits.where((F.col("n") >= min_points) & (F.col("std") > 0)
-                       & (F.col("r2") >= min_r_squared))
-            .withColumn("residual_std", F.col("std") * F.sqrt(F.greatest(1 - F.col("r2"),
-                                                                        F.lit(0.0))))
-            .join(steps, PAIR))
+    """(mean of each value per moment, fitted line per value column) for one date column."""
+    rows, ys = _dated(df, date, values)
+    # used for counting, ordering, fitting and as the history
+    moments = written(rows.groupBy("moment", "at").agg(*[F.avg(y).alias(y) for y in ys]))
+    series = rank_scan(moments, ["at"], "at", ys, single_task_rows)
+    steps = [f"_gap{i}" for i in range(len(ys))]
+    series = series.withColumns({g: F.when(F.col(y).isNotNull(), F.col(g)) for g, y in zip(steps, ys)})
+    middle = percentile_columns(series, steps, [0.5], moments.count())
+    found = []
+    for i, y in enumerate(ys):
+        x = F.when(F.col(y).isNotNull(), F.col(f"_x{i}"))
+        found.append(F.struct(
+            F.max(f"_n{i}").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+            F.regr_r2(y, x).alias("r2"), F.stddev_pop(y).alias("std"), F.max_by("moment", x).alias("last_at"),
+            F.max_by(y, x).alias("last_y"), F.round(middle[steps[i]][0]).cast("long").alias("step")).alias(f"s{i}"))
+    fits = (_per_pair(series.agg(*found), date, values)
+            .where((F.col("n") >= min_points) & (F.col("std") > 0) & (F.col("r2") >= min_r_squared))
+            .withColumn("residual_std", F.col("std") * F.sqrt(F.greatest(1 - F.col("r2"), F.lit(0.0)))))
     return series, fits
 
 
@@ -124,7 +120,8 @@ def forecast_summary(df: DataFrame, dates: Sequence[str] | None = None,
     """Projected end value and change for every pair whose line explains enough."""
     dates = list(dates or names.date_columns(df))
     values = list(values or names.numeric_columns(df))
-    _, fits = _forecast_fits(df, dates, values, min_points, min_r_squared, single_task_rows)
+    fits = reduce(DataFrame.unionByName, [
+        _forecast_fits(df, d, values, min_points, min_r_squared, single_task_rows)[1] for d in dates])
     end = F.col("intercept") + F.col("slope") * (F.col("n") + periods_ahead - 1)
     change = F.try_divide(end - F.col("last_y"), F.abs("last_y")) * 100
     return fits.select(
@@ -141,11 +138,10 @@ def best_forecast(df: DataFrame, **options) -> DataFrame:
 def forecast(df: DataFrame, date: str, value: str, periods_ahead: int = 5, min_points: int = 8,
              min_r_squared: float = 0.1, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """History and projected points with a 95% band; no rows if the line explains too little."""
-    series, fits = _forecast_fits(df, [date], [value], min_points, min_r_squared,
-                                  single_task_rows)
-    history = series.join(F.broadcast(fits.select(*PAIR)), PAIR, "left_semi").select(
-        "moment", F.col("y").alias("value"), F.col("y").alias("lower_bound"),
-        F.col("y").alias("upper_bound"), F.lit("historical").alias("type"))
+    series, fits = _forecast_fits(df, date, [value], min_points, min_r_squared, single_task_rows)
+    y = F.col("_y0")
+    history = series.where(y.isNotNull()).join(F.broadcast(fits.select("n")), F.col("n") > 0, "left_semi").select(
+        "moment", y.alias("value"), y.alias("lower_bound"), y.alias("upper_bound"), F.lit("historical").alias("type"))
     ahead = fits.select("*", F.explode(F.sequence(F.lit(0), F.lit(periods_ahead - 1))).alias("i"))
     y = F.col("intercept") + F.col("slope") * (F.col("n") + F.col("i"))
     band = F.col("residual_std") * 1.96

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import quantiles, ranking, segments, similarity, trends
+from tablewright.operators import cross_products, quantiles, ranking, segments, similarity, statistics, trends
 
 
 def words(seed, n):
@@ -158,3 +159,72 @@ def test_each_pair_is_measured_by_its_own_length(spark):
     rows = [(1, "abcdefgh"), (2, "abcdefgi"), (3, long), (4, long + "y"), (5, "zz" * 300)]
     items = spark.createDataFrame(rows, "id long, text string")
     assert sorted(map(tuple, similarity.close_pairs(items, similarity.ROWS).collect())) == [(1, 2, 1), (3, 4, 1)]
+
+
+def _gappy(spark):
+    """Values missing at different rows of two unordered, repeating date columns, one of them all missing."""
+    pick = lambda m, r, v: F.when(F.col("id") % m != r, v)
+    return spark.range(1200).select(
+        "id", pick(11, 3, F.timestamp_micros((F.col("id") * 7919 % 400) * 3_600_000_000 + F.col("id") % 2)).alias("at"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 31 % 90).cast("int")).alias("day"),
+        pick(5, 1, F.col("id") * 1.5 + F.col("id") * 37 % 101).alias("y"),
+        F.when(F.col("id") * 7919 % 400 > 250, F.col("id") * 7919 % 400 / 3.0).alias("late"),
+        F.lit(None).cast("double").alias("none"))
+
+
+def test_one_sort_per_date_serves_all_measures(spark):
+    frame = _gappy(spark).repartition(7)
+    for found in (lambda **o: trends.trends(frame, ["id"], values=["y", "late", "none"], **o),
+                  lambda **o: trends.forecast_summary(frame, values=["y", "late", "none"], min_r_squared=0.0, **o)):
+        in_task, in_parts = (found(**o).orderBy("date_column", "value_column").collect() for o in ({}, {"single_task_rows": 0}))
+        assert in_task == in_parts and len(in_task) == 4
+    alone = trends.trends(frame, ["id"], ["at"], ["late"], single_task_rows=0).collect()
+    assert alone == [r for r in trends.trends(frame, ["id"]).collect() if (r["date_column"], r["value_column"]) == ("at", "late")]
+
+
+def test_rank_scan_places_and_gaps_equal_a_plain_loop(spark):
+    rows = [r.asDict() for r in _gappy(spark).select("id", "y", "late", "none").collect()]
+    seen, last = {c: 0 for c in ("y", "late", "none")}, {}
+    want = []
+    for r in sorted(rows, key=lambda r: r["id"]):
+        for c in seen:
+            if r[c] is not None:
+                want.append((r["id"], c, seen[c], r["id"] - last[c] if c in last else None))
+                seen[c], last[c] = seen[c] + 1, r["id"]
+    for limit in (10 ** 6, 0):
+        got = []
+        for r in ranking.rank_scan(_gappy(spark).repartition(5), ["id"], "id", list(seen), limit).collect():
+            got += [(r["id"], c, r[f"_x{i}"], r[f"_gap{i}"]) for i, c in enumerate(seen) if r[c] is not None]
+            assert [r[f"_n{i}"] for i in range(3)] == list(seen.values())
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_cross_products_equal_plain_correlation(spark, block):
+    i = F.col("id")
+    frame = spark.range(500).select(
+        (i * 37 % 101).cast("double").alias("a"), F.when(i % 7 != 2, i * 1.0).alias("b"),
+        F.lit(0.1).alias("fixed"), (i * 0.001 + 1e9).alias("far"), F.when(i == 4, float("inf")).otherwise(i * 53 % 97).alias("endless"),
+        F.when(i % 2 == 0, 3.0).otherwise(i * 2.0).alias("fixed_where_even"), F.when(i % 2 == 0, i * i * 1.0).alias("even"),
+        F.lit(None).cast("double").alias("none"), F.when(i == 9, 5.0).alias("once")).repartition(6)
+    names, rows = frame.columns, frame.collect()
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in cross_products.pair_correlations(frame, names, block).collect()}
+    pairs = [(a, b) for n, a in enumerate(names) for b in names[n + 1:]]
+    assert set(got) <= set(pairs)
+    for a, b in pairs:
+        both = np.array([(r[a], r[b]) for r in rows if r[a] is not None and r[b] is not None]).reshape(-1, 2)
+        r = got.get((a, b))
+        if len(both) < 2 or not np.isfinite(both).all() or (both[0] == both).all(0).any():
+            assert r is None or r != r, (a, b)
+        else:
+            assert abs(r - np.corrcoef(both.T)[0, 1]) < 1e-7, (a, b)
+
+
+def test_correlations_of_a_constant_column(spark):
+    frame = spark.range(40).select(F.col("id").alias("a"), (F.col("id") * -2.0).alias("b"), F.lit(1.5).alias("fixed"))
+    found = [(r["column_a"], r["column_b"], r["correlation"]) for r in statistics.correlations(frame).collect()]
+    assert found == [("a", "b", -1.0)]
+
+
+def test_cross_products_of_an_empty_table(spark):
+    assert cross_products.pair_correlations(spark.createDataFrame([], "a double, b double"), ["a", "b"]).isEmpty()
