@@ -31,7 +31,7 @@ from .blocks import pack, pack_numbers, text_blocks, unpack, unpack_numbers
 from .scratch import Tables
 from .tokens import U, join_hash, mix
 
-ORDER, K = 3, 5
+ORDER, K = 2, 5
 BLOCK_WORDS, BUCKET_GRAMS = 1_000_000, 1_000_000
 START, END = U(0xFFFFFFFFFFFFFFFF), U(0x454E44)
 OUTPUT = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
