@@ -14,7 +14,7 @@ from .statistics import KEYWORDS, QUALITY_SQL, STATUS_SQL, kpis_sql
 from .statistics import _category_sql as category_sql
 from .tables import DIRTY_ORDERS, dirty_orders, table
 
-SOURCE = f"""s AS (SELECT order_id, {number('total_amount')} AS amount,
+SOURCE = f"""s AS (SELECT order_id, customer_ref, {number('total_amount')} AS amount,
   {parsed_date('order_date')} AS day, {title(cleaned(swept('order_status')))} AS status,
   {yes_no('is_gift')} AS gift, order_rating AS rating, delivery_time_mins AS mins,
   CASE WHEN NOT regexp_matches(account_ref, '[^0-9]') THEN account_ref END AS account,
@@ -27,7 +27,7 @@ f AS (SELECT (SELECT median(amount) FROM m) AS amount, (SELECT median(rating) FR
     AS account)"""
 
 CLEAN_SQL = f"""WITH {SOURCE},
-a AS (SELECT order_id, greatest(coalesce(m.amount, f.amount), 0) AS total_amount, coalesce(
+a AS (SELECT order_id, customer_ref, greatest(coalesce(m.amount, f.amount), 0) AS total_amount, coalesce(
     last_value(day IGNORE NULLS) OVER (ORDER BY order_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
     first_value(day IGNORE NULLS) OVER (ORDER BY order_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS order_date,
   coalesce(m.status, f.status) AS order_status, gift AS is_gift,
@@ -60,7 +60,7 @@ SELECT step, "column", action, n_cells FROM c, k, LATERAL (VALUES
 
 
 def _clean(s, d):
-    return clean(dirty_orders(s, d).drop("customer_ref"))
+    return clean(dirty_orders(s, d))
 
 
 def _report(s, d):
