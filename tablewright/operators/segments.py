@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.cells import without_nan
+from ..session import written
 from .ranking import SINGLE_TASK_ROWS, global_index, sum_before
 from .statistics import kpis
 
@@ -90,11 +91,15 @@ def _with_rank(grouped: DataFrame, measure: str, rank: str, single_task_rows: in
 
 def volume_value_leaders(df: DataFrame, segment: str, metric: str,
                          single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
-    """Rank of each segment by rows and by value, and whether the same one leads both."""
-    grouped = by_segment(df, segment, metric)
+    """Rank of each segment by rows and by value, and whether the same one leads both.
+
+    Value is the total as shown: the last digits of a sum depend on the order of its rows, so equal
+    segments would be apart by chance. The segments are written once, as ranks are joined on them.
+    """
+    grouped = written(by_segment(df, segment, metric).withColumn("total", F.round("total", 2)))
     both = _with_rank(_with_rank(grouped, "row_count", "volume_rank", single_task_rows),
                       "total", "value_rank", single_task_rows)
-    return both.select("segment", "row_count", F.round("total", 2).alias("total"),
+    return both.select("segment", "row_count", "total",
                        F.col("volume_rank").cast("long").alias("volume_rank"),
                        F.col("value_rank").cast("long").alias("value_rank"),
                        ((F.col("volume_rank") == 1) & (F.col("value_rank") == 1))

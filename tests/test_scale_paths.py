@@ -126,6 +126,13 @@ def test_trends_and_leader_ranks_do_not_depend_on_the_path(spark):
     assert small == large
 
 
+def test_segments_of_equal_total_share_a_rank_in_any_order_of_rows(spark):
+    rows = [("a", 0.1), ("a", 0.2), ("a", 0.3), ("b", 0.3), ("b", 0.2), ("b", 0.1), ("c", 0.5)]
+    frame = spark.createDataFrame(rows, "shop string, y double").coalesce(1)
+    ranks = {r["segment"]: r["value_rank"] for r in segments.volume_value_leaders(frame, "shop", "y").collect()}
+    assert ranks == {"a": 1, "b": 1, "c": 3}
+
+
 @pytest.mark.parametrize("first,pairs,frequent", [(7, 10 ** 9, 1000), (10 ** 6, 20, 5), (30, 50, 8)])
 def test_leaders_in_batches_equal_the_pass_in_order(spark, first, pairs, frequent):
     rng = random.Random(11)
