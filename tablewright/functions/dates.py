@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import vocab
 from .cells import plain_number, trimmed
+from .counts import cells_where, value_counts
 from .names import has_word
 
 _PAIR = r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{2,4})$"
@@ -125,17 +127,17 @@ class DateFit:
 def _vote(text: Column, first_over: bool) -> Column:
     a = F.regexp_extract(text, _PAIR, 1).try_cast("int")
     b = F.regexp_extract(text, _PAIR, 2).try_cast("int")
-    return F.count_if((a > 12) & (b <= 12)) if first_over else F.count_if((b > 12) & (a <= 12))
+    return cells_where((a > 12) & (b <= 12)) if first_over else cells_where((b > 12) & (a <= 12))
 
 
 def shape_evidence(c: Column) -> list[Column]:
     """The cheap part of the evidence: pattern counts, no parsing."""
     text = trimmed(c)
-    return [F.count(c).alias("n"),
-            F.count_if(text.rlike(vocab.BARE_NUMBER_PATTERN)).alias("bare"),
-            F.count_if(text.rlike(vocab.DATE_SIGNAL_PATTERN)).alias("signal"),
-            F.count_if(text.rlike(vocab.MONTH_NAME_PATTERN)).alias("month_names"),
-            F.count_if(text.rlike(vocab.LEADING_DATE_PATTERN)).alias("leading")]
+    return [F.sum("count").alias("n"),
+            cells_where(text.rlike(vocab.BARE_NUMBER_PATTERN)).alias("bare"),
+            cells_where(text.rlike(vocab.DATE_SIGNAL_PATTERN)).alias("signal"),
+            cells_where(text.rlike(vocab.MONTH_NAME_PATTERN)).alias("month_names"),
+            cells_where(text.rlike(vocab.LEADING_DATE_PATTERN)).alias("leading")]
 
 
 def may_be_dates(column: str, counts) -> bool:
@@ -148,50 +150,62 @@ def may_be_dates(column: str, counts) -> bool:
             or counts["leading"] >= 3)
 
 
-def date_evidence(c: Column) -> list[Column]:
-    """Aggregates that one pass needs to decide on a column; see :func:`fit_dates`."""
-    text = trimmed(c)
-    every = tuple(dict.fromkeys(ladder(True) + ladder(False)))
-    return [
-        *shape_evidence(c),
-        _vote(text, True).alias("day_votes"),
-        _vote(text, False).alias("month_votes"),
-        F.count_if(_is_unix(c)).alias("unix"),
-        *[F.count(parse_with(c, f)).alias(f"hits_{i}") for i, f in enumerate(every)],
-    ]
-
-
-def _wider_formats(df: DataFrame, column: str, n: int, day_first: bool) -> tuple[str, ...] | None:
-    """The one further spelling that fits most cells, or all together with the ladder."""
-    every = wider(day_first)
-    together = parse_date(F.col(column), ladder(day_first) + every + vocab.MONTH_YEAR_FORMATS)
-    hits = df.agg(F.count(together), *[F.count(parse_with(F.col(column), f)) for f in every]).first()
-    alone = next((f for f, h in zip(every, hits[1:]) if h >= vocab.DATE_PARSE_SHARE * n), None)
-    if alone:
-        return (alone,)
-    return ladder(day_first) + every + vocab.MONTH_YEAR_FORMATS if n and hits[0] >= vocab.DATE_PARSE_SHARE * n else None
+def fitting_formats(counts: DataFrame) -> dict[str, tuple[str, ...]]:
+    """The formats whose shape some cell of each column has; no other one can read a cell.
+
+    Shapes do not tell digits apart, so they are tried on the distinct outlines of the cells, in which
+    every digit is a zero.
+    """
+    every = tuple(dict.fromkeys(f for first in (True, False)
+                                for f in ladder(first) + wider(first) + vocab.MONTH_YEAR_FORMATS))
+    outlines = counts.select("column", F.translate(trimmed(F.col("value")), "123456789", "0" * 9).alias("outline")).distinct()
+    rows = outlines.groupBy("column").agg(*[F.bool_or(F.col("outline").rlike(_shape(f))).alias(f"f{i}")
+                                            for i, f in enumerate(every)]).collect()  # one row per column
+    return {r["column"]: tuple(f for i, f in enumerate(every) if r[f"f{i}"]) for r in rows}
+
+
+def _reads(formats: tuple[str, ...]) -> Column:
+    """Aggregate: cells that any of the formats reads."""
+    return cells_where(parse_date(F.col("value"), formats).isNotNull()) if formats else F.lit(0).cast("bigint")
 
 
 def fit_dates(df: DataFrame, columns: list[str]) -> dict[str, DateFit]:
-    """Judge each text column over all its rows, no sampling.
+    """Judge each text column over all its rows, no sampling."""
+    return fit_counts(written(value_counts(df, columns)), columns) if columns else {}
+
+
+def fit_counts(counts: DataFrame, columns: list[str]) -> dict[str, DateFit]:
+    """Judge text columns from the counts of their distinct values, each of which is parsed once.
 
-    One aggregate per column; a second one, for mixed spellings, only if no single format fits.
+    One aggregate finds the formats that can fit at all; then one per column, and a second one, for mixed
+    and for further spellings, only if no single format fits.
     """
     every = tuple(dict.fromkeys(ladder(True) + ladder(False)))
+    fitting = fitting_formats(counts.where(F.col("column").isin(list(columns))))
     fits = {}
     for column in columns:
-        row = df.agg(*date_evidence(F.col(column))).first()
-        n = row["n"]
+        own, value = counts.where(F.col("column") == column), F.col("value")
+        found = fitting.get(column, ())
+        tried = tuple(f for f in every if f in found)
+        row = own.agg(*shape_evidence(value), _vote(trimmed(value), True).alias("day_votes"),
+                      _vote(trimmed(value), False).alias("month_votes"), cells_where(_is_unix(value)).alias("unix"),
+                      *[_reads((f,)).alias(f"hits_{i}") for i, f in enumerate(tried)]).first()
+        n = row["n"] or 0
         share = (lambda hits, n=n: hits / n if n else 0.0)
         day_first = row["day_votes"] > row["month_votes"]
-        shares = {f: share(row[f"hits_{i}"]) for i, f in enumerate(every)}
+        shares = dict.fromkeys(every, 0.0) | {f: share(row[f"hits_{i}"]) for i, f in enumerate(tried)}
         more = None
         mixed = max(shares[f] for f in ladder(day_first))
         if mixed < vocab.DATE_PARSE_SHARE:
-            together = parse_date(F.col(column), ladder(day_first) + vocab.MONTH_YEAR_FORMATS)
-            mixed = share(df.agg(F.count(together)).first()[0])
-        if mixed < vocab.DATE_PARSE_SHARE and row["bare"] < vocab.BARE_NUMBER_SHARE * max(n, 1):
-            more = _wider_formats(df, column, n, day_first)
+            order = ladder(day_first) + vocab.MONTH_YEAR_FORMATS
+            widest = ladder(day_first) + wider(day_first) + vocab.MONTH_YEAR_FORMATS
+            further = tuple(f for f in wider(day_first) if f in found)
+            hits = own.agg(_reads(tuple(f for f in order if f in found)), _reads(tuple(f for f in widest if f in found)),
+                           *[_reads((f,)) for f in further]).first()
+            mixed = share(hits[0])
+            if mixed < vocab.DATE_PARSE_SHARE and row["bare"] < vocab.BARE_NUMBER_SHARE * max(n, 1):
+                alone = next((f for f, h in zip(further, hits[2:]) if h >= vocab.DATE_PARSE_SHARE * n), None)
+                more = (alone,) if alone else widest if share(hits[1]) >= vocab.DATE_PARSE_SHARE else None
         fits[column] = DateFit(
             column=column,
             n_values=n,

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, dates, names, vocab
+from ..functions.counts import cells_where, value_counts
+from ..session import written
 from .profile import long_rows, percentile_columns
 from .similarity import apply_map
 
@@ -36,19 +38,22 @@ def numeric_text_profile(df: DataFrame, columns: Sequence[str] | None = None) ->
         return df.sparkSession.createDataFrame(
             [], "column string, n_values bigint, n_numbers bigint, numeric_share double, "
                 "n_currency bigint, whole boolean, to_number boolean")
-    one = df.agg(*[
-        F.struct(F.count(cells.sweep_nulls(F.col(c))).alias("n"),
-                 F.count(cells.parse_number(F.col(c))).alias("k"),
-                 F.count_if(cells.has_currency_sign(F.col(c))).alias("signs"),
-                 F.coalesce(F.bool_and(cells.parse_number(F.col(c)) % 1 == 0), F.lit(True))
-                 .alias("whole")).alias(f"c{i}") for i, c in enumerate(columns)])
-    rows = long_rows(one, [F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("s"))
-                           for i, c in enumerate(columns)])
-    share = F.coalesce(F.try_divide(F.col("s.k") * 1.0, F.col("s.n")), F.lit(0.0))
-    return rows.select(
-        "column", F.col("s.n").alias("n_values"), F.col("s.k").alias("n_numbers"),
-        F.round(share, 4).alias("numeric_share"), F.col("s.signs").alias("n_currency"),
-        F.col("s.whole").alias("whole"), (share > vocab.NUMERIC_SHARE).alias("to_number"))
+    return numbers_of_counts(value_counts(df, columns), columns)
+
+
+def numbers_of_counts(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same from the counts of the distinct values of the columns."""
+    value = F.col("value")
+    found = counts.groupBy("column").agg(
+        cells_where(~cells.is_null_marker(value)).alias("n"), cells_where(cells.parse_number(value).isNotNull()).alias("k"),
+        cells_where(cells.has_currency_sign(value)).alias("signs"), F.bool_and(cells.parse_number(value) % 1 == 0).alias("whole"))
+    wanted = counts.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    none = F.lit(0).cast("bigint")
+    share = F.coalesce(F.try_divide(F.col("k") * 1.0, F.col("n")), F.lit(0.0))
+    return wanted.join(F.broadcast(found), "column", "left").select(  # one row per column
+        "column", F.coalesce("n", none).alias("n_values"), F.coalesce("k", none).alias("n_numbers"),
+        F.round(share, 4).alias("numeric_share"), F.coalesce("signs", none).alias("n_currency"),
+        F.coalesce("whole", F.lit(True)).alias("whole"), (share > vocab.NUMERIC_SHARE).alias("to_number"))
 
 
 def convert_numbers(df: DataFrame, columns: Sequence[str] | None = None,
@@ -70,16 +75,23 @@ def convert_numbers(df: DataFrame, columns: Sequence[str] | None = None,
 def date_candidates(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
     """Formats for those text columns whose name or contents say they hold dates.
 
+    Each distinct cell is looked at once.
+    """
+    columns = [c for c in columns if not dates.name_is_duration(c)]
+    return date_columns_of(written(value_counts(df, columns)), columns) if columns else {}
+
+
+def date_columns_of(counts: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The same from the counts of the distinct values of the columns.
+
     Cheap content tests run for all columns in one pass; the format ladder runs only for the
     columns that pass them.
     """
     columns = [c for c in columns if not dates.name_is_duration(c)]
-    if not columns:
-        return {}
-    row = df.agg(*[F.struct(*dates.shape_evidence(F.col(c))).alias(f"c{i}")
-                   for i, c in enumerate(columns)]).first()
-    plausible = [c for i, c in enumerate(columns) if dates.may_be_dates(c, row[f"c{i}"])]
-    fits = dates.fit_dates(df, plausible)
+    evidence = {r["column"]: r for r in counts.where(F.col("column").isin(columns)).groupBy("column").agg(
+        *dates.shape_evidence(F.col("value"))).collect()}  # one row per column
+    plausible = [c for c in columns if c in evidence and dates.may_be_dates(c, evidence[c])]
+    fits = dates.fit_counts(counts, plausible) if plausible else {}
     return {c: found for c, fit in fits.items()
             if fit.is_candidate and (found := fit.formats()) is not None}
 

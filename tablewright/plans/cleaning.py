@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, dates, names, vocab
+from ..functions.counts import cells_where, value_counts
 from ..operators import cleaning, dedup, impute, ranking, similarity
-from ..operators.profile import missing_profile, value_counts
-from ..session import shared_folder, written
+from ..operators.profile import missing_profile
+from ..session import shared_folder, spread, written
 
 INLINE_ENTRIES = 10_000
 MIN_DIGIT_SHARE = 0.5
@@ -55,12 +56,13 @@ class CleaningPlan:
     @classmethod
     def fit(cls, df: DataFrame, drop: Sequence[str] = (), keep_text: Sequence[str] = (),
             canonical: DataFrame | None = None, fuzzy: bool = True,
-            min_currency_share: float = 0.0) -> CleaningPlan:
+            min_currency_share: float = 0.0, written_rows: bool = False) -> CleaningPlan:
         """Decide on every column over all rows.
 
         ``keep_text`` names (cleaned) text columns left as they are, such as codes.
         ``canonical`` is a supplied (column, dirty, canonical) table applied before spelling
-        variants are merged.
+        variants are merged. Every decision is a pass over the rows, so they are spread over all cores
+        first, unless they are ``written_rows`` already.
         """
         log: list[tuple] = []
         sources = [c for c in df.columns if c not in set(drop)]
@@ -70,6 +72,7 @@ class CleaningPlan:
         log += [("columns", t, "renamed", None, f"{s} -> {t}")
                 for s, t in zip(sources, targets) if s != t]
         raw = cells.without_nan(df.select(*[quoted(s).alias(t) for s, t in zip(sources, targets)]))
+        raw = raw if written_rows else spread(raw)
         plan = cls({t: ColumnPlan(s, "keep") for s, t in zip(sources, targets)}, {}, log)
         plan._decide_types(raw, set(keep_text), min_currency_share)
         plan._decide_text(raw, set(keep_text), canonical, fuzzy)
@@ -78,11 +81,17 @@ class CleaningPlan:
 
     def _decide_types(self, raw: DataFrame, keep: set[str], min_currency_share: float) -> None:
         text = [c for c in names.text_columns(raw) if c not in keep]
-        swept = {r["column"]: r for r in _swept_counts(raw, text)}
+        for c in names.date_columns(raw):
+            self.columns[c].kind = "date"
+        if not text:
+            return
+        counts = written(value_counts(raw, text))  # each distinct cell is judged once
+        swept = _swept_counts(counts, text)
         self.log += [("null markers", c, "set to null", r["n"], None)
                      for c, r in swept.items() if r["n"]]
         open_text = []
-        for r in cleaning.numeric_text_profile(raw, text).collect():
+        profile = {r["column"]: r for r in cleaning.numbers_of_counts(counts, text).collect()}
+        for r in (profile[c] for c in text):
             c, plan = r["column"], self.columns[r["column"]]
             # digits are kept as text, leading zeros included, where most cells hold nothing else
             digits = r["n_values"] - swept[c]["n_lettered"]
@@ -100,13 +109,11 @@ class CleaningPlan:
                                  r["n_numbers"], f"{r['numeric_share']:.0%} parsed"))
             elif r["n_values"]:
                 open_text.append(c)
-        candidates = cleaning.date_candidates(cleaning.sweep_nulls(raw.select(*open_text)),
-                                              open_text) if open_text else {}
+        present = counts.where(~cells.is_null_marker(F.col("value")))
+        candidates = cleaning.date_columns_of(present, open_text) if open_text else {}
         for c, formats in candidates.items():
             self.columns[c].kind, self.columns[c].formats = "date", list(formats)
             self.log.append(("types", c, "to date", None, ", ".join(formats[:3])))
-        for c in names.date_columns(raw):
-            self.columns[c].kind = "date"
         for c in open_text:
             if c not in candidates:
                 self.columns[c].kind = "text"
@@ -317,16 +324,13 @@ def _beyond(c: str, low: float | None, high: float | None) -> Column:
     return below | (F.col(c) > high if high is not None else F.lit(False))
 
 
-def _swept_counts(raw: DataFrame, text: Sequence[str]) -> list:
+def _swept_counts(counts: DataFrame, text: Sequence[str]) -> dict[str, dict[str, int]]:
     """Per text column: null markers, and non-null cells holding more than digits."""
-    if not text:
-        return []
-    kept = (lambda c: cells.trimmed(cells.sweep_nulls(F.col(c))))
-    one = raw.agg(*[F.struct(F.lit(c).alias("column"),
-                             F.count_if(cells.is_null_marker(F.col(c))).alias("n"),
-                             F.count_if(kept(c).rlike("[^0-9]")).alias("n_lettered"))
-                    .alias(f"c{i}") for i, c in enumerate(text)]).first()
-    return [one[f"c{i}"] for i in range(len(text))]
+    value = F.col("value")
+    lettered = cells.trimmed(cells.sweep_nulls(value)).rlike("[^0-9]")
+    found = {r["column"]: r.asDict() for r in counts.groupBy("column").agg(
+        cells_where(cells.is_null_marker(value)).alias("n"), cells_where(lettered).alias("n_lettered")).collect()}
+    return {c: found.get(c, {"n": 0, "n_lettered": 0}) for c in text}
 
 
 @dataclass
@@ -360,7 +364,7 @@ def clean(df: DataFrame, drop: Sequence[str] = (), keep_first: Sequence[str] = (
     renamed = placed.select(*[quoted(s).alias(t) for s, t in named.items()], *([place] if place else []))
     swept = cleaning.sweep_nulls(cells.without_nan(renamed))
     unique = written(dedup.deduplicate(swept, [target(c) for c in keep_first], place=place))
-    plan = CleaningPlan.fit(unique.drop(PLACE), **options)
+    plan = CleaningPlan.fit(unique.drop(PLACE), written_rows=True, **options)
     log = [("columns", c, "dropped" if c in df.columns else "not found", None, None) for c in drop]
     plan.log[:0] = log + [("columns", t, "renamed", None, f"{s} -> {t}") for s, t in named.items() if s != t]
     kept_rows = dedup.retention(df, unique.drop(PLACE))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import cells, dates, edits, names
 from tablewright.functions.accents import normalise_text
+from tablewright.functions.counts import value_counts
+from tablewright.session import spread
 
 
 def one(spark, value, expression):
@@ -94,3 +96,16 @@ def test_bounded_edit_distance():
     assert edits._within("kitten", "sitting", 3) == 3
     assert edits._within("kitten", "sitting", 2) == -1
     assert edits._within("a" * 5000 + "x" + "b" * 5000, "a" * 5000 + "b" * 5000, 1) == 1
+
+
+def test_only_formats_of_a_fitting_shape_are_tried(spark):
+    frame = spark.createDataFrame([("31-12-2024", "5 Jan 2024"), (" 7-1-2023", "Mar-2024"), (None, "x")], "a string, b string")
+    fitting = dates.fitting_formats(value_counts(frame, ["a", "b"]))
+    assert set(fitting["a"]) == {"d-M-yyyy", "M-d-yyyy"}
+    assert set(fitting["b"]) == {"d MMM yyyy", "d MMMM yyyy", "MMM-yyyy", "MMMM-yyyy"}
+
+
+def test_rows_are_spread_before_a_plan_is_fitted(spark):
+    whole = spark.range(100_000).select(F.col("id").cast("string").alias("a")).coalesce(1)
+    counts = [r["count"] for r in spread(whole).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 100_000 and len(counts) > 1
