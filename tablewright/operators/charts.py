@@ -134,10 +134,16 @@ def trend_rollup(df: DataFrame, date: str, value: str) -> DataFrame:
             .agg(F.round(F.sum("v"), 2).alias("total")).orderBy("label"))
 
 
+def leading_kpis(df: DataFrame) -> list[dict]:
+    """KPIs by spread, repeating keys of other tables last: the spread of a key grows with its table."""
+    found = [r.asDict() for r in kpis(df, None).collect()]  # one row per numeric column
+    return sorted(found, key=lambda k: names.is_key_name(k["column"]))[:vocab.MAX_KPIS]
+
+
 def category_breakdown(df: DataFrame, max_columns: int = 3, top_groups: int = 10) -> DataFrame:
     """Mean of the leading KPI per group, for the first readable category columns."""
     schema = "column string, category string, mean double"
-    leading = kpis(df, 1).first()
+    leading = next(iter(leading_kpis(df)), None)
     usable = {r["column"] for r in chart_columns(df).where(
         "eligible AND unique_values >= 2").collect()}
     chosen = [c for c in names.text_columns(df) if c in usable][:max_columns]
@@ -161,12 +167,12 @@ def kpi_strip(df: DataFrame, entity_plural: str = "Records", trend: DataFrame |
     fallback of the last card.
     """
     spark = df.sparkSession
-    figures = [r.asDict() for r in kpis(df).collect()]  # one row per KPI, six at most
+    figures = leading_kpis(df)
     if not figures:
         return spark.createDataFrame([], "card int, title string, value double, caption string")
     revenue = next((k for k in figures if names.is_revenue_name(k["column"])), None)
-    ranked = sorted(figures, key=lambda k: not names.has_fragment(k["column"],
-                                                                 vocab.PRIORITY_FRAGMENTS))
+    ranked = sorted(figures, key=lambda k: (names.is_key_name(k["column"]), not names.has_fragment(
+        k["column"], vocab.PRIORITY_FRAGMENTS)))
     lead = revenue or ranked[0]
     rest = [k for k in ranked if k["column"] != lead["column"]]
     label, prefix = names.business_label(lead["column"])

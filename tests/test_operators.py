@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from tablewright.functions import names
 from tablewright.operators import (charts, cleaning, clusters, dedup, impute, periods, profile,
                                    retrieval, statistics, trends)
 
@@ -207,3 +208,11 @@ def test_histogram_puts_the_maximum_in_the_last_bin(spark):
     frame = spark.range(31).select(F.col("id").alias("v"))
     rows = charts.histogram(frame, "v").collect()
     assert sum(r["count"] for r in rows) == 31 and rows[-1]["bin"] == 29 and rows[-1]["count"] == 2
+
+
+def test_a_key_of_many_customers_does_not_lead_the_breakdown(spark):
+    frame = spark.range(40).select((F.col("id") % 20 * 100_000).alias("o_custkey"), (F.col("id") % 4 + 0.5).alias("price"),
+                                   F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    means = {r["category"]: r["mean"] for r in charts.category_breakdown(frame).collect()}
+    assert means == {"even": 1.5, "odd": 2.5}
+    assert not any(map(names.is_key_name, ("number_of_items", "paid", "width", "total_price")))
