@@ -56,28 +56,35 @@ class CleaningPlan:
     @classmethod
     def fit(cls, df: DataFrame, drop: Sequence[str] = (), keep_text: Sequence[str] = (),
             canonical: DataFrame | None = None, fuzzy: bool = True,
-            min_currency_share: float = 0.0, written_rows: bool = False) -> CleaningPlan:
+            min_currency_share: float = 0.0) -> CleaningPlan:
         """Decide on every column over all rows.
 
         ``keep_text`` names (cleaned) text columns left as they are, such as codes.
         ``canonical`` is a supplied (column, dirty, canonical) table applied before spelling
-        variants are merged. Every decision is a pass over the rows, so they are spread over all cores
-        first, unless they are ``written_rows`` already.
+        variants are merged. Every decision is a pass over the rows, so they are spread over all cores first.
         """
+        return cls._fit(spread(df), drop, keep_text, canonical, fuzzy, min_currency_share)[0]
+
+    @classmethod
+    def _fit(cls, df: DataFrame, drop: Sequence[str] = (), keep_text: Sequence[str] = (),
+             canonical: DataFrame | None = None, fuzzy: bool = True, min_currency_share: float = 0.0,
+             carried: Sequence[str] = ()) -> tuple[CleaningPlan, DataFrame]:
+        """The plan, and the rows with typed cells and the ``carried`` columns, which take no part."""
         log: list[tuple] = []
-        sources = [c for c in df.columns if c not in set(drop)]
+        sources = [c for c in df.columns if c not in {*drop, *carried}]
         log += [("columns", c, "dropped" if c in df.columns else "not found", None, None)
                 for c in drop]
         targets = names.standard_names(sources)
         log += [("columns", t, "renamed", None, f"{s} -> {t}")
                 for s, t in zip(sources, targets) if s != t]
-        raw = cells.without_nan(df.select(*[quoted(s).alias(t) for s, t in zip(sources, targets)]))
-        raw = raw if written_rows else spread(raw)
+        raw = cells.without_nan(df.select(*[quoted(s).alias(t) for s, t in zip(sources, targets)], *carried))
         plan = cls({t: ColumnPlan(s, "keep") for s, t in zip(sources, targets)}, {}, log)
-        plan._decide_types(raw, set(keep_text), min_currency_share)
-        plan._decide_text(raw, set(keep_text), canonical, fuzzy)
-        plan._decide_values(raw)
-        return plan
+        cell_rows = raw.drop(*carried)
+        plan._decide_types(cell_rows, set(keep_text), min_currency_share)
+        plan._decide_text(cell_rows, set(keep_text), canonical, fuzzy)
+        typed = written(plan._typed(raw, carried))  # parsed once, read by every later pass
+        plan._decide_values(typed.drop(*carried))
+        return plan, typed
 
     def _decide_types(self, raw: DataFrame, keep: set[str], min_currency_share: float) -> None:
         text = [c for c in names.text_columns(raw) if c not in keep]
@@ -181,9 +188,8 @@ class CleaningPlan:
             plan.mapping_path = f"{shared_folder(spark)}/tablewright-map-{uuid.uuid4().hex}"
             changed.select("value", "canonical").write.parquet(plan.mapping_path)
 
-    def _decide_values(self, raw: DataFrame) -> None:
+    def _decide_values(self, typed: DataFrame) -> None:
         """Scales, fill values, domain bounds and outlier caps, in the order they are applied."""
-        typed = written(self._typed(raw))  # parsed once, read by every pass below
         scales = {r["column"]: (r["scale_min"], r["scale_max"])
                   for r in cleaning.rating_scales(typed).collect()}
         self.log += [("scales", c, "inferred", None, f"{lo:g}..{hi:g}")
@@ -227,7 +233,11 @@ class CleaningPlan:
         carried = [c for c in (order or []) if c not in self.columns]
         raw = cells.without_nan(df.select(
             *[quoted(p.source).alias(c) for c, p in self.columns.items()], *carried))
-        result = self._typed(raw, carried)
+        return self._finished(self._typed(raw, carried), carried, fill, order)
+
+    def _finished(self, result: DataFrame, carried: Sequence[str] = (), fill: bool = True,
+                  order: Sequence[str] | None = None) -> DataFrame:
+        """Fills, limits and date parts of typed rows."""
         if fill:
             result = self._filled(result)
             if order:
@@ -363,8 +373,8 @@ def clean(df: DataFrame, drop: Sequence[str] = (), keep_first: Sequence[str] = (
     placed = ranking.with_source_place(df, place) if place else df
     renamed = placed.select(*[quoted(s).alias(t) for s, t in named.items()], *([place] if place else []))
     swept = cleaning.sweep_nulls(cells.without_nan(renamed))
-    unique = written(dedup.deduplicate(swept, [target(c) for c in keep_first], place=place))
-    plan = CleaningPlan.fit(unique.drop(PLACE), written_rows=True, **options)
+    unique = written(dedup.deduplicate(spread(swept), [target(c) for c in keep_first], place=place))
+    plan, typed = CleaningPlan._fit(unique, carried=[place] if place else [], **options)
     log = [("columns", c, "dropped" if c in df.columns else "not found", None, None) for c in drop]
     plan.log[:0] = log + [("columns", t, "renamed", None, f"{s} -> {t}") for s, t in named.items() if s != t]
     kept_rows = dedup.retention(df, unique.drop(PLACE))
@@ -372,13 +382,12 @@ def clean(df: DataFrame, drop: Sequence[str] = (), keep_first: Sequence[str] = (
     plan.log.insert(0, ("duplicates", None, "rows removed", counts["rows_removed"],
                         f"retention {counts['retention_pct']}%"))
     if impute_with == "forest":
-        partial = written(plan._typed(cells.without_nan(unique.drop(PLACE))))  # date parts come after filling
-        rows = impute.forest_impute(partial, target(row_id))
+        rows = impute.forest_impute(typed.drop(PLACE), target(row_id))  # date parts come after filling
         rows = plan._capped(plan._bounded(rows))
         rows = cleaning.add_date_parts(rows, plan.date_parts)
     else:
         keys = [target(c) for c in order] if order else [PLACE]
-        rows = plan.apply(unique, order=keys)
+        rows = plan._finished(typed, [place] if place else [], order=keys)
         plan.log += [("missing", c, "filled from neighbours", n, "source order" if place else ", ".join(keys))
                      for c, n in plan.missing_dates.items() if c not in keys]
     for s, t in named.items():  # the plan reads raw headers from here on

@@ -113,6 +113,15 @@ def test_carry_fill_across_blocks(spark):
         assert [r["v"] for r in filled.orderBy("id").collect()] == want
 
 
+def test_parts_of_an_order_are_bounded_by_rows(spark):
+    frame = spark.range(4000).select("id", F.when(F.col("id") % 37 == 5, F.col("id")).alias("v"))
+    parts = ranking._in_parts(frame, ["id"], 4000, 100).groupBy(F.spark_partition_id()).count()
+    assert parts.count() > 30 and max(r["count"] for r in parts.collect()) < 400
+    dated = frame.select("id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("v").cast("int")).alias("v"))
+    small, large = (ranking.carry_fill(dated, ["v"], ["id"], rows, 100) for rows in (10 ** 6, 0))
+    assert small.exceptAll(large).isEmpty() and large.where("v IS NULL").isEmpty()
+
+
 def test_trends_and_leader_ranks_do_not_depend_on_the_path(spark):
     frame = spark.range(900).select(
         "id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 90).cast("int"))
