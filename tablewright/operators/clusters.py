@@ -59,8 +59,22 @@ def _matrix(points: pa.Array) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distance of each centre (row) and point (column)."""
-    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres])
+    """Squared distance of each centre (row) and point (column), added up column by column."""
+    columns = [np.ascontiguousarray(x[:, j]) for j in range(x.shape[1])]
+    out = np.zeros((len(centres), len(x)))
+    for row, centre in zip(out, centres):
+        for column, c in zip(columns, centre):
+            apart = column - c
+            apart *= apart
+            row += apart
+    return out
+
+
+def _totals(x: np.ndarray, label: np.ndarray, k: int) -> list[list[int]]:
+    """Exact sum of each coordinate per label."""
+    if len(x) * float(np.abs(x.astype(float)).max()) < 2.0 ** 53:  # sums of doubles are exact up to there
+        return np.stack([np.bincount(label, weights=x[:, j], minlength=k) for j in range(x.shape[1])], axis=1).astype(np.int64).tolist()
+    return [[sum(column) for column in x[label == c].T.tolist()] if (label == c).any() else [0] * x.shape[1] for c in range(k)]
 
 
 def _seeds(rows: DataFrame, wanted: int, seed: int) -> list[list[int]]:
@@ -98,12 +112,13 @@ def _sums(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, dict[int,
             exact, squares = x.astype(float), (x.astype(float) ** 2).sum(axis=1)
             for k, centres in models.items():
                 label = _distances(exact, centres).argmin(axis=0)
-                for c in np.unique(label).tolist():
-                    own = label == c
+                count, sums_of = np.bincount(label, minlength=len(centres)), _totals(x, label, len(centres))
+                squares_of = np.bincount(label, weights=squares, minlength=len(centres))
+                for c in np.flatnonzero(count).tolist():
                     now = total.setdefault((k, c), [0, [0] * x.shape[1], 0.0])
-                    now[0] += int(own.sum())
-                    now[1] = [a + int(b) for a, b in zip(now[1], x[own].sum(axis=0))]
-                    now[2] += float(squares[own].sum())
+                    now[0] += int(count[c])
+                    now[1] = [a + b for a, b in zip(now[1], sums_of[c])]
+                    now[2] += float(squares_of[c])
         yield pa.RecordBatch.from_pylist([
             {"k": k, "centre": c, "place": i, "n": n, "total": str(v), "squares": q}
             for (k, c), (n, sums, q) in total.items() for i, v in enumerate(sums)], schema=_PARTIAL)

@@ -216,3 +216,14 @@ def test_a_key_of_many_customers_does_not_lead_the_breakdown(spark):
     means = {r["category"]: r["mean"] for r in charts.category_breakdown(frame).collect()}
     assert means == {"even": 1.5, "odd": 2.5}
     assert not any(map(names.is_key_name, ("number_of_items", "paid", "width", "total_price")))
+
+
+def test_cluster_sums_are_exact_beyond_doubles():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2 ** 20, 2 ** 20, (500, 4))
+    centres = x[:5].astype(float) + 0.3
+    assert (clusters._distances(x.astype(float), centres) == np.stack([((x - c) ** 2).sum(axis=1) for c in centres])).all()
+    label = clusters._distances(x.astype(float), centres).argmin(axis=0)
+    for scale in (1, 2 ** 40 + 1):
+        want = [[sum(int(v) * scale for v in x[label == c, j]) for j in range(4)] for c in range(6)]
+        assert clusters._totals(x * scale, label, 6) == want
