@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import cross_products, quantiles, ranking, segments, similarity, statistics, trends
+from tablewright.operators import cross_products, impute, quantiles, ranking, segments, similarity, statistics, trends
 
 
 def words(seed, n):
@@ -244,3 +244,37 @@ def test_correlations_of_a_constant_column(spark):
 
 def test_cross_products_of_an_empty_table(spark):
     assert cross_products.pair_correlations(spark.createDataFrame([], "a double, b double"), ["a", "b"]).isEmpty()
+
+
+def test_a_sampled_forest_has_few_partitions(spark, monkeypatch):
+    """Statistics of all nodes are sent per partition, so partitions follow the sample, not the table."""
+    class Learner:
+        def __init__(self, **options):
+            pass
+
+        def fit(self, rows):
+            return rows.rdd.getNumPartitions()
+
+    monkeypatch.setattr(impute, "RandomForestClassifier", Learner)
+    rows = spark.range(1000).select("id", F.lit(0.0).alias("_y"), F.lit(0.0).alias("features"))
+    assert impute._fit(Learner, rows, "id", 10_000_000, 1, impute.ForestOptions()) == 8
+
+
+def test_a_regression_merges_rows_of_equal_bins(spark):
+    """20,000 rows of two numbers learn from at most 64 bins x slices rows that weigh as much."""
+    place = F.col("id") % 1000
+    frame = spark.range(20_000).select(F.col("id").alias("row_id"), place.alias("x"), (F.col("id") % 2).alias("side"),
+                                       F.when(F.col("id") % 7 != 0, place * 2.5 + 100 * (F.col("id") % 2)).alias("size"))
+    options = impute.ForestOptions(trees=20, merge_rows=1000)
+    learn = frame.where("size is not null").select("row_id", F.col("x").cast("double").alias("f_x"), F.col("side").cast("double").alias("f_side"),
+                                                   F.col("size").alias("_y"))
+    _, merged = impute._merged(learn, ["f_x", "f_side"], [], "row_id", options)
+    facts = merged.agg(F.count("*").alias("n"), F.sum("_weight").alias("weight"), F.sum(F.col("_weight") * F.col("_y")).alias("total")).first()
+    total = learn.agg(F.sum("_y")).first()[0]
+    assert facts["n"] < 4000 and facts["weight"] == learn.count() and abs(facts["total"] - total) < 1e-6 * total
+    filled = impute.forest_impute(frame, "row_id", options)
+    assert filled.columns == frame.columns and filled.count() == 20_000
+    plain = impute.forest_impute(frame, "row_id", impute.ForestOptions(trees=20))
+    error = F.avg(F.abs(F.col("size") - (F.col("row_id") % 1000 * 2.5 + 100 * (F.col("row_id") % 2))))
+    assert filled.agg(error).first()[0] < 1.05 * plain.agg(error).first()[0]
+    assert filled.join(frame.where("size is not null"), ["row_id", "size"]).count() == learn.count()
