@@ -9,9 +9,9 @@
    words are). Membership is a filter of bounded size, shared with the tasks; a phrase let
    through wrongly is only counted as well.
 4. A counted phrase that reaches the threshold without having been proposed is a failure of the
-   border: its extensions may be frequent, too. While there are such phrases, the next pass counts the
-   extensions that no pass has counted, for all frequent phrases so far. After the last pass
-   all of these are in one filter, so every phrase of frequent parts has been counted.
+   border: its extensions may be frequent, too. While there are such phrases, the next pass counts those of
+   their extensions that no pass has counted, both of whose parts are frequent. What has no such part
+   was counted before; so after the last pass every phrase of frequent parts has been counted.
 5. Each frequent phrase carries the place of one occurrence, from a block chosen by its hash, so that
    the words are looked up once, in one block. Cuts are joined with the counts of their parts.
 
@@ -186,28 +186,40 @@ def _sampled(blocks: DataFrame, longest: int) -> DataFrame:
 
 
 def _counted(blocks: DataFrame, filters: list, longest: int) -> DataFrame:
-    """key, n, place of the phrases both of whose parts are in the last filter and were not in one before."""
+    """key, n, place of the phrases that the last pass lets in and none before did.
+
+    A pass is a filter of phrases and, after the first pass, one of those new in it. It lets in a phrase both of
+    whose parts are in the filter and, after the first pass, one of them new.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [Filter(f.value) for f in filters]
+        passes = [(Filter(own.value), new and Filter(new.value)) for own, new in filters]
+        last, new = passes[-1]
         for batch in batches:
             for row in batch.to_pylist():
                 words = grams = _hashes(row)
-                inside: list[np.ndarray] = []
+                known = np.zeros(0, bool)
                 for size in range(1, longest + 1):
                     if size == 1:
-                        wanted = words if len(sets) == 1 else np.zeros(0, U)
+                        wanted = words if new is None else np.zeros(0, U)
                     else:
-                        grams = _longer(grams, words, size)
-                        both = [own[: len(grams)] & own[1: len(grams) + 1] for own in inside]
-                        let = both[-1]
-                        for earlier in both[:-1]:
-                            let = let & ~earlier
-                        wanted = np.where(let, grams, U(0))
-                        if not both[-1].any():
-                            break
+                        parts, grams = grams, _longer(grams, words, size)
+                        let = known[: len(grams)] & known[1: len(grams) + 1] if new is None else known[: len(grams)] | known[1: len(grams) + 1]
+                        if new is None:
+                            wanted = np.where(let, grams, U(0))
+                            if not let.any():
+                                break
+                        else:  # few places: only there the other filters are asked
+                            at = np.flatnonzero(let & (grams != 0))
+                            at = at[last.has(parts[at]) & last.has(parts[at + 1])]
+                            for earlier, fresh in passes[:-1]:
+                                left, right = parts[at], parts[at + 1]
+                                held = earlier.has(left) & earlier.has(right)
+                                at = at[~(held if fresh is None else held & (fresh.has(left) | fresh.has(right)))]
+                            wanted = np.zeros(len(grams), U)
+                            wanted[at] = grams[at]
                     if size < longest:
-                        inside = [s.has(grams) & (grams != 0) for s in sets]
+                        known = (last if new is None else new).has(grams) & (grams != 0)
                     first, keys, counts = _per_block(wanted)
                     block = (U(row["number"]) ^ keys) & U(_BLOCK_MASK)  # of several blocks, the hash decides which one is least
                     at = (block << U(_PLACE_BITS + _SIZE_BITS)) | (first.astype(U) << U(_SIZE_BITS)) | U(size)
@@ -217,14 +229,17 @@ def _counted(blocks: DataFrame, filters: list, longest: int) -> DataFrame:
         F.sum("n").alias("n"), F.min("place").alias("place"))
 
 
-def _outside(phrases: DataFrame, last, longest: int) -> DataFrame:
-    """Phrases that can be extended and that the last filter does not let through."""
+def _outside(phrases: DataFrame, last: tuple, longest: int) -> DataFrame:
+    """Phrases that can be extended and whose extensions the last pass did not let in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(last.value)
+        filters = [Filter(f.value) for f in last if f is not None]
         for batch in batches:
             keys = batch.column(0).to_numpy().view(U)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[~own.has(keys)].view(np.int64))], ["key"])
+            inside = np.ones(len(keys), bool)
+            for own in filters:
+                inside &= own.has(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[~inside].view(np.int64))], ["key"])
 
     return phrases.filter(F.col("place").bitwiseAND((1 << _SIZE_BITS) - 1) < longest).select("key").mapInArrow(run, "key bigint")
 
@@ -280,16 +295,16 @@ def frequent_phrases(docs: DataFrame, tables: Tables, *, lang: str, text: str, l
     own = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     blocks = tables.write(phrase_blocks(own, block_words, sample))
     context = docs.sparkSession.sparkContext
-    new, filters, found = _proposed(blocks, tables, longest, least), [], None
+    own, new, filters, found = _proposed(blocks, tables, longest, least), None, [], None
     while True:  # at most one pass for each length, and one more
-        filters.append(context.broadcast(_filter(new, new.count()).words))  # bounded: FILTER_BITS
+        filters.append(tuple(None if f is None else context.broadcast(_filter(f, f.count()).words) for f in (own, new)))  # bounded: FILTER_BITS
         passed = tables.write(_counted(blocks, filters, longest).filter(F.col("n") >= least))
         found = passed if found is None else found.unionByName(passed)
         # failures of the border: frequent, and what extends them was not counted
         failed = tables.write(_outside(passed, filters[-1], longest))
         if failed.isEmpty():
             return blocks, found
-        new = tables.write(failed.unionByName(found.select("key")))
+        own, new = tables.write(failed.unionByName(found.select("key"))), failed
 
 
 def mine_phrases(docs: DataFrame, *, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST, first: int = FIRST,

@@ -294,3 +294,13 @@ def test_border_failures_are_closed(spark):
             for size in range(1, 6):
                 counts.update((lang or "und", *own[i:i + size]) for i in range(len(own) - size + 1))
     assert sorted(r.n for r in found.collect()) == sorted(f for f in counts.values() if f >= 4)
+
+
+def test_later_passes_lose_nothing_to_full_filters(spark, monkeypatch):
+    """Filters that let nearly a third of all phrases through wrongly, and almost nothing proposed."""
+    rng = np.random.default_rng(3)
+    rows = [("en", " ".join(f"w{int(x * x * 30)}" for x in rng.random(60))) for _ in range(400)]
+    monkeypatch.setattr(phrases, "BITS_EACH", 1)
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    found = sorted(tuple(r) for r in phrases.mine_phrases(frame, least=4, sample=399, block_words=2000).collect())
+    assert found == plain_phrases(rows, least=4)
