@@ -326,6 +326,64 @@ def test_main_text(spark):
     assert boilerplate.main_text(frame).count() == 9 and boilerplate.main_text(frame.limit(0)).count() == 0
 
 
+def test_main_text_without_what_a_host_repeats_inside_its_main_elements(spark):
+    words = random.Random(8)
+    own = [" ".join(f"w{words.randrange(10 ** 6)}" for _ in range(30)) for _ in range(40)]
+    share, license_ = "Share this story with your friends today", "This text is free under the open license"
+    def page(*blocks, beside="<div class=ad>buy now</div>"):
+        return f"{beside}<main>{''.join(f'<p>{b}</p>' for b in blocks)}</main>"
+    rows = [(i, "http://news.example/x", page(own[i], share) if i else page(own[0], share, license_)) for i in range(20)]
+    rows += [(i, "http://news.example/x", page(own[i], license_)) for i in range(20, 25)]  # on few pages, so part of the article
+    rows += [(25, "http://news.example/x", page(f"{own[25]} {share} {own[26]}")), (26, "http://news.example/x", page(share, "short"))]  # not a block of its own; most of a page
+    rows += [(30 + i, "http://small.example/x", page(own[i], share)) for i in range(9)]  # too few pages
+    rows += [(40 + i, "http://twins.example/x", page(own[30], "Day", str(i), beside=f"<nav>{i}</nav>")) for i in range(12)]  # one article, many addresses
+    rows += [(60 + i, "http://copies.example/x", page(own[i % 9], share)) for i in range(18)]  # nine different pages
+    expected = {i: own[i] for i in range(20)} | {0: f"{own[0]} {license_}", 25: f"{own[25]} {share} {own[26]}", 26: f"{share} short"}
+    expected |= {i: f"{own[i]} {license_}" for i in range(20, 25)} | {30 + i: f"{own[i]} {share}" for i in range(9)}
+    expected |= {40 + i: f"{own[30]} Day {i}" for i in range(12)} | {60 + i: f"{own[i % 9]} {share}" for i in range(18)}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for runs in (40, 1 << 21):  # in chunks of a page, so every run is a candidate, and in large ones
+        assert {r.page_id: r.text for r in boilerplate.main_text(frame, chunk_runs=runs).collect()} == expected
+
+
+def test_main_text_equals_a_plain_search(spark):
+    draw = random.Random(9)
+    lines = [" ".join(draw.choice("abcdefgh") for _ in range(draw.choice((1, 3, 6, 7, 9)))) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        texts = [draw.choice(lines[3 * (i % 3): 3 * (i % 3) + 2 + i // 3 % 3]) if draw.random() < 0.6 else " ".join(draw.choice("ijklmnopqrs") for _ in range(12)) for _ in range(6)]
+        body = "".join(f"<p>{t}</p>" for t in texts[1:])
+        rows.append((i, f"http://h{i % 3}.example/", f"<nav>{texts[0]}</nav><article>{body}</article>"))
+    rows += [(100 + i, *r[1:]) for i, r in enumerate(rows[:20])]
+    pages, runs = defaultdict(set), defaultdict(set)
+    def runs_of(html):
+        words = [w for _, t in page_structure.blocks(html) for w in t.split()]
+        return [tuple(words[a: a + 4]) for a in range(len(words) - 3)]
+    for _, host, html in rows:
+        pages[host].add(html)
+        for g in runs_of(html):
+            runs[host, g].add(html)
+    expected, shortened = {}, 0
+    for i, host, html in rows:
+        covered = {a + k for a, g in enumerate(runs_of(html)) if len(runs[host, g]) >= 12 and 4 * len(runs[host, g]) >= 3 * len(pages[host]) for k in range(4)}
+        at, all_, kept = 0, [], []
+        for kind, t in page_structure.blocks(html):
+            here = range(at, at := at + len(t.split()))
+            if kind == page_structure.CONTENT:
+                all_.append(t)
+                if not covered.issuperset(here):
+                    kept.append(t)
+        if 2 * len(" ".join(kept).split()) < len(" ".join(all_).split()):
+            kept = all_
+        shortened += kept != all_
+        expected[i] = " ".join(kept)
+    assert 10 < shortened < 100
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size, partitions in ((30, 4), (1 << 21, 60)):  # the second with pages far from others of their host
+        found = {r.page_id: r.text for r in boilerplate.main_text(frame.repartition(partitions), min_tokens=4, min_pages=12, chunk_runs=size).collect()}
+        assert found == expected
+
+
 # 9
 
 def test_toxicity(spark, docs, nothing):
