@@ -278,3 +278,54 @@ def test_a_regression_merges_rows_of_equal_bins(spark):
     error = F.avg(F.abs(F.col("size") - (F.col("row_id") % 1000 * 2.5 + 100 * (F.col("row_id") % 2))))
     assert filled.agg(error).first()[0] < 1.05 * plain.agg(error).first()[0]
     assert filled.join(frame.where("size is not null"), ["row_id", "size"]).count() == learn.count()
+
+
+def test_a_forest_learns_from_all_rows(spark, monkeypatch):
+    """Trees and bounds of bins come from every known row: labels, blocks of labels, and numbers merged or not."""
+    fits = []
+
+    def recorded(kind):
+        fit = kind.fit
+
+        def run(learner, rows):
+            weight = F.sum("_weight") if "_weight" in rows.columns else F.count("*")
+            n, known = rows.agg(F.count("*"), weight).first()
+            fits.append((kind, n, known, learner.getMaxBins()))
+            return fit(learner, rows)
+
+        monkeypatch.setattr(kind, "fit", run)
+
+    recorded(impute.RandomForestClassifier)
+    recorded(impute.RandomForestRegressor)
+    place, gap = F.col("id") % 200, F.col("id") % 7 == 3
+    frame = spark.range(33_000).select(
+        F.col("id").alias("row_id"), place.alias("x"), (F.col("id") % 13).alias("y"),
+        F.when(~gap, F.when(F.col("id") % 6600 < 2, "rare").otherwise("common")).alias("band"),
+        F.when(~gap, F.format_string("city%03d", place)).alias("city"), F.when(F.col("id") % 11 != 3, place * 2.5).alias("size"))
+    for merge_rows in (1000, 200_000):
+        fits.clear()
+        filled = impute.forest_impute(frame, "row_id", impute.ForestOptions(trees=5, depth=5, merge_rows=merge_rows))
+        assert filled.count() == 33_000 and filled.where("band IS NULL OR city IS NULL OR size IS NULL").isEmpty()
+        # band, city's two steps (all rows, then each block of 100 labels), size
+        known = {kind: [k for one, _, k, _ in fits if one is kind] for kind, *_ in fits}
+        assert known[impute.RandomForestRegressor] == [30_000]
+        assert known[impute.RandomForestClassifier][:2] == [28_286, 28_286]
+        assert sum(known[impute.RandomForestClassifier][2:]) == 28_286
+        # Spark looks for the bounds of bins in this many rows
+        assert all(max(bins ** 2, 10_000) >= n for _, n, _, bins in fits)
+
+
+def test_merged_rows_of_a_classifier_keep_every_label(spark):
+    """Equal features of two labels stay apart, and a label of one row in 20,000 is learned."""
+    learn = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 5).cast("double").alias("f_x"),
+                                       F.when(F.col("id") == 77, 2.0).otherwise(F.col("id") % 2).cast("double").alias("_y"))
+    _, merged = impute._merged(learn, ["f_x"], [], "row_id", impute.ForestOptions(merge_rows=1000), True)
+    found = {r["_y"]: r["n"] for r in merged.groupBy("_y").agg(F.sum("_weight").alias("n")).collect()}
+    assert found == {0.0: 10_000, 1.0: 9_999, 2.0: 1} and merged.count() <= 1200
+
+
+def test_bounds_of_bins_with_infinite_numbers():
+    inf = float("inf")
+    bounds = impute._edges([-inf, -inf, 1.0, 2.0, 2.0, inf, inf])
+    assert bounds[0] == -inf and bounds[-1] == inf and all(a < b for a, b in zip(bounds, bounds[1:]))
+    assert {1.0, 2.0} < set(bounds) and len(bounds) == 7
