@@ -280,23 +280,29 @@ def test_a_regression_merges_rows_of_equal_bins(spark):
     assert filled.join(frame.where("size is not null"), ["row_id", "size"]).count() == learn.count()
 
 
-def test_a_forest_learns_from_all_rows(spark, monkeypatch):
-    """Trees and bounds of bins come from every known row: labels, blocks of labels, and numbers merged or not."""
-    fits = []
+@pytest.fixture
+def fits(monkeypatch):
+    """(kind, rows, their weight, maxBins) of every forest fitted."""
+    found = []
 
-    def recorded(kind):
+    def record(kind):
         fit = kind.fit
 
         def run(learner, rows):
             weight = F.sum("_weight") if "_weight" in rows.columns else F.count("*")
             n, known = rows.agg(F.count("*"), weight).first()
-            fits.append((kind, n, known, learner.getMaxBins()))
+            found.append((kind, n, known, learner.getMaxBins()))
             return fit(learner, rows)
 
         monkeypatch.setattr(kind, "fit", run)
 
-    recorded(impute.RandomForestClassifier)
-    recorded(impute.RandomForestRegressor)
+    record(impute.RandomForestClassifier)
+    record(impute.RandomForestRegressor)
+    return found
+
+
+def test_a_forest_learns_from_all_rows(spark, fits):
+    """Trees and bounds of bins come from every known row: labels, blocks of labels, and numbers merged or not."""
     place, gap = F.col("id") % 200, F.col("id") % 7 == 3
     frame = spark.range(33_000).select(
         F.col("id").alias("row_id"), place.alias("x"), (F.col("id") % 13).alias("y"),
@@ -315,6 +321,18 @@ def test_a_forest_learns_from_all_rows(spark, monkeypatch):
         assert all(max(bins ** 2, 10_000) >= n for _, n, _, bins in fits)
 
 
+def test_few_numbers_are_classified_from_all_rows(spark, fits):
+    """A rating of a few rows in 30,000 is learned, and predicted where it was lost."""
+    rare = F.col("id") % 3000 < 2
+    frame = spark.range(30_000).select(
+        F.col("id").alias("row_id"), F.when(rare, 500).otherwise(F.col("id") % 50).alias("x"),
+        F.when(F.col("id") % 3000 != 1, F.when(rare, 9.5).when(F.col("id") % 50 < 25, 1.0).otherwise(2.0)).alias("rating"))
+    filled = impute.forest_impute(frame, "row_id", impute.ForestOptions(trees=20, depth=8, merge_rows=1000))
+    assert [(kind, known) for kind, _, known, _ in fits] == [(impute.RandomForestClassifier, 29_990)]
+    assert filled.count() == 30_000 and filled.where("row_id % 3000 < 2 AND rating = 9.5").count() == 20
+    assert filled.join(frame.where("rating IS NOT NULL"), ["row_id", "rating"]).count() == 29_990
+
+
 def test_merged_rows_of_a_classifier_keep_every_label(spark):
     """Equal features of two labels stay apart, and a label of one row in 20,000 is learned."""
     learn = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 5).cast("double").alias("f_x"),
